@@ -64,7 +64,7 @@ def case_tracks(t: Tables) -> tuple[DataFrame, DataFrame]:
         *CASE_KEYS, "ts", "lat", "lon", "sog", "vessel_name", "vessel_type", "gap_minutes", "sharp_turn", "is_start"
     )
     linked = cut_lineage(linked)
-    return linked, tracks.vessel_profiles(linked, CASE_KEYS)
+    return linked, cut_lineage(tracks.vessel_profiles(linked, CASE_KEYS))
 
 
 def intersections(t: Tables):

@@ -257,7 +257,10 @@ def _with_clause(main: str, known: dict[str, str]) -> str:
     if not order:
         return main
     ctes = ",\n".join(f"{name} AS ({known[name].strip()})" for name in order)
-    return f"WITH {ctes}\n{main.strip()}"
+    main = main.strip()
+    if main.startswith("WITH "):
+        return f"WITH {ctes},\n{main[5:]}"
+    return f"WITH {ctes}\n{main}"
 
 
 def duck_sql(main: str) -> str:

@@ -33,8 +33,8 @@ def local_session(app: str = "slickwatch", cores: str = "*", partitions: int = 8
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("SLICKWATCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Grouped JVM tasks finish well before a third of the wait below.
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
     )
     for key, value in RUNTIME_CONF.items():
