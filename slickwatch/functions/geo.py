@@ -35,13 +35,22 @@ def rnd(value, digits: int) -> Column:
     return F.floor(as_col(value) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Lambdas and conditional branches get no common-subexpression elimination,
+    so a value used several times there would be computed several times.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in metres (``atan2`` form)."""
+    """Great-circle distance in metres; every term appears once."""
     lat1, lon1, lat2, lon2 = map(as_col, (lat1, lon1, lat2, lon2))
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2.0) + F.cos(F.radians(lat1)) * F.cos(
+        F.radians(lat2)
+    ) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2.0)
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
 def unit_vector(lat, lon) -> Column:
@@ -61,8 +70,7 @@ def chord_sq(u: Column, v: Column) -> Column:
 
 def chord_to_m(chord2: Column) -> Column:
     """Arc length of a squared chord; a quarter of it is haversine's ``a``."""
-    a = F.least(chord2 / 4, F.lit(1.0))
-    return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(chord2) / 2))
 
 
 def circular_diff(a, b, period: float = 360.0) -> Column:
@@ -84,8 +92,15 @@ def bearing_to(u, v) -> Column:
 
 
 def bearing_from(u, v) -> Column:
-    """Direction a wind comes from, degrees clockwise from north."""
-    return F.pmod(F.degrees(F.atan2(-as_col(u), -as_col(v))), F.lit(360.0))
+    """Direction a wind comes from, degrees clockwise from north.
+
+    Calm (both components 0) reads 180, the value of atan2 on negative zeros,
+    which Spark's ``atan2`` would turn into positive ones.
+    """
+    u, v = as_col(u), as_col(v)
+    return F.when((u == 0) & (v == 0), 180.0).otherwise(
+        F.pmod(F.degrees(F.atan2(-u, -v)), F.lit(360.0))
+    )
 
 
 def vector_features(u_wind, v_wind, u_cur, v_cur) -> dict[str, Column]:
@@ -168,10 +183,14 @@ def _on_edge(e: Column, px: Column, py: Column) -> Column:
 
 def point_in_ring(ring: Column, px, py, boundary: bool = False) -> Column:
     """Even-odd test. A point on the boundary is outside unless ``boundary``."""
-    px, py, es = as_col(px), as_col(py), edges(ring)
-    odd = F.size(F.filter(es, lambda e: _crosses(e, px, py))) % 2 == 1
-    touching = F.exists(es, lambda e: _on_edge(e, px, py))
-    return (odd | touching) if boundary else (odd & ~touching)
+    px, py = as_col(px), as_col(py)
+
+    def test(es):
+        odd = F.size(F.filter(es, lambda e: _crosses(e, px, py))) % 2 == 1
+        touching = F.exists(es, lambda e: _on_edge(e, px, py))
+        return (odd | touching) if boundary else (odd & ~touching)
+
+    return let(edges(ring), test)
 
 
 def point_in_polygon(outer: Column, holes: Column, px, py) -> Column:
@@ -188,34 +207,32 @@ def vertex_distance_m(ring: Column, lat, lon) -> Column:
     )
 
 
-def _nearest_on_edge(e: Column, px: Column, py: Column) -> tuple[Column, Column]:
+def _nearest_on_edge(e: Column, px: Column, py: Column) -> Column:
+    """Point of an edge nearest to (px, py), with its squared planar distance."""
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    length2 = dx * dx + dy * dy
-    t = F.when(length2 > 0, ((px - e["x1"]) * dx + (py - e["y1"]) * dy) / length2).otherwise(0.0)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return e["x1"] + t * dx, e["y1"] + t * dy
+    share = ((px - e["x1"]) * dx + (py - e["y1"]) * dy) / (dx * dx + dy * dy)
+    t = F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    point = let(t, lambda t: F.struct((e["x1"] + t * dx).alias("x"), (e["y1"] + t * dy).alias("y")))
+    return let(
+        point,
+        lambda p: F.struct(
+            (F.pow(p["x"] - px, 2.0) + F.pow(p["y"] - py, 2.0)).alias("d2"),
+            p["x"].alias("x"),
+            p["y"].alias("y"),
+        ),
+    )
 
 
 def segment_distance_m(ring: Column, lat, lon) -> Column:
     """Distance to the boundary point nearest in degree space."""
     lat, lon = as_col(lat), as_col(lon)
-
-    def candidate(e):
-        x, y = _nearest_on_edge(e, lon, lat)
-        return F.struct(
-            ((x - lon) * (x - lon) + (y - lat) * (y - lat)).alias("d2"),
-            x.alias("x"),
-            y.alias("y"),
-        )
-
-    best = F.array_min(F.transform(edges(ring), candidate))
-    return haversine_m(lat, lon, best["y"], best["x"])
+    best = F.array_min(F.transform(edges(ring), lambda e: _nearest_on_edge(e, lon, lat)))
+    return let(best, lambda b: haversine_m(lat, lon, b["y"], b["x"]))
 
 
 def point_edge_distance(e: Column, px: Column, py: Column) -> Column:
     """Planar distance from a point to one edge (projected rings)."""
-    x, y = _nearest_on_edge(e, px, py)
-    return F.sqrt((x - px) * (x - px) + (y - py) * (y - py))
+    return F.sqrt(_nearest_on_edge(e, px, py)["d2"])
 
 
 def _segments_cross(a: Column, b: Column) -> Column:
@@ -230,22 +247,27 @@ def _segments_cross(a: Column, b: Column) -> Column:
 def ring_distance(a: Column, b: Column) -> Column:
     """Planar distance of two polygons: 0 when they overlap, else the least
     vertex-to-edge distance either way."""
-    ea, eb = edges(a), edges(b)
 
     def towards(points, es):
         return F.array_min(
             F.transform(
                 points,
-                lambda p: F.array_min(F.transform(es, lambda e: point_edge_distance(e, p["x"], p["y"]))),
+                lambda p: F.array_min(F.transform(es, lambda e: _nearest_on_edge(e, p["x"], p["y"])["d2"])),
             )
         )
 
-    overlap = (
-        point_in_ring(a, b[0]["x"], b[0]["y"])
-        | point_in_ring(b, a[0]["x"], a[0]["y"])
-        | F.exists(ea, lambda e: F.exists(eb, lambda f: _segments_cross(e, f)))
-    )
-    return F.when(overlap, F.lit(0.0)).otherwise(F.least(towards(a, eb), towards(b, ea)))
+    def apart(both):
+        ea, eb = both["a"], both["b"]
+        overlap = (
+            point_in_ring(a, b[0]["x"], b[0]["y"])
+            | point_in_ring(b, a[0]["x"], a[0]["y"])
+            | F.exists(ea, lambda e: F.exists(eb, lambda f: _segments_cross(e, f)))
+        )
+        return F.when(overlap, F.lit(0.0)).otherwise(
+            F.sqrt(F.least(towards(a, eb), towards(b, ea)))
+        )
+
+    return let(F.struct(edges(a).alias("a"), edges(b).alias("b")), apart)
 
 
 def ring_bbox(ring: Column) -> Column:
@@ -264,11 +286,13 @@ def ring_moments(ring: Column) -> Column:
 
     def step(acc, e):
         ax, ay, bx, by = e["x1"] - x0, e["y1"] - y0, e["x2"] - x0, e["y2"] - y0
-        c = ax * by - bx * ay
-        return F.struct(
-            (acc["a"] + c).alias("a"),
-            (acc["mx"] + (ax + bx) * c).alias("mx"),
-            (acc["my"] + (ay + by) * c).alias("my"),
+        return let(
+            ax * by - bx * ay,
+            lambda c: F.struct(
+                (acc["a"] + c).alias("a"),
+                (acc["mx"] + (ax + bx) * c).alias("mx"),
+                (acc["my"] + (ay + by) * c).alias("my"),
+            ),
         )
 
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
@@ -280,10 +304,12 @@ def ring_area(ring: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> Column:
-    m = ring_moments(ring)
-    return F.struct(
-        (ring[0]["x"] + m["mx"] / (m["a"] * 3)).alias("x"),
-        (ring[0]["y"] + m["my"] / (m["a"] * 3)).alias("y"),
+    return let(
+        ring_moments(ring),
+        lambda m: F.struct(
+            (ring[0]["x"] + m["mx"] / (m["a"] * 3)).alias("x"),
+            (ring[0]["y"] + m["my"] / (m["a"] * 3)).alias("y"),
+        ),
     )
 
 
