@@ -111,30 +111,56 @@ def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(corners) if len(corners) > 2 else np.array([pts[0], pts[-1]])
 
 
-def convex_hulls(points: DataFrame, keys: list[str], x: str = "lon", y: str = "lat", parts: int = 32) -> DataFrame:
+def convex_hulls(points: DataFrame, keys: list[str], x: str = "lon", y: str = "lat", held: int = 50000) -> DataFrame:
     """Closed hull ring of each group, in two levels.
 
-    The hull of a union is the hull of the partial hulls, so each group is cut
-    into ``parts`` salted pieces reduced to their corners first; the second
-    level sees corners only, however large the group.
+    The hull of a union is the hull of the partial hulls. Each input task first
+    reduces its rows to hull corners per group (a map-side combine, flushed when
+    it holds ``held`` groups), so the shuffle and the task that finishes a group
+    see a few dozen corners per input task, however many rows the group has.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema)
-
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull(pdf["_x"].to_numpy(), pdf["_y"].to_numpy())
-        head = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame({**head, "_x": hull[:, 0], "_y": hull[:, 1]})
-
-    def ring(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull(pdf["_x"].to_numpy(), pdf["_y"].to_numpy())
-        closed = np.vstack([hull, hull[:1]]) if len(hull) > 2 else hull
-        ring = [{"x": float(a), "y": float(b)} for a, b in closed]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ring": [ring]})
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*keys).schema)
+
+    def merge(batches):
+        """Fold batches into {group: corners}, yielding full tables."""
+        found: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            xs, ys = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
+            for group, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
+                group = group if isinstance(group, tuple) else (group,)
+                px, py = xs[at], ys[at]
+                if group in found:
+                    px = np.concatenate([found[group][:, 0], px])
+                    py = np.concatenate([found[group][:, 1], py])
+                found[group] = _hull(px, py)
+            if len(found) > held:
+                yield found
+                found = {}
+        yield found
+
+    def corners(batches):
+        for found in merge(batches):
+            rows = [(*g, float(a), float(b)) for g, hull in found.items() for a, b in hull]
+            yield pd.DataFrame(rows, columns=[*keys, "_x", "_y"])
+
+    def rings(batches):
+        # Groups are whole here (hash partitioned), so nothing may be flushed early.
+        found: dict[tuple, np.ndarray] = {}
+        for part in merge(batches):
+            for group, hull in part.items():
+                if group in found:
+                    both = np.vstack([found[group], hull])
+                    hull = _hull(both[:, 0], both[:, 1])
+                found[group] = hull
+        rows = []
+        for group, hull in found.items():
+            closed = np.vstack([hull, hull[:1]]) if len(hull) > 2 else hull
+            rows.append((*group, [{"x": float(a), "y": float(b)} for a, b in closed]))
+        yield pd.DataFrame(rows, columns=[*keys, "ring"])
 
     xy = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    salted = xy.withColumn("_salt", F.pmod(F.xxhash64("_x", "_y"), F.lit(parts)))
-    partial = salted.groupBy(*keys, "_salt").applyInPandas(corners, f"{schema}, _x double, _y double")
-    return partial.groupBy(*keys).applyInPandas(ring, f"{schema}, ring array<struct<x:double,y:double>>")
+    partial = xy.mapInPandas(corners, f"{fields}, _x double, _y double")
+    return partial.repartition(*keys).mapInPandas(rings, f"{fields}, ring array<struct<x:double,y:double>>")
 
 
 def source_envelopes(particles: DataFrame, keys: list[str] | None = None) -> DataFrame:
