@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
 from slickwatch.operators.spatial import with_box_cells, with_point_cell
+from slickwatch.session import cut_lineage
 
 # Coastal buffer in degrees, distance when there is no land.
 BUFFER_DEG = 500.0 / 111320.0
@@ -33,7 +34,7 @@ def classify_pixels(pixels: DataFrame, land: DataFrame, size: float = 0.02) -> D
     )
     cells = lands.groupBy("_cx", "_cy").agg(F.collect_list("ring").alias("_rings"))
     joined = with_point_cell(pixels, "lon", "lat", size).join(cells, ["_cx", "_cy"], "left")
-    on_land = F.exists("_rings", lambda r: geo.point_in_ring(r, "lon", "lat", boundary=True))
+    on_land = F.exists("_rings", lambda r: geo.point_in_ring(r, "lon", "lat"))
     near = F.exists(
         "_rings",
         lambda r: F.exists(
@@ -107,6 +108,8 @@ def distance_to_land(candidates: DataFrame, land: DataFrame, reaches=REACHES_M)
             .agg(F.min(geo.ring_distance(F.col("ring"), F.col("land"))).alias("distance_m"))
             .filter(F.col("distance_m") <= reach)
         )
+        # Read by the result and by the next level's remainder: written once.
+        level = cut_lineage(level)
         found = level if found is None else found.unionByName(level)
         todo = todo.join(level.select("candidate_id"), "candidate_id", "left_anti")
     rest = todo.select("candidate_id", F.lit(NO_LAND_M).alias("distance_m"))

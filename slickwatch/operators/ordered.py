@@ -113,12 +113,14 @@ def distributed_rank(
     bucket_order: list[str],
     order: list[Column],
     out: str = "rank",
+    total: str | None = None,
 ) -> DataFrame:
     """Exact 1-based row number per key without sorting a key in one task.
 
     ``bucket`` columns (named by ``_b0``, ``_b1`` ...) must follow the wanted
     order; ``bucket_order`` gives 'asc' or 'desc' for each. Rows are numbered
-    inside a bucket and shifted by the rows of all buckets before it.
+    inside a bucket and shifted by the rows of all buckets before it. ``total``
+    names a column for the rows per key.
     """
     names = [f"_b{i}" for i in range(len(bucket))]
     tagged = df.select("*", *[c.alias(n) for c, n in zip(bucket, names)])
@@ -128,9 +130,10 @@ def distributed_rank(
     )
     offsets = (
         tagged.groupBy(*keys, *names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .withColumn(total or "_total", F.sum("_rows").over(Window.partitionBy(*keys)))
+        .drop("_rows", "_total")
     )
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     return (

@@ -114,13 +114,14 @@ def box_mean(pixels: DataFrame, value: str, k: int, out: str) -> DataFrame:
 def filled_scene(pixels: DataFrame) -> DataFrame:
     """Unusable pixels take the scene's median of each band (exact, where a
     strided sample would do for speed on one machine)."""
-    valid = pixels.filter("usable")
-    for band in ("vv_db", "vh_db"):
-        med = grouped_percentiles(valid, ["scene_id"], band, {"_m": 0.5}, 0.05)
-        pixels = pixels.join(med, "scene_id", "left").withColumn(
-            band.replace("_db", "_filled"), F.when(F.col("usable"), F.col(band)).otherwise(F.col("_m"))
-        ).drop("_m")
-    return pixels
+    names = {"vv_db": "_vv", "vh_db": "_vh"}
+    med = long_medians(pixels.filter("usable"), ["scene_id"], names)
+    df = pixels.join(med, "scene_id", "left")
+    for band, m in names.items():
+        df = df.withColumn(
+            band.replace("_db", "_filled"), F.when(F.col("usable"), F.col(band)).otherwise(F.col(m))
+        )
+    return df.drop(*names.values())
 
 
 def dark_seeds(filled: DataFrame, windows=WINDOWS_PX, min_contrast: float = MIN_CONTRAST_DB) -> DataFrame:
@@ -203,6 +204,12 @@ def run_edges(runs: DataFrame, band: int = 256) -> DataFrame:
     return a.join(b, ["scene_id", "_row", "_strip"]).filter(touching).select("scene_id", "a", "b").distinct()
 
 
+def _each(df: DataFrame, pairs: list[tuple[str, str]], a: str, b: str) -> DataFrame:
+    """Every row once per named column pair, in one pass."""
+    both = F.array(*[F.struct(F.col(x).alias(a), F.col(y).alias(b)) for x, y in pairs])
+    return df.select("scene_id", F.explode(both).alias("_e")).select("scene_id", f"_e.{a}", f"_e.{b}")
+
+
 def connected_runs(runs: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Least run id of each component by alternating large- and small-star.
 
@@ -213,7 +220,7 @@ def connected_runs(runs: DataFrame, edges: DataFrame, max_rounds: int = 60) -> D
     e = cut_lineage(edges.filter("a <> b"))
     for _ in range(max_rounds):
         # Large star: hang every larger neighbour on the least of the neighbourhood.
-        both = e.unionByName(e.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _each(e, [("a", "b"), ("b", "a")], "a", "b")
         least = both.groupBy("scene_id", "a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = (
             both.join(least, ["scene_id", "a"]).filter("b > a").select("scene_id", F.col("b").alias("u"), F.col("m").alias("v"))
@@ -221,12 +228,7 @@ def connected_runs(runs: DataFrame, edges: DataFrame, max_rounds: int = 60) -> D
         # Small star: hang the smaller neighbours and the node itself on the least.
         down = large.groupBy("scene_id", "u").agg(F.min("v").alias("m"))
         kept = large.join(down, ["scene_id", "u"])
-        small = (
-            kept.select("scene_id", F.col("v").alias("a"), F.col("m").alias("b"))
-            .unionByName(down.select("scene_id", F.col("u").alias("a"), F.col("m").alias("b")))
-            .filter("a <> b")
-            .distinct()
-        )
+        small = _each(kept, [("v", "m"), ("u", "m")], "a", "b").filter("a <> b").distinct()
         nxt = cut_lineage(small)
         before = e.select("scene_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         settled = nxt.count() == before.count() and not nxt.join(

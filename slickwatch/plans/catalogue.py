@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slickwatch.plans import ensemble, imagery, metocean, scene, vessel
+from slickwatch.plans import assessment, ensemble, imagery, metocean, scalars, scene, vessel
 from slickwatch.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

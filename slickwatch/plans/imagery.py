@@ -80,10 +80,14 @@ ORACLE_VIEWS["v_filled"] = """
 
 
 def box_sql(col: str, k: int) -> str:
+    """Clamped k x k mean, rows first and then columns."""
     r = k // 2
-    return f"""(SELECT f.scene_id, f.y, f.x, avg(g.{col}) AS m FROM v_filled f
-      JOIN (SELECT range AS dy FROM range({-r},{r + 1})) a ON true JOIN (SELECT range AS dx FROM range({-r},{r + 1})) b ON true
-      JOIN v_filled g ON g.scene_id=f.scene_id AND g.y=least(greatest(f.y+dy,0),f.height-1) AND g.x=least(greatest(f.x+dx,0),f.width-1)
+    steps = f"(SELECT range AS d FROM range({-r},{r + 1})) a"
+    rows = f"""(SELECT f.scene_id, f.y, f.x, f.height, avg(g.{col}) AS m FROM v_filled f JOIN {steps} ON true
+      JOIN v_filled g ON g.scene_id=f.scene_id AND g.y=f.y AND g.x=least(greatest(f.x+a.d,0),f.width-1)
+      GROUP BY f.scene_id, f.y, f.x, f.height)"""
+    return f"""(SELECT f.scene_id, f.y, f.x, avg(g.m) AS m FROM {rows} f JOIN {steps} ON true
+      JOIN {rows} g ON g.scene_id=f.scene_id AND g.x=f.x AND g.y=least(greatest(f.y+a.d,0),f.height-1)
       GROUP BY f.scene_id, f.y, f.x)"""
 
 
@@ -109,6 +113,18 @@ ORACLE_VIEWS["v_mask"] = """
 """
 
 
+# Components in SQL: every mask pixel reaches every later pixel of its component,
+# so the least pixel reaching a pixel names its component.
+LABELS = """WITH RECURSIVE px AS MATERIALIZED (SELECT scene_id, y, x, y*100000+x AS id FROM v_mask WHERE mask),
+    reach AS (SELECT scene_id, y, x, id AS root FROM px UNION
+      SELECT s.scene_id, s.y, s.x, r.root FROM reach r JOIN px s ON s.scene_id=r.scene_id
+        AND s.y BETWEEN r.y-1 AND r.y+1 AND s.x BETWEEN r.x-1 AND r.x+1),
+    lab AS (SELECT scene_id, y, x, min(root) AS label FROM reach GROUP BY scene_id, y, x),
+    comp AS (SELECT l.scene_id, label, count(*) AS pixels, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, avg(x) AS cx, avg(y) AS cy,
+       sum(x) AS sx, sum(y) AS sy, max(s.height) AS height, max(s.width) AS width FROM lab l JOIN v_scene s ON s.scene_id=l.scene_id GROUP BY l.scene_id, label)
+"""
+
+
 @query(
     "valid_pixel_mask",
     f"""SELECT scene_id, total_pixels, valid_pixels, {rnd('valid_pixels/CAST(total_pixels AS DOUBLE)')} AS valid_fraction FROM v_scene""",
@@ -184,26 +200,16 @@ def morph_open(t):
     return cleaned(t).select("scene_id", "y", "x", "mask")
 
 
-@query("connected_components")
+@query(
+    "connected_components",
+    LABELS + """SELECT scene_id, y, x, min(y*100000+x) OVER (PARTITION BY scene_id, label) AS first_pixel FROM lab""",
+)
 def connected_components(t):
     """Component label of every mask pixel; checked by flood fill in the tests."""
-    return ra.labelled_pixels(components(t))
-
-
-# Components by recursive reachability: the label is the least run id.
-ORACLE_VIEWS["v_labels"] = """
-    SELECT scene_id, y, x, min(root) AS label FROM v_reach GROUP BY scene_id, y, x
-"""
-ORACLE_VIEWS["v_comp_stats"] = """
-    SELECT l.scene_id, label, count(*) AS pixels, min(x) AS "left", min(y) AS top, max(x) AS rgt, max(y) AS bottom, avg(x) AS cx, avg(y) AS cy,
-           max(s.height) AS height, max(s.width) AS width FROM v_labels l JOIN v_scene s ON s.scene_id=l.scene_id GROUP BY l.scene_id, label
-"""
-REACH = """
-    WITH RECURSIVE v_set AS MATERIALIZED (SELECT scene_id, y, x FROM v_mask WHERE mask),
-    v_reach AS (SELECT scene_id, y, x, y*100000+x AS root FROM v_set
-      UNION SELECT s.scene_id, s.y, s.x, r.root FROM v_reach r JOIN v_set s ON s.scene_id=r.scene_id
-        AND s.y BETWEEN r.y-1 AND r.y+1 AND s.x BETWEEN r.x-1 AND r.x+1 AND s.y*100000+s.x > r.root)
-"""
+    px = ra.labelled_pixels(components(t))
+    # A label is the run id of the component's first pixel: y * 2^31 + x.
+    first = F.floor(F.col("label") / (1 << 31)) * 100000 + F.col("label") % (1 << 31)
+    return px.select("scene_id", "y", "x", first.alias("first_pixel"))
 
 
 def stats(t: Tables) -> DataFrame:
@@ -211,7 +217,11 @@ def stats(t: Tables) -> DataFrame:
     return ra.component_stats(components(t), scenes, MIN_PX)
 
 
-@query("component_stats")
+@query(
+    "component_stats",
+    LABELS + f"""SELECT scene_id, pixels, x0 AS "left", y0 AS top, x1-x0+1 AS box_w, y1-y0+1 AS box_h, {rnd('cx')} AS centroid_x,
+       {rnd('cy')} AS centroid_y, x0=0 OR y0=0 OR x1>=width-1 OR y1>=height-1 AS edge_touching FROM comp WHERE pixels >= 12""",
+)
 def component_stats(t):
     return stats(t).select(
         "scene_id", "pixels", "left", "top", "box_w", "box_h",
@@ -235,7 +245,14 @@ def component_geometry(t):
     )
 
 
-@query("component_backscatter")
+@query(
+    "component_backscatter",
+    LABELS + f"""SELECT q.scene_id, {rnd("avg(vv_db)", 9)} AS mean_vv, {rnd("avg(vh_db)", 9)} AS mean_vh, {rnd("avg(vv_db-vh_db)", 9)} AS vv_vh_diff,
+       {rnd("stddev_pop(vv_db)", 9)} AS std_vv, {rnd("avg(CASE WHEN usable THEN 1e0 ELSE 0e0 END)", 9)} AS valid_fraction, {rnd("median(vv_db)", 9)} AS median_vv,
+       {rnd("median(vh_db)", 9)} AS median_vh, {rnd("median(a.m-vv_db)", 9)} AS vv_contrast, {rnd("median(b.m-vh_db)", 9)} AS vh_contrast
+       FROM lab q JOIN v_filled f ON f.scene_id=q.scene_id AND f.y=q.y AND f.x=q.x JOIN {box_sql('vv', 9)} a ON a.scene_id=q.scene_id AND a.y=q.y AND a.x=q.x
+       JOIN {box_sql('vh', 9)} b ON b.scene_id=q.scene_id AND b.y=q.y AND b.x=q.x GROUP BY q.scene_id, q.label""",
+)
 def component_backscatter(t):
     df = ra.box_mean(ra.filled_scene(sized(t)), "vv_filled", 9, "vv_bg")
     df = ra.box_mean(df, "vh_filled", 9, "vh_bg").drop("mask", "seed")
@@ -243,10 +260,18 @@ def component_backscatter(t):
         df.select("scene_id", "y", "x", "vv_db", "vh_db", "vv_bg", "vh_bg", "usable"), ["scene_id", "y", "x"]
     )
     out = ra.component_backscatter(px, ["scene_id", "label"])
-    return out.select("scene_id", "label", *[geo.rnd(c, 6).alias(c) for c in out.columns if c not in ("scene_id", "label")])
+    return out.select("scene_id", *[geo.rnd(c, 9).alias(c) for c in out.columns if c not in ("scene_id", "label")])
 
 
-@query("scene_spill_stats")
+@query(
+    "scene_spill_stats",
+    LABELS + f"""SELECT s.scene_id, coalesce(oil, 0) AS oil_pixels, {rnd('coalesce(oil,0)/CAST(total_pixels AS DOUBLE)')} AS oil_fraction,
+       coalesce(n, 0) AS components, coalesce(largest, 0) AS largest_pixels, {rnd('CASE WHEN n > 0 THEN largest/CAST(oil AS DOUBLE) END')} AS largest_fraction,
+       {rnd('CASE WHEN n > 0 THEN n/CAST(oil AS DOUBLE) END')} AS fragmentation, {rnd('CASE WHEN n > 0 THEN n*10000/CAST(oil AS DOUBLE) END')} AS components_per_10k,
+       {rnd('CASE WHEN n > 0 THEN sx/oil END')} AS centroid_x, {rnd('CASE WHEN n > 0 THEN sy/oil END')} AS centroid_y
+       FROM v_scene s LEFT JOIN (SELECT scene_id, CAST(sum(pixels) AS BIGINT) AS oil, count(*) FILTER (pixels >= 12) AS n,
+         max(pixels) FILTER (pixels >= 12) AS largest, CAST(sum(sx) AS DOUBLE) AS sx, CAST(sum(sy) AS DOUBLE) AS sy FROM comp GROUP BY scene_id) c ON c.scene_id=s.scene_id""",
+)
 def scene_spill_stats(t):
     scenes = ra.scene_validity(usable(t))
     df = ra.spill_stats(components(t), scenes, MIN_PX)
@@ -395,7 +420,9 @@ ORACLE_VIEWS["v_land_class"] = """
     SELECT p.scene_id, p.y, p.x, p.lon, p.lat, coalesce(min(CASE WHEN h.ins THEN 0 WHEN h.near THEN 2 END), 1) AS land_class
     FROM v_map_pixels p LEFT JOIN (
       SELECT p.scene_id, p.y, p.x, e.land_id,
-        sum(CASE WHEN (y1>lat) <> (y2>lat) AND lon < (x2-x1)*(lat-y1)/(y2-y1)+x1 THEN 1 ELSE 0 END) % 2 = 1 AS ins,
+        sum(CASE WHEN (y1>lat) <> (y2>lat) AND lon < (x2-x1)*(lat-y1)/(y2-y1)+x1 THEN 1 ELSE 0 END) % 2 = 1
+          AND NOT bool_or((x2-x1)*(lat-y1)-(y2-y1)*(lon-x1) = 0 AND lon BETWEEN least(x1,x2) AND greatest(x1,x2)
+            AND lat BETWEEN least(y1,y2) AND greatest(y1,y2)) AS ins,
         min(sqrt(pow(x1+tt*(x2-x1)-lon,2)+pow(y1+tt*(y2-y1)-lat,2))) <= 500e0/111320e0 AS near
       FROM (SELECT p.*, e.*, greatest(0e0, least(1e0, ((lon-x1)*(x2-x1)+(lat-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) AS tt
             FROM v_map_pixels p JOIN (SELECT land_id, min(x1) AS bx0, max(x1) AS bx1, min(y1) AS by0, max(y1) AS by1 FROM v_land_edges GROUP BY land_id) b

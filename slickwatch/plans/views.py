@@ -258,8 +258,9 @@ def _with_clause(main: str, known: dict[str, str]) -> str:
         return main
     ctes = ",\n".join(f"{name} AS ({known[name].strip()})" for name in order)
     main = main.strip()
-    if main.startswith("WITH "):
-        return f"WITH {ctes},\n{main[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if main.startswith(head):
+            return f"{head}{ctes},\n{main[len(head):]}"
     return f"WITH {ctes}\n{main}"
 
 
