@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType
 
 from slickwatch.functions import geo
 from slickwatch.operators.ordered import grouped_percentiles
+from slickwatch.session import cut_lineage
 
 # Status codes, quality limits and labels.
 STATUS_CODES = {"active": 0, "stranded": 1, "deactivated": 2, "out_of_domain": 3, "missing_forcing": 4}
@@ -373,6 +374,43 @@ def horizon_temporal_class(horizon="horizon_hours", release="release_start") ->
     )
 
 
+def _edge_distances(live: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Containment and boundary distance of each particle.
+
+    Edges are plain rows of the small polygon side, so the arithmetic is code
+    generated; the edges of one particle meet again in a map-side aggregate.
+    """
+    e = targets.select("hypothesis", F.explode(geo.edges(F.col("ring"))).alias("e")).select("hypothesis", "e.*")
+    p = live.select(*keys, "lat", "lon", F.monotonically_increasing_id().alias("_id"))
+    x, y = F.col("lon"), F.col("lat")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    share = ((x - F.col("x1")) * dx + (y - F.col("y1")) * dy) / (dx * dx + dy * dy)
+    cross = dx * (y - F.col("y1")) - dy * (x - F.col("x1"))
+    touch = (
+        (cross == 0)
+        & x.between(F.least("x1", "x2"), F.greatest("x1", "x2"))
+        & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    )
+    hit = F.when(
+        (F.col("y1") > y) != (F.col("y2") > y), x < dx * (y - F.col("y1")) / dy + F.col("x1")
+    ).otherwise(False)
+    rows = p.join(e, "hypothesis")
+    rows = rows.withColumn(
+        "_t", F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    )
+    rows = rows.withColumn("_nx", F.col("x1") + F.col("_t") * dx).withColumn("_ny", F.col("y1") + F.col("_t") * dy)
+    d2 = (F.col("_nx") - x) * (F.col("_nx") - x) + (F.col("_ny") - y) * (F.col("_ny") - y)
+    rows = rows.select(
+        *keys, "lat", "lon", "_id", hit.alias("_hit"), touch.alias("_touch"), d2.alias("_d2"),
+        (geo.haversine_m("lat", "lon", "_ny", "_nx") / 1000).alias("_km"),
+    )
+    one = rows.groupBy(*keys, "lat", "lon", "_id").agg(
+        F.count_if("_hit").alias("_n"), F.count_if("_touch").alias("_on"), F.min_by("_km", "_d2").alias("_km")
+    )
+    inside = (F.col("_n") % 2 == 1) & (F.col("_on") == 0)
+    return one.select(*keys, "lat", "lon", inside.alias("_in"), F.when(inside, 0.0).otherwise(F.col("_km")).alias("_km"))
+
+
 def arrival_metrics(particles: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Closure of each arrival cloud on its candidate polygon.
 
@@ -384,16 +422,9 @@ def arrival_metrics(particles: DataFrame, targets: DataFrame, keys: list[str]) -
         "hypothesis",
         "ring",
         geo.ring_centroid(F.col("ring")).alias("_tc"),
-        geo.ring_bbox(F.col("ring")).alias("_tb"),
         geo.ring_area(F.col("ring")).alias("_ta"),
     )
-    live = active(particles).join(shapes.select("hypothesis", "ring", "_tb"), "hypothesis")
-    in_box = F.col("lon").between(F.col("_tb.min_x"), F.col("_tb.max_x")) & F.col("lat").between(
-        F.col("_tb.min_y"), F.col("_tb.max_y")
-    )
-    inside = F.when(in_box, geo.point_in_ring(F.col("ring"), "lon", "lat")).otherwise(False)
-    km = F.when(inside, 0.0).otherwise(geo.segment_distance_m(F.col("ring"), "lat", "lon") / 1000)
-    live = live.select(*keys, "lat", "lon", inside.alias("_in"), km.alias("_km"))
+    live = cut_lineage(_edge_distances(active(particles), targets, keys))
     seeded = particles.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     agg = live.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("active_count"),
@@ -404,7 +435,7 @@ def arrival_metrics(particles: DataFrame, targets: DataFrame, keys: list[str]) -
         F.count_if(F.col("_km") <= 2.0).alias("_n_2k"),
     )
     dist = grouped_percentiles(live, keys, "_km", {"median_distance_km": 0.5, "p90_distance_km": 0.9}, 0.1)
-    df = seeded.join(agg, keys, "left").join(dist, keys, "left").join(shapes.drop("ring", "_tb"), "hypothesis", "left")
+    df = seeded.join(agg, keys, "left").join(dist, keys, "left").join(shapes.drop("ring"), "hypothesis", "left")
     n = F.coalesce("active_count", F.lit(0))
     cent = geo.haversine_m("centroid_lat", "centroid_lon", "_tc.y", "_tc.x") / 1000
     area = F.col("_ta") * KM_PER_DEG_CLOSURE * KM_PER_DEG_CLOSURE * F.cos(F.radians("_tc.y"))

@@ -54,68 +54,82 @@ def case_positions(positions: DataFrame, cases: DataFrame, half_deg: float = AOI
     )
 
 
+def _closest_vertices(p: DataFrame, live: DataFrame) -> DataFrame:
+    """Least vertex distance per track and region, fully code generated.
+
+    Vertices are plain rows of the bounded region side, distances squared
+    chords; the minimum over reports and vertices is one partial aggregate.
+    """
+    corner = F.explode(F.slice("ring", 1, F.size("ring") - 1))
+    vertices = live.select("case_id", "region_id", corner.alias("_p")).select(
+        "case_id", "region_id", geo.unit_vector("_p.y", "_p.x").alias("v")
+    ).select("case_id", "region_id", F.col("v.ux").alias("vx"), F.col("v.uy").alias("vy"), F.col("v.uz").alias("vz"))
+    u = p.select("case_id", "mmsi", "sec", geo.unit_vector("lat", "lon").alias("u")).select(
+        "case_id", "mmsi", "sec", "u.ux", "u.uy", "u.uz"
+    )
+    dx, dy, dz = F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy"), F.col("uz") - F.col("vz")
+    near = u.join(vertices, "case_id").select(
+        "case_id", "mmsi", "region_id", "sec", (geo.chord_to_m(dx * dx + dy * dy + dz * dz) / 1000).alias("d")
+    )
+    return near.groupBy("case_id", "mmsi", "region_id").agg(
+        F.min("d").alias("_km"), F.min(_packed("d", "sec")).alias("_packed")
+    )
+
+
+def _closest_segments(p: DataFrame, live: DataFrame) -> DataFrame:
+    """Least distance to the boundary segments per track and region."""
+    d = geo.segment_distance_m(F.col("ring"), "lat", "lon") / 1000
+    near = p.join(live.select("case_id", "region_id", "ring"), "case_id").select(
+        "case_id", "mmsi", "region_id", "sec", d.alias("d")
+    )
+    return near.groupBy("case_id", "mmsi", "region_id").agg(
+        F.min("d").alias("_km"), F.min(_packed("d", "sec")).alias("_packed")
+    )
+
+
+def _packed(km: str, seconds: str):
+    """Distance in centimetres above, unix seconds below, in one long: its
+    minimum is the earliest report within a centimetre of the least distance,
+    and a long keeps the aggregate in code generation."""
+    return F.floor(F.col(km) * 1e5) * F.lit(4294967296) + F.col(seconds)
+
+
 def track_region_distance(
     points: DataFrame, regions: DataFrame, profiles: DataFrame, boundary: str = "vertex"
 ) -> DataFrame:
     """Closest approach of every track of a case to every eligible region of it.
 
-    ``regions`` holds at most a few dozen rows per case (at most ten hypotheses
-    times four horizons), so they ride along as one array per case and the
-    fan-out per position is bounded. Distances to vertices are compared as
-    squared chords, so trigonometry runs once per position and once per result
-    row. ``boundary='segment'`` measures to the edges instead of the vertices.
-
-    The time of closest approach is the earliest report within one centimetre
-    of the minimum: distance and time are packed into one long, which keeps the
-    aggregate in whole-stage code generation and partial on the map side.
+    A case has at most a few dozen regions (at most ten hypotheses times four
+    horizons), so the fan-out per position is bounded and the region side is
+    small. Containment is tested only for reports inside a region's box.
+    ``boundary='segment'`` measures to the edges instead of the vertices.
     """
-    box = geo.ring_bbox(F.col("ring"))
-    per_case = (
-        regions.filter("eligible")
-        .select(
-            "case_id",
-            F.struct(
-                "region_id",
-                "candidate_id",
-                "horizon_hours",
-                "c_lat",
-                "c_lon",
-                "ring",
-                box.alias("box"),
-                F.transform("ring", lambda p: geo.unit_vector(p["y"], p["x"])).alias("units"),
-            ).alias("r"),
-        )
-        .groupBy("case_id")
-        .agg(F.collect_list("r").alias("rs"))
-    )
-    p = points.select(
-        "case_id", "mmsi", "ts", "lat", "lon", geo.unit_vector("lat", "lon").alias("u")
-    )
-    pairs = p.join(per_case, "case_id").withColumn("r", F.explode("rs")).drop("rs")
-    near_box = F.col("lon").between(F.col("r.box.min_x"), F.col("r.box.max_x")) & F.col(
-        "lat"
-    ).between(F.col("r.box.min_y"), F.col("r.box.max_y"))
-    inside = F.when(near_box, geo.point_in_ring(F.col("r.ring"), "lon", "lat")).otherwise(False)
-    if boundary == "segment":
-        outside_km = geo.segment_distance_m(F.col("r.ring"), "lat", "lon") / 1000
-    else:
-        chord = F.array_min(F.transform("r.units", lambda v: geo.chord_sq(F.col("u"), v)))
-        outside_km = geo.chord_to_m(chord) / 1000
-    pairs = pairs.select(
+    live = regions.filter("eligible")
+    p = points.select("case_id", "mmsi", "lat", "lon", F.unix_seconds("ts").alias("sec"))
+    closest = _closest_segments(p, live) if boundary == "segment" else _closest_vertices(p, live)
+    boxes = live.select("case_id", "region_id", "ring", geo.ring_bbox(F.col("ring")).alias("b")).select(
+        "case_id", "region_id", "ring", "b.min_x", "b.max_x", "b.min_y", "b.max_y"
+    )
+    in_box = F.col("lon").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(
+        F.col("min_y"), F.col("max_y")
+    )
+    within = (
+        p.join(boxes, "case_id")
+        .filter(in_box)
+        .filter(geo.point_in_ring(F.col("ring"), "lon", "lat"))
+        .groupBy("case_id", "mmsi", "region_id")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("sec").alias("_first"))
+    )
+    n = F.coalesce("_n", F.lit(0)).cast("bigint")
+    met = closest.join(within, ["case_id", "mmsi", "region_id"], "left").select(
         "case_id",
         "mmsi",
-        F.col("r.region_id").alias("region_id"),
-        "ts",
-        inside.alias("inside"),
-        F.when(inside, 0.0).otherwise(F.coalesce(outside_km, F.lit(NO_RING_KM))).alias("d"),
-    )
-    packed = F.floor(F.col("d") * 1e5) * F.lit(4294967296) + F.unix_seconds("ts")
-    met = pairs.groupBy("case_id", "mmsi", "region_id").agg(
-        F.min("d").alias("min_km"),
-        F.min(packed).alias("_packed"),
-        F.count_if("inside").alias("inside_points"),
-    )
-    facts = regions.select("case_id", "region_id", "candidate_id", "horizon_hours", "c_lat", "c_lon")
+        "region_id",
+        n.alias("inside_points"),
+        F.when(n > 0, 0.0).otherwise(F.coalesce("_km", F.lit(NO_RING_KM))).alias("min_km"),
+        F.when(n > 0, F.col("_first")).otherwise(F.col("_packed") % F.lit(4294967296)).alias("_sec"),
+    )
+    facts = live.select("case_id", "region_id", "candidate_id", "horizon_hours", "c_lat", "c_lon")
     tracks = profiles.select(
         "case_id", "mmsi", "vessel_name", "vessel_type", "median_gap_minutes", "first_lat", "first_lon"
     )
@@ -133,7 +147,7 @@ def track_region_distance(
             geo.rnd("min_km", 3).alias("min_distance_km"),
             ((F.col("inside_points") > 0) | (F.col("min_km") <= BUFFER_KM)).alias("intersects"),
             "inside_points",
-            F.timestamp_seconds(F.col("_packed") % F.lit(4294967296)).alias("closest_ts"),
+            F.timestamp_seconds("_sec").alias("closest_ts"),
             geo.rnd(F.col("inside_points") * F.col("median_gap_minutes"), 1).alias("dwell_minutes"),
             geo.rnd(
                 geo.haversine_m("first_lat", "first_lon", "c_lat", "c_lon") / 1000, 3

@@ -10,6 +10,7 @@ from slickwatch.functions.text import iso_z
 from slickwatch.operators import positions as pos
 from slickwatch.operators import regions as reg
 from slickwatch.operators import scoring, tracks
+from slickwatch.operators.ordered import groups_are_small
 from slickwatch.plans.registry import Tables, query, rnd
 from slickwatch.plans.views import ORACLE_VIEWS
 from slickwatch.session import cut_lineage
@@ -55,21 +56,24 @@ CASE_KEYS = ["case_id", "mmsi"]
 
 
 def case_tracks(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Linked reports of every case, written once, and the track profiles.
+    """Reports retrieved for every case, written once, and the track profiles.
 
-    Distances, totals and medians all read the linked reports; the checkpoint
-    saves repeating the retrieval and the ordering for each of them.
+    Distances, ordering and totals all read the retrieved reports; the
+    checkpoint saves repeating the retrieval for each of them.
     """
-    linked = tracks.with_previous(case_points(t), CASE_KEYS).select(
-        *CASE_KEYS, "ts", "lat", "lon", "sog", "vessel_name", "vessel_type", "gap_minutes", "sharp_turn", "is_start"
+    points = case_points(t).select(
+        *CASE_KEYS, "ordinal", "ts", "lat", "lon", "sog", "cog", "vessel_name", "vessel_type"
     )
-    linked = cut_lineage(linked)
-    return linked, cut_lineage(tracks.vessel_profiles(linked, CASE_KEYS))
+    # Retrieval multiplies rows; spread them evenly, never by vessel.
+    points = cut_lineage(points.repartition("ordinal"))
+    small = groups_are_small(points, CASE_KEYS)
+    profiles = tracks.vessel_profiles(tracks.with_previous(points, CASE_KEYS, small), CASE_KEYS, small)
+    return points, cut_lineage(profiles)
 
 
 def intersections(t: Tables):
-    linked, profiles = case_tracks(t)
-    return reg.track_region_distance(linked, regions(t), profiles), profiles
+    points, profiles = case_tracks(t)
+    return reg.track_region_distance(points, regions(t), profiles), profiles
 
 
 def scored(t: Tables) -> DataFrame:
@@ -78,8 +82,16 @@ def scored(t: Tables) -> DataFrame:
     return scoring.priority(scoring.component_scores(rows))
 
 
+def linked(t: Tables) -> tuple[DataFrame, bool]:
+    """Every vessel's reports in order, and whether all vessels are small."""
+    clean = pos.clean_positions(parsed(t))
+    small = groups_are_small(clean, ["mmsi"])
+    return tracks.with_previous(clean, ["mmsi"], small), small
+
+
 def all_tracks(t: Tables) -> DataFrame:
-    return tracks.vessel_profiles(tracks.with_previous(pos.clean_positions(parsed(t)), ["mmsi"]))
+    rows, small = linked(t)
+    return tracks.vessel_profiles(rows, ["mmsi"], small)
 
 
 def coverage(t: Tables) -> DataFrame:
@@ -304,7 +316,7 @@ def chrono_sort(t):
 
 @query("report_gaps", f"SELECT ordinal, mmsi, {rnd('gap_minutes')} AS gap_minutes FROM v_linked")
 def report_gaps(t):
-    return tracks.with_previous(pos.clean_positions(parsed(t)), ["mmsi"]).select(
+    return linked(t)[0].select(
         "ordinal", "mmsi", geo.rnd("gap_minutes", 6).alias("gap_minutes")
     )
 
@@ -314,7 +326,7 @@ def report_gaps(t):
     f"SELECT ordinal, mmsi, {rnd('turn_deg')} AS turn_deg, coalesce(turn_deg >= 45, false) AS sharp_turn FROM v_linked",
 )
 def course_turns(t):
-    return tracks.with_previous(pos.clean_positions(parsed(t)), ["mmsi"]).select(
+    return linked(t)[0].select(
         "ordinal", "mmsi", geo.rnd("turn_deg", 6).alias("turn_deg"), "sharp_turn"
     )
 
