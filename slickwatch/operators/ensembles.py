@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType
 
 from slickwatch.functions import geo
 from slickwatch.operators.ordered import grouped_percentiles
-from slickwatch.session import cut_lineage
+from slickwatch.session import staged
 
 # Status codes, quality limits and labels.
 STATUS_CODES = {"active": 0, "stranded": 1, "deactivated": 2, "out_of_domain": 3, "missing_forcing": 4}
@@ -424,7 +424,7 @@ def arrival_metrics(particles: DataFrame, targets: DataFrame, keys: list[str]) -
         geo.ring_centroid(F.col("ring")).alias("_tc"),
         geo.ring_area(F.col("ring")).alias("_ta"),
     )
-    live = cut_lineage(_edge_distances(active(particles), targets, keys))
+    live = staged(_edge_distances(active(particles), targets, keys), "arrivals")
     seeded = particles.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     agg = live.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("active_count"),

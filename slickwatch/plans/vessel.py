@@ -13,7 +13,7 @@ from slickwatch.operators import scoring, tracks
 from slickwatch.operators.ordered import groups_are_small
 from slickwatch.plans.registry import Tables, query, rnd
 from slickwatch.plans.views import ORACLE_VIEWS
-from slickwatch.session import cut_lineage
+from slickwatch.session import cut_lineage, staged
 
 # Fixed offsets of the test rings, in degrees: a hexagon, a notched L shape and
 # a narrow rectangle with a bent top.
@@ -58,14 +58,14 @@ CASE_KEYS = ["case_id", "mmsi"]
 def case_tracks(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Reports retrieved for every case, written once, and the track profiles.
 
-    Distances, ordering and totals all read the retrieved reports; the
-    checkpoint saves repeating the retrieval for each of them.
+    Distances, ordering and totals all read the retrieved reports; staging them
+    saves repeating the retrieval for each.
     """
     points = case_points(t).select(
         *CASE_KEYS, "ordinal", "ts", "lat", "lon", "sog", "cog", "vessel_name", "vessel_type"
     )
     # Retrieval multiplies rows; spread them evenly, never by vessel.
-    points = cut_lineage(points.repartition("ordinal"))
+    points = staged(points.repartition("ordinal"), "case-points")
     small = groups_are_small(points, CASE_KEYS)
     profiles = tracks.vessel_profiles(tracks.with_previous(points, CASE_KEYS, small), CASE_KEYS, small)
     return points, cut_lineage(profiles)

@@ -74,3 +74,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    For wide intermediate tables read several times: like a checkpoint it cuts
+    the lineage and outlives executors, and readers get columns on demand.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
