@@ -164,11 +164,3 @@ def distributed_rank(
         .drop("_in", "_before", *names)
     )
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only if the side really is small.
-
-    Counting at most ``max_rows + 1`` rows is cheap; beyond the bound the frame
-    is returned as it is and the join shuffles.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

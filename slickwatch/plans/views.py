@@ -16,9 +16,6 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
-DUCK = {"us": "epoch_us", "ts_cast": "{}", "mkts": "make_timestamp"}
-SPARK = {"us": "unix_micros", "mkts": "timestamp_micros"}
-
 VIEWS: dict[str, str] = {
     # Vessel reports. Fixed residues carry each kind of fault: bad latitude,
     # short identity, impossible speed, out-of-range course, repeated report,
