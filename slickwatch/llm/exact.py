@@ -84,17 +84,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Decided by :func:`exact_groups`; of rows that repeat doc_id and text, one
     stays. Rows without doc_id stay if no row of their text has one.
     """
-    mark = fresh(docs, "keep")
-    key = fresh(docs, "id")
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(key)).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]), "left_semi")
     names = docs.columns
-    count = stay.groupBy("doc_id").agg(F.count("*").alias(mark)).filter(F.col(mark) > 1).select(F.col("doc_id").alias(key))
-    single = stay.join(count, stay["doc_id"].eqNullSafe(count[key]), "left_anti")
-    several = stay.join(count, stay["doc_id"].eqNullSafe(count[key]), "left_semi")
-    rest = [F.first(c).alias(c) for c in names if c not in ("doc_id", "text")]
-    several = several.groupBy("doc_id", "text").agg(*rest) if rest else several.distinct()
-    return single.unionByName(several.select(*names))
+    n, key, digest, other = (fresh(docs, x) for x in ("n", "id", "digest", "other"))
+    kept = (
+        exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(other))
+        .agg(F.count("*").alias(n))
+    )
+    rows = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    stay = rows.join(kept, (F.col(digest) == F.col(other)) & rows["doc_id"].eqNullSafe(kept[key]))
+    repeated = stay.filter(F.col(n) > 1)
+    rest = [F.first(c).alias(c) for c in names if c != "doc_id"]
+    repeated = repeated.groupBy("doc_id", digest).agg(*rest)
+    return stay.filter(F.col(n) == 1).select(*names).unionByName(repeated.select(*names))
 
 
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
