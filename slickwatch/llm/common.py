@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,5 +86,51 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def unique_name(stem: str) -> str:
-    return f"{stem}_{uuid.uuid4().hex}"
+def rows_named(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``names`` (doc_id, digest of the text) lists, all columns.
+
+    A null id names rows without id. Rows that repeat both give one row. The
+    texts are shuffled once.
+    """
+    n, key, digest, other = (fresh(docs, x) for x in ("n", "id", "digest", "other"))
+    listed = names.groupBy(F.col("doc_id").alias(key), F.col("digest").alias(other)).agg(F.count("*").alias(n))
+    rows = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    stay = rows.join(listed, (F.col(digest) == F.col(other)) & rows["doc_id"].eqNullSafe(listed[key]))
+    rest = [F.first(c).alias(c) for c in docs.columns if c != "doc_id"]
+    repeated = stay.filter(F.col(n) > 1).groupBy("doc_id", digest).agg(*rest)
+    return stay.filter(F.col(n) == 1).select(*docs.columns).unionByName(repeated.select(*docs.columns))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the graph with edges (a, b); root is the smallest node reachable.
+
+    Alternates large and small stars until the edges stay the same. The least
+    neighbour of a node is an aggregate with map-side combining, joined back, so
+    a hub is never one task. Each round is checkpointed; only a count and a hash
+    sum of the edges reach the driver.
+    """
+
+    def least(pairs: DataFrame, spread) -> DataFrame:
+        lows = pairs.groupBy("a").agg(F.min("b").alias("m"))
+        return spread(pairs.join(lows.withColumn("m", F.least("a", "m")), "a")).filter("a <> b").distinct()
+
+    def large(pairs: DataFrame) -> DataFrame:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return least(both, lambda x: x.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+
+    def small(pairs: DataFrame) -> DataFrame:
+        down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        return least(
+            down,
+            lambda x: x.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(x.select("a", F.col("m").alias("b"))),
+        )
+
+    def state(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = checkpointed(edges.select("a", "b").filter("a <> b").distinct())
+    before = None
+    while before != (held := state(now)):
+        before = held
+        now = checkpointed(small(large(now)))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

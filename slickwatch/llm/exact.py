@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slickwatch.llm.common import fresh, table
+from slickwatch.llm.common import rows_named, table
 from slickwatch.session import staged
 
 #: A digest is hot beyond this share of all rows, so there are at most 4,096 hot ones.
@@ -84,18 +84,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Decided by :func:`exact_groups`; of rows that repeat doc_id and text, one
     stays. Rows without doc_id stay if no row of their text has one.
     """
-    names = docs.columns
-    n, key, digest, other = (fresh(docs, x) for x in ("n", "id", "digest", "other"))
-    kept = (
-        exact_groups(docs).filter("kept").groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(other))
-        .agg(F.count("*").alias(n))
-    )
-    rows = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
-    stay = rows.join(kept, (F.col(digest) == F.col(other)) & rows["doc_id"].eqNullSafe(kept[key]))
-    repeated = stay.filter(F.col(n) > 1)
-    rest = [F.first(c).alias(c) for c in names if c != "doc_id"]
-    repeated = repeated.groupBy("doc_id", digest).agg(*rest)
-    return stay.filter(F.col(n) == 1).select(*names).unionByName(repeated.select(*names))
+    kept = exact_groups(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    return rows_named(docs, kept)
 
 
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

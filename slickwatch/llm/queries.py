@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from slickwatch.llm import exact
+from slickwatch.llm import exact, simhash
 
-QUERIES = {"op4_exact_dedup": exact.op4_exact_dedup}
+QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash,
+    "op4_exact_dedup": exact.op4_exact_dedup,
+}
 ORACLES = {"op4_exact_dedup": exact.ORACLE_OP4}
