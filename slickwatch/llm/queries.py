@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from slickwatch.llm import bpe, exact, simhash
+from slickwatch.llm import bpe, exact, packing, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash,
     "op3_bpe": bpe.op3_bpe,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_packing": packing.op5_packing,
 }
 ORACLES = {"op4_exact_dedup": exact.ORACLE_OP4}
