@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from slickwatch.llm import bpe, exact, packing, simhash
+from slickwatch.llm import bpe, exact, packing, simhash, token_counts
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash,
     "op3_bpe": bpe.op3_bpe,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_packing": packing.op5_packing,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {"op4_exact_dedup": exact.ORACLE_OP4}
