@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from slickwatch.llm import bpe, exact, packing, simhash, token_counts
+from slickwatch.llm import bpe, cross_entropy, exact, packing, quality, simhash, token_counts
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_simhash_near_dedup": simhash.op2_simhash,
     "op3_bpe": bpe.op3_bpe,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_lm_scoring": cross_entropy.op6_lm_scoring,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {"op4_exact_dedup": exact.ORACLE_OP4}
