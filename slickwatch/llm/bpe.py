@@ -80,7 +80,8 @@ class Bpe:
             if sound[i]:
                 self.longest.add_word(self.form(t), i)
         self.longest.make_automaton()
-        self.memory: dict[str, tuple[int, str, str]] = {}
+        self.memory: dict[str, tuple[int, str, str]] = {}  # of pieces between white space
+        self.spelt: dict[str, tuple[int, str, str]] = {}  # of words, which more pieces share
         self.checked, self.merged = 0, 0
 
     @staticmethod
@@ -160,7 +161,7 @@ class Bpe:
             return []
         forms = []
         for w in words:
-            body = "".join([self.letters[x] for x in w.encode()])
+            body = w if w.isascii() and w.isprintable() else "".join([self.letters[x] for x in w.encode()])
             forms.append(body[:-1] + chr(ord(body[-1]) + PRIME))
         found = np.fromiter(self.longest.iter_long("".join(forms)), np.dtype((np.int64, 2)))
         ends, ids = found[:, 0], found[:, 1]
@@ -195,20 +196,29 @@ class Bpe:
 
     def encode(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
         """For each text its pieces as (tokens, ids, token texts), joined by spaces."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+        for memory in (self.memory, self.spelt):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         split = [self.pieces(t) for t in texts]
-        known = self.memory
-        new = list({p for ps in split for p in ps if p not in known})
+        known, spelt, find = self.memory, self.spelt, self.words.findall
+        new = {p for ps in split for p in ps if p not in known}
+        words = {p: find(p) if isinstance(p, str) else [] for p in new}
+        unspelt = list({w for ws in words.values() for w in ws if w not in spelt})
         long: dict = {}
-        words = [self.words.findall(p) if isinstance(p, str) else [] for p in new]
-        different = list(dict.fromkeys(w for ws in words for w in ws))
-        ids = dict(zip(different, self.encode_words(different)))
-        for p, ws in zip(new, words):
-            own = [i for w in ws for i in ids[w]] if isinstance(p, str) else [p]
-            entry = (len(own), " ".join(map(str, own)), " ".join([self.names[i] for i in own]))
-            (long if isinstance(p, str) and len(p) > LONG else known)[p] = entry
-        return [[long[p] if p in long else known[p] for p in ps] for ps in split]
+        for w, ids in zip(unspelt, self.encode_words(unspelt)):
+            entry = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+            (spelt if len(w) <= LONG else long)[w] = entry
+        own: dict = {}
+        for p, ws in words.items():
+            if len(ws) == 1:
+                entry = spelt.get(ws[0]) or long[ws[0]]
+            elif isinstance(p, str):
+                each = [spelt.get(w) or long[w] for w in ws]
+                entry = (sum([e[0] for e in each]), " ".join([e[1] for e in each]), " ".join([e[2] for e in each]))
+            else:
+                entry = (1, str(p), self.names[p])
+            (own if isinstance(p, str) and len(p) > LONG else known)[p] = entry
+        return [[own[p] if p in own else known[p] for p in ps] for ps in split]
 
 
 @lru_cache(maxsize=2)
