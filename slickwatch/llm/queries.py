@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slickwatch.llm import bpe, cross_entropy, exact, packing, quality, simhash, token_counts
+from slickwatch.llm import bpe, cross_entropy, exact, language, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_packing": packing.op5_packing,
     "op6_lm_scoring": cross_entropy.op6_lm_scoring,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op9_language_id": language.op9_language_id,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {"op4_exact_dedup": exact.ORACLE_OP4}
