@@ -15,7 +15,9 @@ are at most as many phases as queues. Every window but the last is full.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,26 +26,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slickwatch.llm.bpe import byte_letters
 from slickwatch.llm.common import table
 from slickwatch.session import staged
 
 WINDOW, CYCLE, QUEUES = 1024, 64, 64
-REMEMBERED, LONG = 300_000, 60
+REMEMBERED, LONG = 600_000, 60
+# Fixed value: the vocabulary's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteBpe:
-    """Token ids of the library, remembered for the pieces between single spaces."""
+    """Token ids of a byte-level vocabulary file, remembered for the pieces between single spaces.
+
+    Pieces are encoded by rank, which is the library's result where ids follow
+    the order of merges; that is looked up once, and other files go to the library whole.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = list({t.content for t in self.library.get_added_tokens_decoder().values()})
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        value = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(value[c] for c in t): i for t, i in vocab.items() if t not in self.special}
+        made = [vocab["".join(m)] for m in merges]
+        self.by_rank = made == sorted(made) and len(made) + 256 == len(ranks) and min(made) == 256
+        self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memory: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        ids = array("I", self.words.encode_ordinary(piece)).tobytes()
+        if len(piece) <= LONG:
+            self.memory[piece] = ids
+        return ids
+
     def ids(self, text: str) -> bytes:
         """Ids of a text, little-endian unsigned 32-bit.
 
@@ -53,19 +77,14 @@ class ByteBpe:
         """
         if not text:
             return b""
-        if "  " in text or any(s in text for s in self.special):
+        if not self.by_rank or "  " in text or any(s in text for s in self.special):
             return self.raw(text)
         first, *rest = text.split(" ")
-        known = self.memory
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [p for p in set(rest) if p not in known]
-        long = {}
-        for p, e in zip(new, self.library.encode_batch_fast([" " + p for p in new], add_special_tokens=False)):
-            (known if len(p) <= LONG else long)[p] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            return (self.raw(first) if first else b"") + b"".join([long[p] if p in long else known[p] for p in rest])
-        return (self.raw(first) if first else b"") + b"".join([known[p] for p in rest])
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        known, piece = self.memory.get, self.piece
+        head = array("I", self.words.encode_ordinary(first)).tobytes()
+        return head + b"".join([known(p) or piece(p) for p in [" " + p for p in rest]])
 
 
 @lru_cache(maxsize=2)
