@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slickwatch.llm import bpe, cross_entropy, exact, language, packing, quality, simhash, token_counts, toxicity
+from slickwatch.llm import bpe, cross_entropy, exact, language, neighbours, packing, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_lm_scoring": cross_entropy.op6_lm_scoring,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_ann": neighbours.op8_ann,
     "op9_language_id": language.op9_language_id,
     "op10_token_counts": token_counts.op10_token_counts,
 }

@@ -80,4 +80,4 @@ def test_untaught(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
     model = toxicity.trained(empty, empty)
     assert toxicity.scored(empty, model).collect() == []
-    assert model.scores(pa.array(["text"]))[0] == pytest.approx(0.5, abs=0.01)
+    assert model.scores(pa.array(["text"]))[0] < 0.01  # no toxic document was seen
