@@ -165,13 +165,13 @@ def convex_hulls(points: DataFrame, keys: list[str], x: str = "lon", y: str = "l
 
 
 def source_envelopes(particles: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Envelope ring, kind and particle count per group (groups without active
-    particles have no row)."""
+    """Envelope ring, kind and particle count per group; a group without active
+    particles has count 0 and neither ring nor kind."""
     keys = keys or ["hypothesis", "horizon"]
     hulls = convex_hulls(trimmed(particles, keys), keys)
-    counts = active(particles).groupBy(*keys).agg(F.count(F.lit(1)).alias("particle_count"))
-    kind = F.when(F.size("ring") >= 4, "Polygon").when(F.size("ring") == 2, "LineString").otherwise("Point")
-    return hulls.join(counts, keys).withColumn("geometry_type", kind)
+    counts = particles.groupBy(*keys).agg(F.count_if(F.col("status") == 0).alias("particle_count"))
+    kind = F.when(F.col("ring").isNull(), F.lit(None)).when(F.size("ring") >= 4, "Polygon").when(F.size("ring") == 2, "LineString").otherwise("Point")
+    return counts.join(hulls, keys, "left").withColumn("geometry_type", kind)
 
 
 def centers(particles: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from slickwatch.session import cut_lineage
 # Coastal buffer in degrees, distance when there is no land.
 BUFFER_DEG = 500.0 / 111320.0
 NO_LAND_M = 999999.0
-REACHES_M = (2000.0, 20000.0, 200000.0)
+FIRST_REACH_M, WIDENED = 2000.0, 10.0
 LAND, OCEAN, BUFFER = 0, 1, 2
 
 
@@ -77,19 +77,29 @@ def candidate_overlap(candidates: DataFrame, classed: DataFrame, size: float = 0
     )
 
 
-def distance_to_land(candidates: DataFrame, land: DataFrame, reaches=REACHES_M) -> DataFrame:
+def distance_to_land(candidates: DataFrame, land: DataFrame, reach: float = FIRST_REACH_M) -> DataFrame:
     """Least distance from each candidate polygon to land, equal-area metres.
 
     Searched at growing reach: a candidate whose nearest land lies within the
-    current reach is final, the others go on with larger cells. Each level is
-    an equi join on cells as wide as its reach.
+    current reach is final, the others go on with larger cells until the reach
+    covers both sides' joint extent, which settles every candidate. Each level is
+    an equi join on cells as wide as its reach. Without any land all candidates
+    get NO_LAND_M.
     """
     ring = geo.equal_area_ring(F.col("ring"))
     todo = candidates.select("candidate_id", ring.alias("ring"))
     todo = todo.withColumn("_b", geo.ring_bbox(F.col("ring")))
     lands = land.select(ring.alias("land")).withColumn("_l", geo.ring_bbox(F.col("land")))
+    span = [f(x).alias(x) for f, x in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]
+    boxes = [df.select(f"{b}.*").agg(*span).first() for df, b in ((todo, "_b"), (lands, "_l"))]
+    no_land = lambda df: df.select("candidate_id", F.lit(NO_LAND_M).alias("distance_m"))
+    if any(x.min_x is None for x in boxes):
+        return no_land(todo)
+    wide = max(x.max_x for x in boxes) - min(x.min_x for x in boxes)
+    high = max(x.max_y for x in boxes) - min(x.min_y for x in boxes)
+    extent = (wide**2 + high**2) ** 0.5
     found = None
-    for reach in reaches:
+    while True:
         c = with_box_cells(
             todo,
             F.col("_b.min_x") - reach,
@@ -112,5 +122,6 @@ def distance_to_land(candidates: DataFrame, land: DataFrame, reaches=REACHES_M)
         level = cut_lineage(level)
         found = level if found is None else found.unionByName(level)
         todo = todo.join(level.select("candidate_id"), "candidate_id", "left_anti")
-    rest = todo.select("candidate_id", F.lit(NO_LAND_M).alias("distance_m"))
-    return found.unionByName(rest)
+        if reach > extent or not todo.limit(1).count():
+            return found
+        reach *= WIDENED

@@ -13,20 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# A key with at most this many rows is ordered or collected by one task without
-# strain; beyond it the bucketed ways below take over.
-SMALL_GROUP = 2_000_000
-
-
-def groups_are_small(df: DataFrame, keys: list[str], bound: int = SMALL_GROUP) -> bool:
-    """Whether no key has more than ``bound`` rows.
-
-    One counting pass with map-side combine; a single number comes back.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return (largest or 0) <= bound
-
-
 def time_bucket(ts: str = "ts", seconds: int = 3600) -> Column:
     return F.floor(F.unix_seconds(F.col(ts)) / seconds)
 
@@ -39,19 +25,12 @@ def carry_forward(
     bucket: Column,
     out: str = "prev",
     inclusive: bool = False,
-    small: bool = False,
 ) -> DataFrame:
     """Last non-null ``payload`` before (or at) each row, per key in order.
 
     ``bucket`` must grow with the order. Rows of one (key, bucket) are sorted
     together; only the last payload of a bucket travels to the next one.
-    ``small`` says every key was checked to be small: then one plain window does.
     """
-    if small:
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        past = whole.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        tagged = df.withColumn("_p", payload)
-        return tagged.withColumn(out, F.last("_p", ignorenulls=True).over(past)).drop("_p")
     tagged = df.withColumn("_b", bucket).withColumn("_p", payload)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     near = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)

@@ -165,11 +165,11 @@ def saturation(seeds: DataFrame, limit: float = MAX_CANDIDATE_FRACTION) -> DataF
 
 
 def open_mask(df: DataFrame, mask: str, out: str) -> DataFrame:
-    """3 x 3 erosion then dilation; neighbours outside the image are ignored."""
+    """3 x 3 erosion then dilation; neighbours that the table does not have are ignored."""
     for agg, tag in ((F.min, "e"), (F.max, "d")):
         src = F.col(mask) if tag == "e" else F.col("_e")
-        row = Window.partitionBy("scene_id", "y").orderBy("x").rowsBetween(-1, 1)
-        col = Window.partitionBy("scene_id", "x").orderBy("y").rowsBetween(-1, 1)
+        row = Window.partitionBy("scene_id", "y").orderBy("x").rangeBetween(-1, 1)
+        col = Window.partitionBy("scene_id", "x").orderBy("y").rangeBetween(-1, 1)
         df = df.withColumn("_r", agg(src).over(row)).withColumn(f"_{tag}", agg("_r").over(col)).drop("_r")
     return df.withColumn(out, F.col("_d")).drop("_e", "_d")
 
@@ -210,7 +210,7 @@ def _each(df: DataFrame, pairs: list[tuple[str, str]], a: str, b: str) -> DataFr
     return df.select("scene_id", F.explode(both).alias("_e")).select("scene_id", f"_e.{a}", f"_e.{b}")
 
 
-def connected_runs(runs: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_runs(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """Least run id of each component by alternating large- and small-star.
 
     Every round rewires edges towards smaller ids and is checkpointed to the
@@ -218,7 +218,7 @@ def connected_runs(runs: DataFrame, edges: DataFrame, max_rounds: int = 60) -> D
     component size. The loop only ever moves counts to the driver.
     """
     e = cut_lineage(edges.filter("a <> b"))
-    for _ in range(max_rounds):
+    while True:
         # Large star: hang every larger neighbour on the least of the neighbourhood.
         both = _each(e, [("a", "b"), ("b", "a")], "a", "b")
         least = both.groupBy("scene_id", "a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -237,8 +237,6 @@ def connected_runs(runs: DataFrame, edges: DataFrame, max_rounds: int = 60) -> D
         e = nxt
         if settled:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select("scene_id", F.col("a").alias("run"), F.col("b").alias("label"))
     return runs.join(roots, ["scene_id", "run"], "left").withColumn("label", F.coalesce("label", "run"))
 

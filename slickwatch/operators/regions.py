@@ -72,7 +72,7 @@ def _closest_vertices(p: DataFrame, live: DataFrame) -> DataFrame:
         "case_id", "mmsi", "region_id", "sec", (geo.chord_to_m(dx * dx + dy * dy + dz * dz) / 1000).alias("d")
     )
     return near.groupBy("case_id", "mmsi", "region_id").agg(
-        F.min("d").alias("_km"), F.min(_packed("d", "sec")).alias("_packed")
+        _closest("d", "sec").alias("_at")
     )
 
 
@@ -83,15 +83,13 @@ def _closest_segments(p: DataFrame, live: DataFrame) -> DataFrame:
         "case_id", "mmsi", "region_id", "sec", d.alias("d")
     )
     return near.groupBy("case_id", "mmsi", "region_id").agg(
-        F.min("d").alias("_km"), F.min(_packed("d", "sec")).alias("_packed")
+        _closest("d", "sec").alias("_at")
     )
 
 
-def _packed(km: str, seconds: str):
-    """Distance in centimetres above, unix seconds below, in one long: its
-    minimum is the earliest report within a centimetre of the least distance,
-    and a long keeps the aggregate in code generation."""
-    return F.floor(F.col(km) * 1e5) * F.lit(4294967296) + F.col(seconds)
+def _closest(km: str, seconds: str):
+    """Least distance and the earliest report at exactly that distance."""
+    return F.min(F.struct(F.col(km).alias("km"), F.col(seconds).alias("sec")))
 
 
 def track_region_distance(
@@ -126,8 +124,8 @@ def track_region_distance(
         "mmsi",
         "region_id",
         n.alias("inside_points"),
-        F.when(n > 0, 0.0).otherwise(F.coalesce("_km", F.lit(NO_RING_KM))).alias("min_km"),
-        F.when(n > 0, F.col("_first")).otherwise(F.col("_packed") % F.lit(4294967296)).alias("_sec"),
+        F.when(n > 0, 0.0).otherwise(F.coalesce("_at.km", F.lit(NO_RING_KM))).alias("min_km"),
+        F.when(n > 0, F.col("_first")).otherwise(F.col("_at.sec")).alias("_sec"),
     )
     facts = live.select("case_id", "region_id", "candidate_id", "horizon_hours", "c_lat", "c_lon")
     tracks = profiles.select(

@@ -142,13 +142,13 @@ def reasons(df: DataFrame) -> DataFrame:
         .withColumn(
             "supporting",
             _present(
-                F.when(near, "Track enters or touches the reconstructed source region."),
-                F.when(close, F.concat(F.lit("Track came within "), km1, F.lit(" km of the source region."))),
-                F.when(full, "Track covers the reconstruction window."),
-                F.when(F.col("slowdown"), "Speed drop or dwell detected near the source domain."),
+                F.when(near, "Positions fall on or inside the region."),
+                F.when(close, F.concat(F.lit("Closest position: "), km1, F.lit(" km off the region."))),
+                F.when(full, "Positions span the whole time window."),
+                F.when(F.col("slowdown"), "Slow running after faster passage."),
                 F.when(
                     turned,
-                    F.concat(F.lit("Sharp course changes detected: "), F.col("sharp_turns").cast("string")),
+                    F.concat(F.lit("Turns of 45 degrees or more: "), F.col("sharp_turns").cast("string")),
                 ),
             ),
         )
@@ -156,21 +156,21 @@ def reasons(df: DataFrame) -> DataFrame:
             "limiting",
             _present(
                 F.when(
-                    ~near & ~close, F.concat(F.lit("Least distance to the source region is "), km1, F.lit(" km."))
+                    ~near & ~close, F.concat(F.lit("No position nearer than "), km1, F.lit(" km."))
                 ),
-                F.when(part, "Track covers part of the reconstruction window."),
-                F.when(~full & ~part, "Track lies outside the reconstruction window."),
+                F.when(part, "Positions span part of the time window."),
+                F.when(~full & ~part, "No position in the time window."),
                 F.when(
                     gap,
                     F.concat(
-                        F.lit("Reporting gap of "),
+                        F.lit("Longest gap between positions: "),
                         F.format_string("%.1f", rnd("max_gap_hours", 1)),
-                        F.lit(" hours observed."),
+                        F.lit(" h."),
                     ),
                 ),
             ),
         )
-        .withColumn("missing", _present(F.when(silent, "Extended silence during the key window.")))
+        .withColumn("missing", _present(F.when(silent, "Positions are missing for four hours or longer.")))
     )
 
 

@@ -20,15 +20,10 @@ SLOW_KN, FAST_KN = 3.0, 8.0
 SHARP_TURN_DEG = 45.0
 
 
-def with_previous(positions: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
-    """Each report with the gap to and turn from the vessel's previous one.
-
-    ``small`` is the answer of ``ordered.groups_are_small`` for these keys.
-    """
+def with_previous(positions: DataFrame, keys: list[str]) -> DataFrame:
+    """Each report with the gap to and turn from the vessel's previous one."""
     payload = F.struct(F.col("ts").alias("pts"), F.col("cog").alias("pcog"))
-    df = carry_forward(
-        positions, keys, ["ts", "ordinal"], payload, time_bucket(), out="prev", small=small
-    )
+    df = carry_forward(positions, keys, ["ts", "ordinal"], payload, time_bucket(), out="prev")
     gap = (F.unix_micros("ts") - F.unix_micros("prev.pts")) / F.lit(60e6)
     swing = F.abs(F.col("cog") - F.col("prev.pcog"))
     return (
@@ -58,13 +53,12 @@ def track_medians(linked: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def vessel_profiles(linked: DataFrame, keys: list[str] | None = None, small: bool = False) -> DataFrame:
+def vessel_profiles(linked: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """One row per track: extent, reporting regularity and behaviour.
 
     ``linked`` comes from :func:`with_previous`. A track has exactly one start
-    row, so the values of its first report are plain conditional maxima. With
-    ``small`` (checked) tracks the medians join the same aggregate, which reuses
-    the partitioning of the ordering; else they take the distributed way.
+    row, so the values of its first report are plain conditional maxima; medians
+    count equal values, so no track is ordered in one task.
     """
     keys = keys or ["mmsi"]
 
@@ -85,13 +79,8 @@ def vessel_profiles(linked: DataFrame, keys: list[str] | None = None, small: boo
         at_start("vessel_type").alias("vessel_type"),
         at_start("lat").alias("first_lat"),
         at_start("lon").alias("first_lon"),
-        *(
-            [F.median("gap_minutes").alias("median_gap_minutes"), F.median("sog").alias("median_sog")]
-            if small
-            else []
-        ),
     )
-    df = totals if small else totals.join(track_medians(linked, keys), keys)
+    df = totals.join(track_medians(linked, keys), keys, "left")
     seconds = (F.unix_micros("end_ts") - F.unix_micros("start_ts")) / F.lit(1e6)
     df = (
         df.withColumn("duration_hours", rnd(seconds / 3600, 2))

@@ -12,4 +12,4 @@ __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Vessels of each case in order of investigative priority, with reasons."""
-    return QUERIES["vessel_state"](spark, folder)
+    return QUERIES["ranked_vessels"](spark, folder)

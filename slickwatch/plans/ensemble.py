@@ -248,8 +248,10 @@ ORACLE_VIEWS["v_trim"] = """
 
 @query(
     "source_envelope",
-    f"""SELECT hypothesis, horizon, count(*) AS kept, {rnd('min(lat)')} AS min_lat, {rnd('max(lat)')} AS max_lat,
-        {rnd('min(lon)')} AS min_lon, {rnd('max(lon)')} AS max_lon, 'Polygon' AS geometry_type FROM v_trim GROUP BY hypothesis, horizon""",
+    f"""SELECT g.hypothesis, g.horizon, count(t.lat) AS kept, {rnd('min(t.lat)')} AS min_lat, {rnd('max(t.lat)')} AS max_lat,
+        {rnd('min(t.lon)')} AS min_lon, {rnd('max(t.lon)')} AS max_lon, CASE WHEN count(t.lat) > 0 THEN 'Polygon' END AS geometry_type
+        FROM (SELECT DISTINCT hypothesis, horizon FROM v_particles) g
+        LEFT JOIN v_trim t ON t.hypothesis=g.hypothesis AND t.horizon=g.horizon GROUP BY g.hypothesis, g.horizon""",
 )
 def source_envelope(t):
     """Trimmed count and hull extent; the hull ring itself is tested with NumPy."""
@@ -257,9 +259,9 @@ def source_envelope(t):
     p = particles(t)
     kept = ens.trimmed(p, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"))
     env = ens.source_envelopes(p, keys).withColumn("_b", geo.ring_bbox(F.col("ring")))
-    return env.join(kept, keys).select(
+    return env.join(kept, keys, "left").select(
         *keys,
-        "kept",
+        F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"),
         geo.rnd("_b.min_y", 6).alias("min_lat"),
         geo.rnd("_b.max_y", 6).alias("max_lat"),
         geo.rnd("_b.min_x", 6).alias("min_lon"),
@@ -272,7 +274,7 @@ def source_envelope(t):
     "region_validity",
     """SELECT c.hypothesis, c.horizon, c.n AS particle_count, CASE WHEN c.n >= 200 THEN 'VALID' WHEN c.n > 0 THEN 'PARTIAL' ELSE 'INVALID' END
        AS validity, c.n >= 200 AND CASE WHEN c.hypothesis % 4 = 3 THEN 0.75e0 ELSE 0.85e0 END >= 0.8e0 AS eligible
-       FROM (SELECT hypothesis, horizon, count(*) AS n FROM v_particles WHERE status=0 AND scenario='B' GROUP BY ALL) c""",
+       FROM (SELECT hypothesis, horizon, count(*) FILTER (status=0) AS n FROM v_particles WHERE scenario='B' GROUP BY ALL) c""",
 )
 def region_validity(t):
     env = ens.source_envelopes(particles(t).filter("scenario = 'B'"))
@@ -283,7 +285,7 @@ def region_validity(t):
 @query("polygon_iou")
 def polygon_iou(t):
     """Overlap of the scenario hulls; NumPy checks it in the tests."""
-    env = ens.source_envelopes(particles(t), ens.KEYS)
+    env = ens.source_envelopes(particles(t), ens.KEYS).filter("ring IS NOT NULL")
     return ens.scenario_overlap(env, ["hypothesis", "horizon"])
 
 

@@ -454,7 +454,8 @@ OVERLAP_SCALE = "/20"
 def overlap_shapes(t: Tables) -> DataFrame:
     """Candidate boxes on the scene grid for the pixel overlap query."""
     c = t.view("v_candidates")
-    s = F.col("scene_id") % 4
+    scenes = placed_pixels(t).agg(F.max("scene_id")).first()[0]
+    s = F.col("scene_id") % ((scenes or 0) + 1)
     lon = F.lit(57.1) + (s * 11 % 20) / 10 + 0.02 + (F.col("ordinal") * 13 % 40) * 0.004
     lat = F.lit(-21.3) + (s * 7 % 20) / 10 - 0.02 - (F.col("ordinal") * 29 % 40) * 0.004
     df = c.select("candidate_id", s.alias("scene_id"), lon.alias("c_lon"), lat.alias("c_lat"))
@@ -463,8 +464,9 @@ def overlap_shapes(t: Tables) -> DataFrame:
 
 @query(
     "pixel_polygon_overlap",
-    f"""WITH s AS (SELECT candidate_id, scene_id % 4 AS scene_id, 57.1e0+((scene_id % 4)*11 % 20)/10e0+0.02e0+(ordinal*13 % 40)*0.004e0 AS c_lon,
-          -21.3e0+((scene_id % 4)*7 % 20)/10e0-0.02e0-(ordinal*29 % 40)*0.004e0 AS c_lat FROM v_candidates),
+    f"""WITH m AS (SELECT max(scene_id) + 1 AS n FROM v_land_class),
+        s AS (SELECT candidate_id, scene_id % n AS scene_id, 57.1e0+((scene_id % n)*11 % 20)/10e0+0.02e0+(ordinal*13 % 40)*0.004e0 AS c_lon,
+          -21.3e0+((scene_id % n)*7 % 20)/10e0-0.02e0-(ordinal*29 % 40)*0.004e0 AS c_lat FROM v_candidates, m),
         pt AS (SELECT s.*, t.i, c_lon+t.dx*0.25e0 AS x, c_lat+t.dy*0.25e0 AS y FROM s JOIN (VALUES {TEMPLATE_ROWS}) t(shape,i,dx,dy) ON t.shape=1),
         eg AS (SELECT a.candidate_id, a.scene_id, a.c_lon, a.c_lat, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM pt a JOIN pt b ON a.candidate_id=b.candidate_id AND b.i=a.i+1),
         hit AS (SELECT e.candidate_id, p.y, p.x, max(p.land_class) AS land_class FROM eg e JOIN v_land_class p ON p.scene_id=e.scene_id

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
 from slickwatch.functions.text import iso_z
+from slickwatch.operators.ordered import distributed_rank
 from slickwatch.operators import positions as pos
 from slickwatch.operators import regions as reg
 from slickwatch.operators import scoring, tracks
-from slickwatch.operators.ordered import groups_are_small
 from slickwatch.plans.registry import Tables, query, rnd
 from slickwatch.plans.views import ORACLE_VIEWS
 from slickwatch.session import cut_lineage, staged
@@ -66,8 +66,7 @@ def case_tracks(t: Tables) -> tuple[DataFrame, DataFrame]:
     )
     # Retrieval multiplies rows; spread them evenly, never by vessel.
     points = staged(points.repartition("ordinal"), "case-points")
-    small = groups_are_small(points, CASE_KEYS)
-    profiles = tracks.vessel_profiles(tracks.with_previous(points, CASE_KEYS, small), CASE_KEYS, small)
+    profiles = tracks.vessel_profiles(tracks.with_previous(points, CASE_KEYS), CASE_KEYS)
     return points, cut_lineage(profiles)
 
 
@@ -82,16 +81,13 @@ def scored(t: Tables) -> DataFrame:
     return scoring.priority(scoring.component_scores(rows))
 
 
-def linked(t: Tables) -> tuple[DataFrame, bool]:
-    """Every vessel's reports in order, and whether all vessels are small."""
-    clean = pos.clean_positions(parsed(t))
-    small = groups_are_small(clean, ["mmsi"])
-    return tracks.with_previous(clean, ["mmsi"], small), small
+def linked(t: Tables) -> DataFrame:
+    """Every vessel's reports in order."""
+    return tracks.with_previous(pos.clean_positions(parsed(t)), ["mmsi"])
 
 
 def all_tracks(t: Tables) -> DataFrame:
-    rows, small = linked(t)
-    return tracks.vessel_profiles(rows, ["mmsi"], small)
+    return tracks.vessel_profiles(linked(t), ["mmsi"])
 
 
 def coverage(t: Tables) -> DataFrame:
@@ -211,11 +207,11 @@ ORACLE_VIEWS["v_met"] = f"""
     SELECT m.case_id, m.mmsi, t.vessel_name, t.vessel_type, m.region_id, r.candidate_id, r.horizon_hours,
            {rnd('min_km', 3)} AS min_distance_km,
            inside_points > 0 OR min_km <= 10 AS intersects, inside_points,
-           to_timestamp(CAST(packed % 4294967296 AS BIGINT)) AT TIME ZONE 'UTC' AS closest_ts,
+           to_timestamp(sec) AT TIME ZONE 'UTC' AS closest_ts,
            {rnd('inside_points*t.median_gap_minutes', 1)} AS dwell_minutes,
            {rnd(hav('t.first_lat','t.first_lon','r.c_lat','r.c_lon')+'/1000', 3)} AS centroid_distance_km
     FROM (SELECT case_id, mmsi, region_id, min(d) AS min_km,
-                 min(CAST(floor(d*1e5) AS BIGINT)*4294967296 + CAST(floor(epoch_us(ts)/1e6) AS BIGINT)) AS packed,
+                 (min({{'d': d, 'sec': CAST(floor(epoch_us(ts)/1e6) AS BIGINT)}})).sec AS sec,
                  count(*) FILTER (inside) AS inside_points
           FROM (SELECT *, CASE WHEN inside THEN 0e0 ELSE km END AS d FROM v_pair_points) q
           GROUP BY case_id, mmsi, region_id) m
@@ -316,7 +312,7 @@ def chrono_sort(t):
 
 @query("report_gaps", f"SELECT ordinal, mmsi, {rnd('gap_minutes')} AS gap_minutes FROM v_linked")
 def report_gaps(t):
-    return linked(t)[0].select(
+    return linked(t).select(
         "ordinal", "mmsi", geo.rnd("gap_minutes", 6).alias("gap_minutes")
     )
 
@@ -326,7 +322,7 @@ def report_gaps(t):
     f"SELECT ordinal, mmsi, {rnd('turn_deg')} AS turn_deg, coalesce(turn_deg >= 45, false) AS sharp_turn FROM v_linked",
 )
 def course_turns(t):
-    return linked(t)[0].select(
+    return linked(t).select(
         "ordinal", "mmsi", geo.rnd("turn_deg", 6).alias("turn_deg"), "sharp_turn"
     )
 
@@ -507,16 +503,46 @@ def vessel_state(t):
     )
 
 
-@query(
-    "reason_codes",
-    """SELECT case_id, mmsi, region_id,
-        concat_ws('|', CASE WHEN intersects THEN 'SOURCE_REGION_INTERSECTION' END,
+REASON_SQL = """CASE WHEN intersects THEN 'SOURCE_REGION_INTERSECTION' END,
           CASE WHEN NOT intersects AND min_distance_km <= 15 THEN 'CLOSE_APPROACH' END,
           CASE WHEN temporal_status='TEMPORALLY_COMPATIBLE' THEN 'STRONG_TEMPORAL_MATCH' END,
           CASE WHEN slowdown THEN 'SPEED_CHANGE_PRESENT' END, CASE WHEN slowdown THEN 'DWELL_NEAR_SOURCE_REGION' END,
           CASE WHEN sharp_turns > 0 THEN 'COURSE_CHANGE_PRESENT' END,
           CASE WHEN max_gap_hours > 2 THEN 'AIS_GAP_PRESENT' END,
-          CASE WHEN gap_class='EXTENDED_SILENCE_INTERVAL' THEN 'AIS_COVERAGE_WEAK' END) AS reason_codes,
+          CASE WHEN gap_class='EXTENDED_SILENCE_INTERVAL' THEN 'AIS_COVERAGE_WEAK' END"""
+
+
+@query(
+    "ranked_vessels",
+    f"""SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY priority_score DESC, mmsi, region_id) AS rank,
+        mmsi, vessel_name, vessel_type, region_id, priority_score, guard_passed, {STATE_SQL} AS attribution_state,
+        concat_ws('|', {REASON_SQL}) AS reason_codes,
+        (CASE WHEN intersects OR min_distance_km <= 15 THEN 1 ELSE 0 END)
+          + (CASE WHEN temporal_status='TEMPORALLY_COMPATIBLE' THEN 1 ELSE 0 END)
+          + (CASE WHEN slowdown THEN 1 ELSE 0 END) + (CASE WHEN sharp_turns > 0 THEN 1 ELSE 0 END) AS n_supporting
+        FROM v_scored""",
+)
+def ranked_vessels(t):
+    """Vessels of each case in order of priority: exact ranks, state, reasons and evidence."""
+    rows = scoring.reasons(scored(t)).withColumn("attribution_state", scoring.vessel_state())
+    ranked = distributed_rank(
+        rows,
+        ["case_id"],
+        [geo.rnd("priority_score", 2)],
+        ["desc"],
+        [F.col("priority_score").desc(), F.col("mmsi"), F.col("region_id")],
+    )
+    return ranked.select(
+        "case_id", F.col("rank").cast("bigint").alias("rank"), "mmsi", "vessel_name", "vessel_type", "region_id",
+        "priority_score", "guard_passed", "attribution_state",
+        F.concat_ws("|", "reason_codes").alias("reason_codes"), F.size("supporting").alias("n_supporting"),
+    )
+
+
+@query(
+    "reason_codes",
+    f"""SELECT case_id, mmsi, region_id,
+        concat_ws('|', {REASON_SQL}) AS reason_codes,
         CAST((CASE WHEN intersects OR min_distance_km <= 15 THEN 1 ELSE 0 END)
           + (CASE WHEN temporal_status='TEMPORALLY_COMPATIBLE' THEN 1 ELSE 0 END)
           + (CASE WHEN slowdown THEN 1 ELSE 0 END) + (CASE WHEN sharp_turns > 0 THEN 1 ELSE 0 END) AS INTEGER) AS n_supporting,

@@ -58,10 +58,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
             "spark.checkpoint.dir"
         )
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(named or _own_folder(spark, "checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def _own_folder(spark: SparkSession, name: str) -> str:
+    """A temporary folder of this machine, which only a local master can share."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files all executors must see.
 
@@ -73,7 +80,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     )
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spark-{name}-", dir="/tmp")
+    return _own_folder(spark, name)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -117,12 +117,14 @@ def test_land_distance_levels(spark):
         return geo.ring_from_offsets(F.lit(x), F.lit(y), [(-s, -s), (s, -s), (s, s), (-s, s)])
 
     lands = spark.range(1).select(box(57.5, -20.0, 0.01).alias("ring"))
-    cands = spark.createDataFrame([("near", 57.515), ("mid", 57.6), ("far", 58.5), ("none", 80.0), ("on", 57.505)], "candidate_id string, x double")
+    cands = spark.createDataFrame([("near", 57.515), ("mid", 57.6), ("far", 58.5), ("farther", 60.5), ("on", 57.505)], "candidate_id string, x double")
     cands = cands.select("candidate_id", geo.ring_from_offsets("x", F.lit(-20.0), [(-0.001, -0.001), (0.001, -0.001), (0.001, 0.001), (-0.001, 0.001)]).alias("ring"))
     got = {r.candidate_id: r.distance_m for r in land.distance_to_land(cands, lands).collect()}
     metres = 6378137 * np.pi / 180
-    assert got["on"] == 0 and got["none"] == 999999.0
-    for name, x in (("near", 57.515), ("mid", 57.6), ("far", 58.5)):
+    assert got["on"] == 0
+    none = land.distance_to_land(cands, lands.limit(0)).collect()
+    assert len(none) == 5 and {r.distance_m for r in none} == {999999.0}
+    for name, x in (("near", 57.515), ("mid", 57.6), ("far", 58.5), ("farther", 60.5)):
         assert abs(got[name] - (x - 0.001 - 57.51) * metres) < 0.01
 
 
