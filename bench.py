@@ -47,6 +47,12 @@ HEADLINE = [
     "split_leakage",
     "forbidden_scan",
     "dup_content",
+    "greedy_groups",
+    "component_geometry",
+    "distance_to_land",
+    "forcing_gate",
+    "morph_open",
+    "polygon_iou",
 ]
 
 

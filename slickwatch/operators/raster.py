@@ -84,23 +84,24 @@ def normalise_robust(pixels: DataFrame, band: str, low: float = 0.01, high: floa
 def _line_sum(df: DataFrame, value: str, line: str, pos: str, size: str, r: int, out: str) -> DataFrame:
     """Sum over ``pos - r .. pos + r`` of one image line, ends replicated.
 
-    Uses running sums, so the cost does not depend on the window: the part
-    inside the image is a difference of two running sums, the part beyond an
-    end is that end's value as often as the window sticks out. Every position
-    of the line must be present.
+    Uses running sums by position, so the cost does not depend on the window:
+    the part inside the image is a difference of two running sums, the part
+    beyond an end is that end's value as often as the window sticks out. A line
+    that lacks a position fails the job.
     """
     line_w = Window.partitionBy("scene_id", line)
     along = line_w.orderBy(pos)
-    running = along.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_run", F.sum(value).over(running))
-    last_run = F.max(F.when(F.col(pos) == F.col(size) - 1, F.col("_run"))).over(line_w)
+    upto = F.sum(value).over(along.rangeBetween(Window.unboundedPreceding, r))
+    before = F.coalesce(F.sum(value).over(along.rangeBetween(Window.unboundedPreceding, -r - 1)), F.lit(0.0))
     first = F.max(F.when(F.col(pos) == 0, F.col(value))).over(line_w)
     last = F.max(F.when(F.col(pos) == F.col(size) - 1, F.col(value))).over(line_w)
-    before = F.coalesce(F.lag("_run", r + 1).over(along), F.lit(0.0))
-    upto = F.coalesce(F.lead("_run", r).over(along), last_run)
+    whole = F.count(F.lit(1)).over(line_w) == F.col(size)
     over_left = F.greatest(F.lit(0), F.lit(r) - F.col(pos))
     over_right = F.greatest(F.lit(0), F.col(pos) + r - (F.col(size) - 1))
-    return df.withColumn(out, upto - before + first * over_left + last * over_right).drop("_run")
+    total = F.when(whole, upto - before + first * over_left + last * over_right).otherwise(
+        F.raise_error(F.lit("a line of the scene lacks pixels")).cast("double")
+    )
+    return df.withColumn(out, total)
 
 
 def box_mean(pixels: DataFrame, value: str, k: int, out: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Components, groups, hulls and distances against plain Python and NumPy."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
@@ -151,3 +152,24 @@ def test_seeds_lie_inside_and_repeat(spark):
     assert a.join(polys, "candidate_id").filter(~geo.point_in_ring(F.col("ring"), "lon", "lat")).count() == 0
     b = ens.seed_particles(polys.repartition(3), 500)
     assert a.exceptAll(b).count() == 0
+
+
+def test_sparse_pixels_are_not_neighbours(spark):
+    """Absent pixels part their neighbours; box means refuse lines with gaps."""
+    rows = [(1, 0, 0, True), (1, 0, 10, False), (1, 0, 11, True), (1, 0, 12, True)]
+    df = spark.createDataFrame(rows, "scene_id long, y long, x long, mask boolean")
+    got = {r.x: r.out for r in ra.open_mask(df.withColumn("mask", F.col("mask").cast("int")), "mask", "out").collect()}
+    assert got[0] == 1 and got[10] == 0
+    line = df.select("scene_id", "y", "x", F.lit(13).alias("width"), F.lit(1).alias("height"), F.lit(1.0).alias("v"))
+    with pytest.raises(Exception, match="lacks pixels"):
+        ra.box_mean(line, "v", 3, "m").collect()
+
+
+def test_groups_without_active_particles(spark):
+    rows = [("h1", 24, 0, 1.0 * k, 2.0 * (k % 7)) for k in range(30)] + [("h2", 24, 2, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "hypothesis string, horizon int, status int, lat double, lon double")
+    got = {r.hypothesis: r for r in ens.source_envelopes(df).collect()}
+    assert got["h1"].particle_count == 30 and got["h1"].geometry_type == "Polygon"
+    assert (got["h2"].particle_count, got["h2"].ring, got["h2"].geometry_type) == (0, None, None)
+    valid = {r.hypothesis: r.validity for r in ens.region_validity(ens.source_envelopes(df).withColumn("forcing_fraction", F.lit(0.9))).collect()}
+    assert valid == {"h1": "PARTIAL", "h2": "INVALID"}

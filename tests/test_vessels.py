@@ -94,7 +94,7 @@ def test_region_distance(spark, boundary):
         [(0, "in", "2020-08-07 00:00:00", -20.4, 57.5, 1.0, 1.0), (1, "out", "2020-08-07 00:00:00", -21.0, 57.5, 1.0, 1.0)],
     ).withColumn("case_id", F.lit(1).cast("bigint"))
     keys = ["case_id", "mmsi"]
-    prof = tracks.vessel_profiles(tracks.with_previous(df, keys, True), keys, True)
+    prof = tracks.vessel_profiles(tracks.with_previous(df, keys), keys)
     got = {r.mmsi: r for r in reg.track_region_distance(df, region(spark), prof, boundary).collect()}
     assert got["in"].min_distance_km == 0.0 and got["in"].intersects
     assert got["out"].min_distance_km > 50 and not got["out"].intersects
