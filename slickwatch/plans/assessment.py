@@ -107,14 +107,14 @@ def pair_images_masks(t):
 
 @query("unmatched_sets", "SELECT stem, CASE WHEN pairing='IMAGE_ONLY' THEN 'A_MINUS_B' ELSE 'B_MINUS_A' END AS side FROM v_pairs WHERE pairing <> 'PAIRED'")
 def unmatched_sets(t):
-    """Stems on one side only, as two set differences."""
+    """Stems on one side only: what one full join leaves unpaired."""
     a = t.view("v_samples").select(F.col("doc_id").cast("string").alias("stem"))
     b = t.table("labels").select(
         (F.col("doc_id") + F.when(F.col("doc_id") % 13 == 0, 100000000).otherwise(0)).cast("string").alias("stem")
     )
-    return (
-        a.subtract(b).withColumn("side", F.lit("A_MINUS_B")).unionByName(b.subtract(a).withColumn("side", F.lit("B_MINUS_A")))
-    )
+    pairs = ev.pair_by_stem(a.distinct(), b.distinct()).filter("pairing <> 'PAIRED'")
+    side = F.when(F.col("pairing") == "IMAGE_ONLY", "A_MINUS_B").otherwise("B_MINUS_A").alias("side")
+    return pairs.select("stem", side)
 
 
 @query(

@@ -287,8 +287,10 @@ def sink_csv_json(t):
 
 @query("sink_geojson", "SELECT candidate_id, 'Feature' AS type FROM v_regions")
 def sink_geojson(t):
-    docs = files.geojson_features(regions(t).select("candidate_id", "horizon_hours", "ring"))
-    return docs.select(
+    """Features written as one JSON line each and read back."""
+    path = scratch_folder(t.spark, "geojson")
+    files.geojson_features(regions(t).select("candidate_id", "horizon_hours", "ring")).select("value").write.text(path)
+    return t.spark.read.text(path).select(
         F.get_json_object("value", "$.properties.candidate_id").alias("candidate_id"), F.get_json_object("value", "$.type").alias("type")
     )
 

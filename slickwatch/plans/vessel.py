@@ -715,8 +715,5 @@ def polygon_measures(t):
 )
 def eligible_filter(t):
     """Keep the allow-listed regions and report the ones left out."""
-    regs = t.view("v_regions")
-    allowed = regs.filter("eligible").select("region_id")
-    kept = regs.join(allowed, "region_id", "left_semi").withColumn("decision", F.lit("ELIGIBLE"))
-    out = regs.join(allowed, "region_id", "left_anti").withColumn("decision", F.lit("EXCLUDED"))
-    return kept.unionByName(out).select("region_id", "candidate_id", "decision")
+    decision = F.when(F.col("eligible"), "ELIGIBLE").otherwise("EXCLUDED").alias("decision")
+    return t.view("v_regions").select("region_id", "candidate_id", decision)
