@@ -463,11 +463,11 @@ def coverage_check(
 ) -> DataFrame:
     """Does the evidence of each case cover its spill point and window.
 
-    ``evidence`` rows carry their extent and component flags; every reduction
-    is a conditional aggregate per case, so the join key is the case alone and
-    partial aggregation runs before the shuffle of the result.
+    ``evidence`` rows carry their extent and component flags. They meet the
+    cases in an inner join, which may broadcast the cases or split a busy one,
+    and are reduced to a row per case; cases without evidence join afterwards.
     """
-    joined = cases.select("case_id", "lat", "lon", "obs_s").join(evidence, "case_id", "left")
+    joined = evidence.join(cases.select("case_id", "lat", "lon", "obs_s"), "case_id")
     m = SPATIAL_MARGIN_DEG
     inside = F.col("lat").between(F.col("lat_min") - m, F.col("lat_max") + m) & F.col("lon").between(
         F.col("lon_min") - m, F.col("lon_max") + m
@@ -485,7 +485,10 @@ def coverage_check(
             F.min(F.when(usable, F.col("start_s"))).alias(f"{name}_start_s"),
             F.max(F.when(usable, F.col("end_s"))).alias(f"{name}_end_s"),
         ]
-    df = joined.groupBy("case_id").agg(*aggs)
+    df = cases.select("case_id").join(joined.groupBy("case_id").agg(*aggs), "case_id", "left")
+    for name in FIELDS:
+        for flag in ("present", "spatial", "temporal"):
+            df = df.withColumn(f"{name}_{flag}", F.coalesce(f"{name}_{flag}", F.lit(False)))
     codes = []
     for name in FIELDS:
         if name == "wave" and not require_waves:

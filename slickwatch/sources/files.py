@@ -177,14 +177,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-GEOJSON_FEATURE = (
-    "type string, properties map<string,string>, geometry struct<type:string, coordinates:array<array<array<double>>>>"
-)
+# Coordinates nest as deep as their type says, so they are parsed once it is known.
+GEOJSON_FEATURE = "type string, properties map<string,string>, geometry struct<type:string, coordinates:string>"
+POLYGON = "array<array<array<double>>>"
 
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Polygon features as (properties, outer ring, holes).
+    """Polygon and MultiPolygon features as (properties, geometry_type, part, ring, holes).
 
+    Each part of a MultiPolygon is a row, numbered from 0, with its outer ring
+    and its holes; a feature of another type has one row without part or ring.
     ``lines=True`` reads one feature a line, which splits over tasks; a single
     FeatureCollection document is read whole by the one task that owns it.
     """
@@ -197,10 +199,16 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     def ring(r):
         return F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
-    rings = F.transform("geometry.coordinates", ring)
-    return features.select(
+    kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
+    parts = F.when(kind == "MultiPolygon", F.from_json(text, f"array<{POLYGON}>")).when(
+        kind == "Polygon", F.array(F.from_json(text, POLYGON))
+    )
+    each = features.select("properties", kind.alias("geometry_type"), F.posexplode_outer(parts).alias("part", "_rings"))
+    rings = F.transform("_rings", ring)
+    return each.select(
         "properties",
-        F.col("geometry.type").alias("geometry_type"),
+        "geometry_type",
+        "part",
         F.get(rings, 0).alias("ring"),
         F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))).alias("holes"),
     )
@@ -211,10 +219,16 @@ def _struct_ddl(ddl: str) -> str:
     return re.sub(r"(^|, )(\w+) (?=string|map|struct)", r"\1\2:", ddl)
 
 
-def geojson_features(df: DataFrame, ring: str = "ring") -> DataFrame:
-    """One Feature document a row: the ring as geometry, the rest as properties."""
-    coords = F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
-    props = [c for c in df.columns if c != ring]
+def geojson_features(df: DataFrame, ring: str = "ring", holes: str | None = None) -> DataFrame:
+    """One Feature document a row: the ring, and its holes, as geometry, the rest as properties."""
+
+    def line(r):
+        return F.transform(r, lambda p: F.array(p["x"], p["y"]))
+
+    coords = F.array(line(F.col(ring)))
+    if holes is not None:
+        coords = F.concat(coords, F.transform(F.coalesce(F.col(holes), F.array().cast(df.schema[holes].dataType)), line))
+    props = [c for c in df.columns if c not in (ring, holes)]
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(*props).alias("properties"),

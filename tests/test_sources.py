@@ -45,5 +45,15 @@ def test_geojson_document(spark, tmp_path):
         "features": [{"type": "Feature", "properties": {"name": "isle"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}],
     }
     (tmp_path / "l.geojson").write_text(json.dumps(doc))
+    square, hole, other = ([[[x + a, x + b] for a, b in ((0, 0), (s, 0), (s, s), (0, 0))] for x, s in ((0, 9), (2, 1), (20, 4))])
+    several = {"type": "MultiPolygon", "coordinates": [[square, hole], [other]]}
+    mixed = [{"type": "Feature", "properties": {"name": n}, "geometry": g} for n, g in (("m", several), ("p", {"type": "Point", "coordinates": [1, 2]}))]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, mixed)))
+    parts = sorted(files.read_geojson(spark, str(tmp_path / "m.jsonl"), lines=True).collect(), key=lambda r: (r.properties["name"], r.part or 0))
+    assert [(r.part, r.ring and len(r.ring), r.holes and len(r.holes[0])) for r in parts] == [(0, 4, 4), (1, 4, []), (None, None, None)]
+    df = spark.createDataFrame([parts[0]], files.read_geojson(spark, str(tmp_path / "m.jsonl"), lines=True).schema)
+    files.geojson_features(df.drop("part", "geometry_type"), holes="holes").write.text(str(tmp_path / "back"))
+    back = files.read_geojson(spark, str(tmp_path / "back"), lines=True).first()
+    assert (back.ring, back.holes) == (parts[0].ring, parts[0].holes)
     r = files.read_geojson(spark, str(tmp_path / "l.geojson")).first()
     assert r.properties["name"] == "isle" and len(r.ring) == 4 and r.holes == []
