@@ -30,7 +30,7 @@ from slickwatch.llm.common import annotated, flat, rank_digits, steps, table
 
 LETTERS, SPAN, DECAY = 32, 6, 0.6
 FOURS = LETTERS**4
-SAMPLES = (4000, 1500)  # labelled documents that training sees, at most: clean, toxic
+SAMPLES = (2500, 1000)  # labelled documents that training sees, at most: clean, toxic
 SAMPLE_BYTES = 1 << 14
 LANDMARKS, SENTENCES, TURNS, MINED = 480, 4000, 6, 4000
 RECURRING, LONGEST = 20_000, 40
@@ -144,7 +144,7 @@ class Landmarks:
                 if len(row):
                     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                     total[row[first]] += weight * np.add.reduceat(self.columns[column[seen]], first, axis=0)
-            out.append(total / norms(sizes)[:, None])
+            out.append((total / norms(sizes)[:, None]).astype(np.float32))
         return np.vstack(out) if out else np.zeros((0, self.columns.shape[1]))
 
     def weights(self, parts: np.ndarray) -> np.ndarray:
@@ -173,19 +173,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -60, 60)))
 
 
-def _margin(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Support vector machine with squared hinge loss and weighted examples, by Newton steps on the violators."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    keep = np.full(x.shape[1], MARGIN_DECAY)
+def _margin(x: np.ndarray, at: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+    """Support vector machine on the rows ``at`` of ``x``, weighted examples, squared hinge loss.
+
+    Newton steps on the violators; their sums are taken some rows at a time.
+    """
+    n = x.shape[1] + 1
+    keep = np.full(n, MARGIN_DECAY)
     keep[-1] *= 1e-3  # the bias is hardly held back
-    w, before = np.zeros(x.shape[1]), None
+    w, before = np.zeros(n), None
     for _ in range(50):
-        bad = y * (x @ w) < 1
+        bad, left, right = np.zeros(len(at), bool), np.diag(keep), np.zeros(n)
+        for i in range(0, len(at), 4000):
+            part = np.hstack([x[at[i : i + 4000]].astype(np.float64), np.ones((len(at[i : i + 4000]), 1))])
+            bad[i : i + 4000] = out = y[i : i + 4000] * (part @ w) < 1
+            part, weight = part[out], cost[i : i + 4000][out]
+            left = left + (part * weight[:, None]).T @ part
+            right = right + part.T @ (weight * y[i : i + 4000][out])
         if before is not None and (bad == before).all():
             break
-        before = bad
-        part = x[bad] * cost[bad, None]
-        w = np.linalg.solve(np.diag(keep) + part.T @ x[bad], part.T @ y[bad])
+        before, w = bad, np.linalg.solve(left, right)
     return w[:-1], float(w[-1])
 
 
@@ -216,12 +223,14 @@ def fit(documents: list[tuple[str, int]]) -> Model:
         held, documents = documents[2::3], [d for k, d in enumerate(documents) if k % 3 != 2]
     split = [(sentence, toxic, k) for k, (text, toxic) in enumerate(documents) for sentence in SENTENCE.split(text) if sentence]
     data, offsets = flat(pa.array([x[0] for x in split], pa.string()))
-    codes, starts, rows = words_of(data, offsets)
-    letters, ends = codes.astype(np.uint8).tobytes(), np.append(starts[1:], len(codes))
     found: list[set] = [set() for _ in split]
-    for i, j, row in zip(starts.tolist(), ends.tolist(), rows.tolist()):
-        if 5 <= j - i <= LONGEST:
-            found[row].add(letters[i:j])
+    same: dict[bytes, bytes] = {}  # one object for each word
+    for first, last in steps(offsets):
+        codes, starts, rows = words_of(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        letters, ends = codes.astype(np.uint8).tobytes(), np.append(starts[1:], len(codes))
+        for i, j, row in zip(starts.tolist(), ends.tolist(), rows.tolist()):
+            if 5 <= j - i <= LONGEST:
+                found[first + row].add(same.setdefault(letters[i:j], letters[i:j]))
     bags = [w for w in found if w]
     labels, owners = ([x[c] for x, w in zip(split, found) if w] for c in (1, 2))
     toxic_docs = sum(t for _, t in documents)
@@ -232,6 +241,7 @@ def fit(documents: list[tuple[str, int]]) -> Model:
         by_doc.setdefault(k, set()).update(words)
     for k, words in by_doc.items():
         seen[documents[k][1]].update(words)
+    del by_doc, found
     constant = Model(np.zeros(FOURS, np.float32), 0.0, 0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
     if not seen[1] or not seen[0]:
         return constant
@@ -254,7 +264,7 @@ def fit(documents: list[tuple[str, int]]) -> Model:
     hard = [recur[k] for k in np.argsort(-np.array(alike), kind="stable")]
     marks = list(dict.fromkeys(suspects + plain[: LANDMARKS // 4] + hard[: LANDMARKS // 4]))
     base = Landmarks([decode(w) for w in marks])
-    value, vector = np.linalg.eigh(base.kernels([decode(w) for w in marks]))
+    value, vector = np.linalg.eigh(base.kernels([decode(w) for w in marks]).astype(np.float64))
     real = value > 1e-3
     whiten = vector[:, real] / np.sqrt(value[real])
 
@@ -264,13 +274,13 @@ def fit(documents: list[tuple[str, int]]) -> Model:
     negative = [i for i in order if not labels[i]][:SENTENCES]
     different = sorted(set().union(*(bags[i] for i in positive + negative)))
     number = {w: k for k, w in enumerate(different)}
-    x = base.kernels([decode(w) for w in different]) @ whiten
+    x = (base.kernels([decode(w) for w in different]) @ whiten).astype(np.float32)
     inside = [np.array(sorted(number[w] for w in bags[i])) for i in positive]
     # Every word of a clean sentence is clean. Of a toxic one its strong words are toxic, and its worst word.
     # Clean words beyond the drawn sentences join once the machine takes them for toxic.
     often = Counter(w for words, toxic in zip(bags, labels) if not toxic for w in words)
     pool = sorted(often)
-    pool_codes, pool_starts = decode(b"".join(pool)), np.cumsum([0, *map(len, pool)])[:-1]
+    pool_starts = np.cumsum([0, *map(len, pool)])[:-1]
     clean = {number[w] for i in negative for w in bags[i]}
     known = [number[w] for i in positive for w in bags[i] if w in strong]
     score = np.array([lift(w) if w in strong else -1e9 for w in different])
@@ -281,15 +291,20 @@ def fit(documents: list[tuple[str, int]]) -> Model:
         y = np.repeat([1.0, -1.0], [len(toxic_words), len(rows)])
         cost = np.sqrt([*toxic_words.values(), *(often[different[k]] for k in rows)])
         cost /= np.where(y > 0, cost[y > 0].sum(), cost[y < 0].sum())
-        w, b = _margin(x[at], y, cost)
+        w, b = _margin(x, at, y, cost)
         weights = base.weights(whiten @ w)
-        against = decisions(weights, b, pool_codes, pool_starts)
+        against = np.concatenate(
+            [
+                decisions(weights, b, decode(b"".join(pool[i : i + 20_000])), pool_starts[i : i + 20_000] - pool_starts[i])
+                for i in range(0, len(pool), 20_000)
+            ]
+        )
         worst = [pool[k] for k in np.argsort(-against, kind="stable")[:MINED].tolist() if against[k] > -1]
         fresh = [p for p in worst if p not in number]
         if fresh:
             number |= {p: len(different) + k for k, p in enumerate(fresh)}
             different += fresh
-            x = np.vstack([x, base.kernels([decode(p) for p in fresh]) @ whiten])
+            x = np.vstack([x, (base.kernels([decode(p) for p in fresh]) @ whiten).astype(np.float32)])
         clean |= {number[p] for p in worst}
         score = x @ w + b
     model = Model(weights, b, 1.0, 0.0)
