@@ -7,6 +7,12 @@ squared distance between the query and the borders to be crossed, the order
 of estimated success. All tables' candidates are merged and ranked by exact
 distance in double precision.
 
+A query is settled once it has ``KEPT`` ids and the visited cells hold a vector as
+far away as the last of them with a probability of ``SURE``, which follows from the
+Gaussian projections. All others go on to cells ``GROWTH`` times as wide, up to
+``LEVELS`` times, and what is still open then is compared with every vector of its
+length. So no query ends with fewer neighbours than there are.
+
 Equal vectors are indexed once, with their ``KEPT`` least ids, which is all that a
 list of ten can show. Full cells are cut into blocks on both sides, so no task
 holds more than a block of vectors and a block of queries; the pairs are compared
@@ -16,6 +22,7 @@ inside the tasks and only each query's nearest leave them.
 from __future__ import annotations
 
 from itertools import product
+from math import erf
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,7 @@ from slickwatch.session import staged
 
 TABLES, FUNCTIONS, PROBES, STEP = 6, 4, 45, 1.1
 NEAREST, KEPT = 10, 11
+LEVELS, GROWTH, SURE = 3, 4.0, 0.95
 BLOCK, QUERY_BLOCK = 4096, 512
 SAMPLE, SEED = 2000, 20
 
@@ -65,6 +73,26 @@ class Hashes:
         best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
         return self.key(cell[:, :, None, :] + self.moves[best])
 
+    def covered(self, x: np.ndarray, far: np.ndarray, probes: int) -> np.ndarray:
+        """Probability that a vector at distance ``far`` of each query lies in a cell the query visits."""
+        place = self.places(x)
+        inside = place - np.floor(place)
+        border = np.where(self.moves < 0, inside[:, :, None, :], 1 - inside[:, :, None, :])
+        cost = np.where(self.moves == 0, 0.0, border**2).sum(-1)
+        best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+        edges = np.arange(-1, 3) - inside[..., None]
+        below = _normal(edges / np.maximum(far / self.width, 1e-12)[:, None, None, None])
+        step = np.diff(below, axis=3)  # of moves -1, 0, 1 on each line
+        each = np.ones(cost.shape)
+        for k in range(FUNCTIONS):
+            each *= step[:, :, k][:, :, self.moves[:, k] + 1]
+        return 1 - np.prod(1 - np.take_along_axis(each, best, 2).sum(2), axis=1)
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Distribution function of the standard normal."""
+    return (1 + np.vectorize(erf, otypes=[float])(x / np.sqrt(2))) / 2
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of double) of the vectors that take part."""
@@ -98,15 +126,15 @@ def _arrays(column) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(ends, ends[1:])]
 
 
-def _keyed(widths: dict[int, float], probes: int):
-    """(rep, v) to one row for each table (probes 0: its own cell) or probe."""
+def _keyed(widths: dict[int, float], probes: int, wider: float):
+    """(rep, v) to one row for each table (probes 0: its own cell) or probe; cells ``wider`` times as wide."""
 
     def run(batches):
         made: dict[int, Hashes] = {}
         for batch in batches:
             vectors = _arrays(batch.column(1))
             for size in {len(v) for v in vectors}:
-                hashes = made.setdefault(size, Hashes(size, widths.get(size, 1.0) * STEP))
+                hashes = made.setdefault(size, Hashes(size, widths.get(size, 1.0) * STEP * wider))
                 at = np.array([k for k, v in enumerate(vectors) if len(v) == size])
                 for i in range(0, len(at), 512):
                     part = at[i : i + 512]
@@ -122,6 +150,25 @@ def _keyed(widths: dict[int, float], probes: int):
     return run
 
 
+def _unsettled(widths: dict[int, float], probes: int, wider: float):
+    """(rep, v, n, far) to (rep, v) of the queries with too few ids, or a last one farther than the visited cells reach."""
+
+    def run(batches):
+        made: dict[int, Hashes] = {}
+        for batch in batches:
+            vectors, n = _arrays(batch.column(1)), batch.column(2).to_numpy()
+            far, stay = batch.column(3).to_numpy(zero_copy_only=False), n < KEPT
+            for size in {len(v) for v in vectors}:
+                hashes = made.setdefault(size, Hashes(size, widths.get(size, 1.0) * STEP * wider))
+                at = np.array([k for k, v in enumerate(vectors) if len(v) == size and not stay[k]], np.int64)
+                for i in range(0, len(at), 512):
+                    part = at[i : i + 512]
+                    stay[part] = hashes.covered(np.array([vectors[k] for k in part]), far[part], probes) < SURE
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["rep", "v"]).filter(pa.array(stay))
+
+    return run
+
+
 def _nearest(left: pa.Table, right: pa.Table) -> pa.Table:
     """The nearest vectors of a block (right) to each query of a block (left), exact distances."""
     kind = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
@@ -145,6 +192,31 @@ def _nearest(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, k.type) for x, k in zip(out, kind)], schema=kind)
 
 
+def _compared(index: DataFrame, visits: DataFrame) -> DataFrame:
+    """query, rep, score: the nearest vectors of ``index`` to each of ``visits`` in the cells both have, by block."""
+    cells = index.groupBy("t", "cell").agg(F.count("*").alias("n"))
+    cells = cells.join(visits.groupBy("t", "cell").agg(F.count("*").alias("m")), ["t", "cell"])
+    cells = staged(cells.select("t", "cell", F.ceil(F.col("n") / BLOCK).alias("n"), F.ceil(F.col("m") / QUERY_BLOCK).alias("m")), "cells")
+    each = F.sequence(F.lit(0).cast("long"), F.col("m") - 1)
+    right = index.join(cells, ["t", "cell"]).withColumn("b", F.pmod(F.xxhash64("rep"), "n")).withColumn("c", F.explode(each))
+    each = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    left = visits.join(cells, ["t", "cell"]).withColumn("c", F.pmod(F.xxhash64("rep"), "m")).withColumn("b", F.explode(each))
+    keys, columns = ["t", "cell", "b", "c"], ["t", "cell", "b", "c", "rep", "v"]
+    return left.select(*columns).groupBy(*keys).cogroup(right.select(*columns).groupBy(*keys)).applyInArrow(
+        _nearest, "query long, rep long, score double"
+    )
+
+
+def _ids(found: DataFrame, distinct: DataFrame) -> DataFrame:
+    """query, score, vec_id: the ``KEPT`` nearest ids of each query."""
+    found = found.groupBy("query", "rep").agg(F.min("score").alias("score"))
+    found = found.join(distinct.select("rep", F.col("ids")[0].alias("least"), "ids"), "rep")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "least"))
+    found = found.withColumn("k", place).filter(F.col("k") <= KEPT).select("query", "score", F.explode("ids").alias("vec_id"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    return found.withColumn("k", place).filter(F.col("k") <= KEPT).drop("k")
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``nearest`` found for each query, nearest first, ties to the smaller id.
 
@@ -167,25 +239,25 @@ def neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, p
     asked = asked.withColumn("query", F.xxhash64("v"))
     asking = asked.groupBy("query", "v").agg(F.min("vec_id").alias("_")).select(F.col("query").alias("rep"), "v")
     schema = "t int, cell long, rep long, v array<double>"
-    index = staged(distinct.select("rep", "v").mapInArrow(_keyed(widths, 0), schema), "index")
-    visits = staged(asking.mapInArrow(_keyed(widths, probes), schema), "visits")
-    cells = index.groupBy("t", "cell").agg(F.count("*").alias("n"))
-    cells = cells.join(visits.groupBy("t", "cell").agg(F.count("*").alias("m")), ["t", "cell"])
-    cells = staged(cells.select("t", "cell", F.ceil(F.col("n") / BLOCK).alias("n"), F.ceil(F.col("m") / QUERY_BLOCK).alias("m")), "cells")
-    each = F.sequence(F.lit(0).cast("long"), F.col("m") - 1)
-    right = index.join(cells, ["t", "cell"]).withColumn("b", F.pmod(F.xxhash64("rep"), "n")).withColumn("c", F.explode(each))
-    each = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
-    left = visits.join(cells, ["t", "cell"]).withColumn("c", F.pmod(F.xxhash64("rep"), "m")).withColumn("b", F.explode(each))
-    keys, columns = ["t", "cell", "b", "c"], ["t", "cell", "b", "c", "rep", "v"]
-    found = left.select(*columns).groupBy(*keys).cogroup(right.select(*columns).groupBy(*keys)).applyInArrow(
-        _nearest, "query long, rep long, score double"
-    )
-    found = found.groupBy("query", "rep").agg(F.min("score").alias("score"))
-    found = found.join(distinct.select("rep", F.col("ids")[0].alias("least"), "ids"), "rep")
-    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "least"))
-    found = found.withColumn("k", place).filter(F.col("k") <= KEPT).select("query", "score", F.explode("ids").alias("vec_id"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    found = found.withColumn("k", place).filter(F.col("k") <= KEPT).drop("k")
+    open_, found = staged(asking, "asking"), None
+    for level in range(LEVELS + 1):
+        wider = GROWTH**level
+        if level < LEVELS:
+            index = staged(distinct.select("rep", "v").mapInArrow(_keyed(widths, 0, wider), schema), "index")
+            visits = staged(open_.mapInArrow(_keyed(widths, probes, wider), schema), "visits")
+        else:
+            whole = (F.lit(0).alias("t"), F.size("v").cast("long").alias("cell"), "rep", "v")
+            index, visits = distinct.select(*whole), open_.select(*whole)
+        new = staged(_compared(index, visits), "found")
+        found = new if found is None else found.unionByName(new)
+        if level == LEVELS:
+            break
+        reach = _ids(found, distinct).groupBy("query").agg(F.count("*").alias("n"), F.max("score").alias("far"))
+        rows = open_.join(reach.withColumnRenamed("query", "rep"), "rep", "left").select("rep", "v", F.coalesce("n", F.lit(0)).alias("n"), "far")
+        open_ = staged(rows.mapInArrow(_unsettled(widths, probes, wider), "rep long, v array<double>"), "open")
+        if open_.isEmpty():
+            break
+    found = _ids(found, distinct)
     pairs = asked.select(F.col("vec_id").alias("query_id"), "query").join(found, "query").filter("query_id <> vec_id")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

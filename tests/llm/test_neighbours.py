@@ -74,3 +74,22 @@ def test_blocks_change_nothing(spark, monkeypatch):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert neighbours.neighbours(empty, empty).collect() == []
+
+
+def test_default_probes_on_small_clustered_and_scaled_vectors(spark):
+    """Every query gets its ten, or all there are, whatever the spread around it."""
+    rng = np.random.default_rng(11)
+    small = [(k, rng.normal(size=16).astype(np.float32).tolist(), 0) for k in range(8)]
+    clouds = np.repeat(rng.normal(size=(6, 16)), 60, 0) + rng.normal(size=(360, 16)) * 0.01
+    x = np.vstack([clouds, rng.normal(size=(220, 16)), rng.normal(size=(20, 16)) * 4])
+    mixed = [(k, v.tolist(), 0) for k, v in enumerate(x.astype(np.float32))]
+    for rows in (small, mixed):
+        df = spark.createDataFrame(rows, SCHEMA)
+        asked = df.filter("vec_id % 5 = 0 OR vec_id >= 580")
+        queries = [r[:2] for r in rows if r[0] % 5 == 0 or r[0] >= 580]
+        want, got = brute([r[:2] for r in rows], queries), listed(neighbours.neighbours(df, asked).collect())
+        assert set(got) == set(want)
+        assert all(len(got[q]) == min(10, len(want[q])) for q in want)
+        hits = {q: np.mean([s <= want[q][len(got[q]) - 1][1] for _, s in got[q]]) for q in want}
+        groups = [range(360), range(360, 580), range(580, 600)] if len(rows) > 8 else [range(8)]
+        assert all(np.mean([hits[q] for q in g if q in hits]) >= 0.9 for g in groups)
