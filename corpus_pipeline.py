@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters stay, if their main language wrote a quarter of the words or more."""
+    """Documents that fit the learnt languages stay, if their main language wrote half of the words or more."""
     return language.selected(docs, language.model_of(spark, sf_dir))
 
 

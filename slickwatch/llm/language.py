@@ -5,6 +5,10 @@ mixture: expectation-maximisation estimates the part of its words that each lang
 wrote, from the likelihoods of the words' trigrams. The language set is chosen
 by penalised likelihood: from all languages down, the least one goes as long as
 the penalised likelihood does not fall.
+
+A text fits by the mean log-likelihood of its trigrams, each word in its best
+language. Below a floor between the least ``LOWEST`` of the learning fold and
+a model of even trigrams it is in none of the languages.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ PRIOR = 0.1  # pseudo-count of each trigram bucket
 ROUNDS, NEAR = 25, 1e-4
 PENALTY = 6.0  # log-likelihood that a further language must gain, times ln(1 + words) / 2
 UNDETERMINED = "und"
+LOWEST = 0.01  # part of the learning fold below the upper end of the floor
+ROOM = 2.0  # nats a trigram that a text of one word may lie below the floor; falls with the root of the words
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -85,6 +91,47 @@ def learnt(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.log((count + PRIOR) / (count + PRIOR).sum(0)).astype(np.float32)
 
 
+def _fits(like: np.ndarray, first: np.ndarray, n_grams: int, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log-likelihood of each text's trigrams, each word in its best language, and the number of words."""
+    size = np.diff(np.append(first, n_grams))
+    grams = np.bincount(rows, size, n)
+    words = np.bincount(rows, minlength=n)
+    best = np.bincount(rows, like.max(1), n) if len(rows) else np.zeros(n)
+    return best / np.maximum(grams, 1), words
+
+
+def _likelihoods(model: np.ndarray, buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each word in each language."""
+    return np.add.reduceat(model[buckets], first, axis=0).astype(np.float64) if len(first) else np.zeros((0, model.shape[1]))
+
+
+def floor_of(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> float:
+    """Midway between the fit that all but ``LOWEST`` of ``docs`` (text, lang) reach and that of even trigrams.
+
+    All texts that taught the model count; what the driver gets is a histogram in
+    hundredths of a nat.
+    """
+    names, table_ = model
+    if not names:
+        return -np.inf
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = flat(batch.column(0))
+            for i, j in steps(offsets):
+                buckets, first, rows = trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                fit, words = _fits(_likelihoods(table_, buckets, first), first, len(buckets), rows, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.round(fit[words > 0] * 100).astype(np.int64))], ["fit"])
+
+    each = docs.filter("lang IS NOT NULL").select("text").mapInArrow(run, "fit long")
+    rows = sorted(map(tuple, each.groupBy("fit").count().collect()))
+    if not rows:
+        return -np.inf
+    reached = np.cumsum([n for _, n in rows])
+    low = rows[int(np.searchsorted(reached, LOWEST * reached[-1], "right"))][0] / 100
+    return (low - np.log(BUCKETS)) / 2
+
+
 def mixed(like: np.ndarray, rows: np.ndarray, n: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parts of each allowed language in each of n documents, and the log-likelihood.
 
@@ -138,7 +185,7 @@ def chosen(like: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return parts, allowed > 0
 
 
-def _predictor(names: list[str], model: np.ndarray) -> Callable:
+def _predictor(names: list[str], model: np.ndarray, floor: float = -np.inf) -> Callable:
     def run(texts: pa.Array, lettered: pa.Array) -> pa.Array:
         data, offsets = flat(texts)
         some = np.array([bool(x) for x in lettered.to_pylist()], bool)
@@ -148,10 +195,12 @@ def _predictor(names: list[str], model: np.ndarray) -> Callable:
             if not names:
                 break
             buckets, first, rows = trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            like = np.add.reduceat(model[buckets], first, axis=0).astype(np.float64) if len(first) else np.zeros((0, len(names)))
+            like = _likelihoods(model, buckets, first)
+            fit, words = _fits(like, first, len(buckets), rows, j - i)
+            known = some[i:j] & (fit >= floor - ROOM / np.sqrt(np.maximum(words, 1)))
             parts, picked = chosen(like, rows, j - i)
             best = parts.argmax(1)
-            for k in np.flatnonzero(some[i:j]).tolist():
+            for k in np.flatnonzero(known).tolist():
                 lang[i + k], score[i + k] = names[best[k]], min(1.0, parts[k, best[k]])
                 sets[i + k] = [names[x] for x in np.flatnonzero(picked[k])]
         return pa.StructArray.from_arrays(
@@ -161,11 +210,12 @@ def _predictor(names: list[str], model: np.ndarray) -> Callable:
     return run
 
 
-def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "language") -> DataFrame:
+def predicted(docs: DataFrame, model: tuple, name: str = "language") -> DataFrame:
     """``docs`` with the main language, its part of the words and the set of languages.
 
-    Null texts and texts without a letter are ``und`` with score 0, as are all
-    texts if nothing was learnt. Ties go to the first language by name. Rows,
+    ``model``: languages, log-probabilities and, if texts that fit none are to be
+    found, the floor. Null texts, texts without a letter and texts below the floor are
+    ``und`` with score 0, as are all texts if nothing was learnt. Ties go to the first language by name. Rows,
     repeated ones too, stay as they are; other columns stay.
     """
     kind = "struct<lang_pred: string, score: double, languages: array<string>>"
@@ -173,16 +223,17 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str =
     return annotated(docs, name, _predictor(*model), kind, F.col("text"), lettered)
 
 
-def model_of(spark: SparkSession, folder: str) -> tuple[list[str], np.ndarray]:
+def model_of(spark: SparkSession, folder: str) -> tuple[list[str], np.ndarray, float]:
     """What the documents outside the held-out fold teach."""
-    docs = table(spark, folder, "documents")
-    return learnt(docs.filter(~rank_digits("doc_id", 4, 2)))
+    docs = table(spark, folder, "documents").filter(~rank_digits("doc_id", 4, 2))
+    model = learnt(docs)
+    return *model, floor_of(docs, model)
 
 
-KEEP = 0.25  # a document stays if its main language wrote this part of it
+KEEP = 0.5  # a document stays if its main language wrote this part of it
 
 
-def selected(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: float = KEEP) -> DataFrame:
+def selected(docs: DataFrame, model: tuple, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose main language is known and wrote ``keep`` or more, all columns as they were."""
     name = fresh(docs, "language")
     rows = predicted(docs, model, name)

@@ -60,3 +60,24 @@ def test_empty_and_untaught(spark):
     assert language.predicted(empty, model).collect() == []
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert language.predicted(docs, language.learnt(docs)).first().language.lang_pred == "und"
+
+
+def test_selection_can_reject(spark):
+    """Unlearnt languages, letter noise and even mixtures go; clean documents of the held-out fold stay."""
+    model = language.model_of(spark, FOLDER)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
+    clean = docs.filter("n_chars BETWEEN 1000 AND 9000 AND crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+    rng = np.random.default_rng(4)
+    noise = " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(100))
+    by = {r.lang: r.text.split()[:80] for r in clean.orderBy("doc_id").collect()}
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza",
+    ]
+    even = "\n".join(" ".join(by[x]) for x in sorted(by))
+    assert len(by) == 4
+    bad = spark.createDataFrame([(-k, x, None, None) for k, x in enumerate([noise, *foreign, even], 1)], docs.schema)
+    assert language.selected(bad, model).collect() == []
+    assert language.selected(clean, model).count() >= 0.99 * clean.count() > 0
