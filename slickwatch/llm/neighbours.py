@@ -11,7 +11,8 @@ A query is settled once it has ``KEPT`` ids and the visited cells hold a vector
 far away as the last of them with a probability of ``SURE``, which follows from the
 Gaussian projections. All others go on to cells ``GROWTH`` times as wide, up to
 ``LEVELS`` times, and what is still open then is compared with every vector of its
-length. So no query ends with fewer neighbours than there are.
+length. Only an id with several different vectors may still list fewer than there are,
+as its own rows can fill the ``KEPT`` places.
 
 Equal vectors are indexed once, with their ``KEPT`` least ids, which is all that a
 list of ten can show. Full cells are cut into blocks on both sides, so no task
