@@ -56,7 +56,11 @@ def placed_pixels(t: Tables) -> DataFrame:
 
 
 def land(t: Tables) -> DataFrame:
-    return add_ring(t.view("v_land"), F.col("half_width") / 0.04)
+    """Islands, one row a part; some have a lake."""
+    df = add_ring(t.view("v_land"), F.col("half_width") / 0.04)
+    lake = geo.ring_from_offsets("c_lon", "c_lat", RINGS[0], F.col("half_width") / 0.04 * 0.3)
+    has = (F.col("land_id") % 4 == 1) & (F.col("shape") != 1)
+    return df.withColumn("holes", F.when(has, F.array(lake)).otherwise(F.slice(F.array(lake), 1, 0)))
 
 
 def candidate_rings(t: Tables) -> DataFrame:
@@ -407,11 +411,15 @@ def mask_align_check(t):
 # --- land and groups -----------------------------------------------------------
 
 ORACLE_VIEWS["v_land_points"] = f"""
-    SELECT l.land_id, t.i, l.c_lon+t.dx*(l.half_width/0.04e0) AS x, l.c_lat+t.dy*(l.half_width/0.04e0) AS y
+    SELECT l.land_id, l.part, 0 AS hole, t.i, l.c_lon+t.dx*(l.half_width/0.04e0) AS x, l.c_lat+t.dy*(l.half_width/0.04e0) AS y
     FROM v_land l JOIN (VALUES {TEMPLATE_ROWS}) t(shape,i,dx,dy) ON t.shape=l.shape
+    UNION ALL
+    SELECT l.land_id, l.part, 1, t.i, l.c_lon+t.dx*(l.half_width/0.04e0*0.3e0), l.c_lat+t.dy*(l.half_width/0.04e0*0.3e0)
+    FROM v_land l JOIN (VALUES {TEMPLATE_ROWS}) t(shape,i,dx,dy) ON t.shape=0 WHERE l.land_id % 4 = 1 AND l.shape <> 1
 """
 ORACLE_VIEWS["v_land_edges"] = """
-    SELECT a.land_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v_land_points a JOIN v_land_points b ON a.land_id=b.land_id AND b.i=a.i+1
+    SELECT a.land_id, a.part*100+a.hole*50+a.i AS edge, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v_land_points a
+    JOIN v_land_points b ON a.land_id=b.land_id AND a.part=b.part AND a.hole=b.hole AND b.i=a.i+1
 """
 ORACLE_VIEWS["v_map_pixels"] = """
     SELECT scene_id, y, x, 57.1e0+(scene_id*11 % 20)/10e0+(0e0+0.004e0*(x+0.5e0)) AS lon, -21.3e0+(scene_id*7 % 20)/10e0+(0e0-0.004e0*(y+0.5e0)) AS lat FROM v_pixels
@@ -488,13 +496,47 @@ def pixel_polygon_overlap(t):
     return df
 
 
-@query("distance_to_land")
+Q_SQL = "(0.9933056200098587e0*(sin(radians({y}))/(1-0.0066943799901413165e0*pow(sin(radians({y})),2))-ln((1-0.08181919084262149e0*sin(radians({y})))/(1+0.08181919084262149e0*sin(radians({y}))))/(2*0.08181919084262149e0)))"
+
+
+def projected(table: str, columns: str) -> str:
+    """Edges in equal-area metres, as SQL text."""
+    x, y = ("6378137e0*radians({})".format, lambda c: "6378137e0/2*" + Q_SQL.format(y=c))
+    return f"SELECT {columns}, {x('x1')} AS x1, {x('x2')} AS x2, {y('y1')} AS y1, {y('y2')} AS y2 FROM {table}"
+
+
+def apart_sql(p: str, q: str, k: int) -> str:
+    """Squared distance of end k of edge p to edge q, as SQL text."""
+    x, y, dx, dy = f"{p}.x{k}", f"{p}.y{k}", f"({q}.x2-{q}.x1)", f"({q}.y2-{q}.y1)"
+    t = f"greatest(0e0,least(1e0,(({x}-{q}.x1)*{dx}+({y}-{q}.y1)*{dy})/({dx}*{dx}+{dy}*{dy})))"
+    return f"pow({q}.x1+{t}*{dx}-{x},2)+pow({q}.y1+{t}*{dy}-{y},2)"
+
+
+def side_sql(e: str, p: str, k: int) -> str:
+    return f"(({e}.x2-{e}.x1)*({p}.y{k}-{e}.y1)-({e}.y2-{e}.y1)*({p}.x{k}-{e}.x1))"
+
+
+def odd_sql(p: str, e: str) -> str:
+    """1 if the ray from the start of p crosses edge e, as SQL text."""
+    return f"CASE WHEN ({e}.y1>{p}.y1) <> ({e}.y2>{p}.y1) AND {p}.x1 < ({e}.x2-{e}.x1)*({p}.y1-{e}.y1)/({e}.y2-{e}.y1)+{e}.x1 THEN 1 ELSE 0 END"
+
+
+# Every candidate edge with every land edge: no cells, no bounds.
+@query(
+    "distance_to_land",
+    f"""WITH c AS ({projected('v_cand_edges', 'candidate_id, i')}), l AS ({projected('v_land_edges', 'land_id, edge')}),
+        w AS (SELECT c.candidate_id, l.land_id, l.edge, min(least({apart_sql('c','l',1)}, {apart_sql('c','l',2)}, {apart_sql('l','c',1)}, {apart_sql('l','c',2)})) AS d2,
+                bool_or({side_sql('c','l',1)}*{side_sql('c','l',2)} < 0 AND {side_sql('l','c',1)}*{side_sql('l','c',2)} < 0) AS crosses,
+                sum({odd_sql('l','c')}) % 2 = 1 AS holds, sum(CASE WHEN c.i = 0 THEN {odd_sql('c','l')} ELSE 0 END) AS odd
+              FROM c JOIN l ON true GROUP BY c.candidate_id, l.land_id, l.edge),
+        z AS (SELECT candidate_id, land_id, min(d2) AS d2, bool_or(crosses OR holds) OR sum(odd) % 2 = 1 AS meets FROM w GROUP BY candidate_id, land_id)
+       SELECT candidate_id, {rnd('CASE WHEN bool_or(meets) THEN 0e0 ELSE sqrt(min(d2)) END', 3)} AS distance_m FROM z GROUP BY candidate_id""",
+)
 def distance_to_land(t):
     df = ld.distance_to_land(candidate_rings(t), land(t))
     return df.withColumn("distance_m", geo.rnd("distance_m", 3))
 
 
-Q_SQL = "(0.9933056200098587e0*(sin(radians({y}))/(1-0.0066943799901413165e0*pow(sin(radians({y})),2))-ln((1-0.08181919084262149e0*sin(radians({y})))/(1+0.08181919084262149e0*sin(radians({y}))))/(2*0.08181919084262149e0)))"
 
 
 @query(

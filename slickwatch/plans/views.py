@@ -97,14 +97,20 @@ VIEWS: dict[str, str] = {
                CAST(floor(p_partkey/260e0) AS BIGINT) AS ds
         FROM {part}
     """,
-    # Islands; one ring template scaled per row.
+    # Islands; one ring template scaled per row. Some have a second part.
     "v_land": """
-        SELECT s_suppkey AS land_id,
+        SELECT land_id, part, c_lat, c_lon + part*0.11e0 AS c_lon, half_width/(1e0+part) AS half_width, shape
+        FROM (SELECT s_suppkey AS land_id, 0 AS part,
                -21.5e0+(s_suppkey*7 % 20)/10e0 + ((s_suppkey*3 % 7)-3)*0.02e0 AS c_lat,
                57.2e0+(s_suppkey*11 % 20)/10e0 + ((s_suppkey*5 % 9)-4)*0.02e0 AS c_lon,
                0.008e0+(s_suppkey % 4)*0.004e0 AS half_width,
                s_suppkey % 3 AS shape
         FROM {supplier}
+        UNION ALL
+        SELECT s_suppkey, 1, -21.5e0+(s_suppkey*7 % 20)/10e0 + ((s_suppkey*3 % 7)-3)*0.02e0,
+               57.2e0+(s_suppkey*11 % 20)/10e0 + ((s_suppkey*5 % 9)-4)*0.02e0,
+               0.008e0+(s_suppkey % 4)*0.004e0, s_suppkey % 3
+        FROM {supplier} WHERE s_suppkey % 5 = 2) l
     """,
     # Forcing lattice: 10 x 10 cells, 20 six-hour steps, 2000 cells a dataset.
     "v_grid": """
