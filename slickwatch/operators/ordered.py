@@ -1,54 +1,123 @@
 """Order-dependent building blocks that survive one key holding most rows.
 
-A plain ``Window.partitionBy(key)`` sorts everything of one key in one task.
-The helpers here cut each key into buckets along the sort order, work inside a
-bucket, and pass a per-bucket summary along instead of the rows. The summary
-table has one row per bucket, so its size depends on the value range, not on
-the number of rows.
+A plain ``Window.partitionBy(key)`` sorts everything of one key in one task. What
+needs the order itself (:func:`carry_forward`) is cut by range of key and order, so
+that a hot key lies over several tasks, and one row a task goes on to the next.
+Ranks and percentiles cut a key into bins of the value, whose counts alone are
+brought together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def time_bucket(ts: str = "ts", seconds: int = 3600) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts)) / seconds)
-
-
-def carry_forward(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    payload: Column,
-    bucket: Column,
-    out: str = "prev",
-    inclusive: bool = False,
-) -> DataFrame:
+from pyspark.sql.types import StructType
+
+from slickwatch.session import cut_lineage
+
+
+def _starts(columns: list[pa.Array], before: tuple | None) -> np.ndarray:
+    """True at each row whose key differs from the row above; ``before`` is the key above the first."""
+    new = np.zeros(len(columns[0]), bool)
+    for col in columns:
+        a, b = col[:-1], col[1:]
+        differs = pc.fill_null(pc.not_equal(a, b), False)
+        new[1:] |= pc.or_(differs, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    new[0] = before is None or before != tuple(c[0].as_py() for c in columns)
+    return new
+
+
+class _Carry:
+    """What goes from a run of sorted rows to the next: the last key and its last payload; ``whole`` while that key has not changed."""
+
+    def __init__(self, key: tuple | None = None, payload: pa.Array | None = None):
+        self.key, self.payload, self.whole = key, payload, True
+
+    def passed(self, keys: list[pa.Array], payload: pa.Array, inclusive: bool) -> pa.Array:
+        """Last non-null payload before (or at) each row within its key."""
+        n = len(payload)
+        start = _starts(keys, self.key)
+        if start.any():
+            self.whole = False
+        there = payload.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.arange(n)
+        last = np.maximum.accumulate(np.where(there, rows, -1))
+        begin = np.maximum.accumulate(np.where(start, rows, -1))  # -1: the key that was carried in
+        seen = last if inclusive else np.append(-1, last[:-1])
+        if not inclusive:
+            seen = np.where(start, -1, seen)
+        inside = seen >= np.maximum(begin, 0)
+        carried = self.payload if self.payload is not None else pa.nulls(1, payload.type)
+        at = np.where(inside, seen, np.where(begin < 0, n, -1))
+        out = pa.concat_arrays([payload, carried]).take(pa.array(at, mask=at < 0))
+        if last[-1] >= max(begin[-1], 0):
+            self.payload = payload.slice(last[-1], 1)
+        elif begin[-1] >= 0:
+            self.payload = None
+        self.key = tuple(c[-1].as_py() for c in keys)
+        return out
+
+
+def _columns(batch: pa.RecordBatch, keys: list[str]) -> tuple[list[pa.Array], pa.Array]:
+    names = batch.schema.names
+    return [batch.column(names.index(k)) for k in keys], batch.column(names.index("_p"))
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], payload: Column, out: str = "prev", inclusive: bool = False) -> DataFrame:
     """Last non-null ``payload`` before (or at) each row, per key in order.
 
-    ``bucket`` must grow with the order. Rows of one (key, bucket) are sorted
-    together; only the last payload of a bucket travels to the next one.
+    One exchange cuts the rows by range of key and order, so a key that holds
+    most rows is many tasks; each task sorts its own and goes through them once.
+    From a task to the next goes one row: its last key and payload. Those rows, one a
+    task, are all the driver sees.
     """
-    tagged = df.withColumn("_b", bucket).withColumn("_p", payload)
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    near = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    tagged = tagged.withColumn("_near", F.last("_p", ignorenulls=True).over(near))
-    # One row per bucket: its last payload, found with a map-side aggregate.
-    here = F.struct(*[F.col(c) for c in order], F.col("_p"))
-    buckets = (
-        tagged.groupBy(*keys, "_b")
-        .agg(F.max(F.when(F.col("_p").isNotNull(), here)).alias("_t"))
-        .select(*keys, "_b", F.col("_t._p").alias("_tail"))
-    )
-    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.select(*keys, "_b", F.last("_tail", ignorenulls=True).over(across).alias("_far"))
-    return (
-        tagged.join(carried.filter("_far IS NOT NULL"), [*keys, "_b"], "left")
-        .withColumn(out, F.coalesce("_near", "_far"))
-        .drop("_b", "_p", "_near", "_far")
-    )
+    tagged = df.withColumn("_p", payload)
+    ordered = cut_lineage(tagged.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
+    kind = ordered.schema["_p"].dataType
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            if batch.num_rows:
+                columns, values = _columns(batch, keys)
+                carry = carry or _Carry(tuple(c[0].as_py() for c in columns))
+                carry.passed(columns, values, inclusive)
+        if carry is not None:
+            last = carry.payload if carry.payload is not None else pa.nulls(1, values.type)
+            one = pa.RecordBatch.from_arrays([*[pa.array([k], c.type) for k, c in zip(carry.key, columns)], last], [*map(str, range(len(keys) + 1))])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, one.schema) as out_:
+                out_.write_batch(one)
+            packed = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([carry.whole]), pa.array([sink.getvalue().to_pybytes()])]
+            yield pa.RecordBatch.from_arrays(packed, ["at", "whole", "tail"])
+
+    held: list[tuple[int, tuple, pa.Array]] = []
+    for r in sorted(ordered.mapInArrow(ends, "at int, whole boolean, tail binary").collect()):
+        row = pa.ipc.open_stream(bytes(r["tail"])).read_next_batch()
+        key, last = tuple(c[0].as_py() for c in row.columns[:-1]), row.columns[-1]
+        if last.null_count and r.whole and held and held[-1][1] == key:
+            last = held[-1][2]  # the whole task was of the key before, without a payload of its own
+        held.append((r["at"], key, last))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = TaskContext.get().partitionId()
+        before = [h for h in held if h[0] < own][-1:]
+        carry = _Carry(before[0][1], before[0][2]) if before else _Carry()
+        for batch in batches:
+            if batch.num_rows:
+                columns, values = _columns(batch, keys)
+                found = carry.passed(columns, values, inclusive)
+                at = batch.schema.names.index("_p")
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *batch.columns[at + 1 :], found], [*batch.schema.names[:at], *batch.schema.names[at + 1 :], out])
+
+    result = StructType([f for f in ordered.schema.fields if f.name != "_p"]).add(out, kind)
+    return ordered.mapInArrow(passed, result)
 
 
 def grouped_percentiles(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
@@ -13,6 +13,9 @@ BUFFER_KM = 10.0
 NO_RING_KM = 999.0
 AOI_HALF_DEG = 0.6
 HOURS_BEFORE, HOURS_AFTER = 120, 10
+#: Cells for bounds of a track's reports, copies of a case's regions, room for rounding.
+CELL_DEG, SALTS = 0.1, 16
+ROOM, EVEN = 1.01, 1e-12
 
 
 def case_positions(positions: DataFrame, cases: DataFrame, half_deg: float = AOI_HALF_DEG) -> DataFrame:
@@ -54,37 +57,72 @@ def case_positions(positions: DataFrame, cases: DataFrame, half_deg: float = AOI
     )
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], salts: int = SALTS) -> DataFrame:
+    """Inner join in which no key of the small ``right`` side is one task: ``left`` is dealt by ``by``, ``right`` copied."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def _vertices(live: DataFrame) -> DataFrame:
+    """Corners of each region as points of the unit sphere, one row each."""
+    corner = F.explode(F.slice("ring", 1, F.size("ring") - 1))
+    at = live.select("case_id", "region_id", corner.alias("_p")).select("case_id", "region_id", geo.unit_vector("_p.y", "_p.x").alias("v"))
+    return at.select("case_id", "region_id", F.col("v.ux").alias("vx"), F.col("v.uy").alias("vy"), F.col("v.uz").alias("vz"))
+
+
+def surviving_cells(p: DataFrame, live: DataFrame) -> DataFrame:
+    """case_id, mmsi, _cx, _cy, region_id: the cells of a track that may hold its closest report to a region.
+
+    A track's reports in a cell lie in a cap of the sphere, a region's corners in
+    another. The gap of two caps bounds their distance below, gap and both caps
+    together bound it above; a cell goes if another of the track is surely closer.
+    """
+    box = p.groupBy("case_id", "mmsi", "_cx", "_cy").agg(
+        *[f(x).alias(f"{n}_{x}") for n, f in (("lo", F.min), ("hi", F.max)) for x in ("lat", "lon")]
+    )
+    middle = geo.unit_vector((F.col("lo_lat") + F.col("hi_lat")) / 2, (F.col("lo_lon") + F.col("hi_lon")) / 2)
+    ends = [geo.unit_vector(f"{y}_lat", f"{x}_lon") for x in ("lo", "hi") for y in ("lo", "hi")]
+    caps = box.select("case_id", "mmsi", "_cx", "_cy", middle.alias("_m"), F.array(*ends).alias("_e"))
+    far = F.sqrt(F.array_max(F.transform("_e", lambda e: geo.chord_sq(F.col("_m"), e))))
+    caps = caps.select("case_id", "mmsi", "_cx", "_cy", "_m", (far * ROOM + EVEN).alias("_r"))
+    points = F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda c: geo.unit_vector(c["y"], c["x"]))
+    b = geo.ring_bbox(F.col("ring"))
+    areas = live.select("case_id", "region_id", b.alias("_b"), points.alias("_v"))
+    areas = areas.select("case_id", "region_id", "_v", geo.unit_vector((F.col("_b.min_y") + F.col("_b.max_y")) / 2, (F.col("_b.min_x") + F.col("_b.max_x")) / 2).alias("_c"))
+    reach = F.sqrt(F.array_max(F.transform("_v", lambda v: geo.chord_sq(F.col("_c"), v))))
+    areas = areas.select("case_id", "region_id", "_c", (reach * ROOM + EVEN).alias("_w"))
+    pairs = salted_join(caps, areas, ["case_id"], ["mmsi", "_cx", "_cy"])
+    apart, room = F.sqrt(geo.chord_sq(F.col("_m"), F.col("_c"))), F.col("_r") + F.col("_w")
+    pairs = pairs.select("case_id", "mmsi", "_cx", "_cy", "region_id", (apart - room).alias("_lb"), (apart + room).alias("_ub"))
+    least = F.min("_ub").over(Window.partitionBy("case_id", "mmsi", "region_id"))
+    return pairs.withColumn("_least", least).filter("_lb <= _least").drop("_lb", "_ub", "_least")
+
+
 def _closest_vertices(p: DataFrame, live: DataFrame) -> DataFrame:
-    """Least vertex distance per track and region, fully code generated.
+    """Least vertex distance per track and region: bounds of whole cells first, then corners for the cells left.
 
-    Vertices are plain rows of the bounded region side, distances squared
-    chords; the minimum over reports and vertices is one partial aggregate.
+    Distances are squared chords in generated code; the minimum over reports and
+    vertices is one partial aggregate.
     """
-    corner = F.explode(F.slice("ring", 1, F.size("ring") - 1))
-    vertices = live.select("case_id", "region_id", corner.alias("_p")).select(
-        "case_id", "region_id", geo.unit_vector("_p.y", "_p.x").alias("v")
-    ).select("case_id", "region_id", F.col("v.ux").alias("vx"), F.col("v.uy").alias("vy"), F.col("v.uz").alias("vz"))
-    u = p.select("case_id", "mmsi", "sec", geo.unit_vector("lat", "lon").alias("u")).select(
-        "case_id", "mmsi", "sec", "u.ux", "u.uy", "u.uz"
+    u = p.select("case_id", "mmsi", "_cx", "_cy", "sec", geo.unit_vector("lat", "lon").alias("u")).select(
+        "case_id", "mmsi", "_cx", "_cy", "sec", "u.ux", "u.uy", "u.uz"
     )
+    left = u.join(surviving_cells(p, live), ["case_id", "mmsi", "_cx", "_cy"])
     dx, dy, dz = F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy"), F.col("uz") - F.col("vz")
-    near = u.join(vertices, "case_id").select(
+    near = salted_join(left, _vertices(live), ["case_id", "region_id"], ["mmsi", "sec"]).select(
         "case_id", "mmsi", "region_id", "sec", (geo.chord_to_m(dx * dx + dy * dy + dz * dz) / 1000).alias("d")
     )
-    return near.groupBy("case_id", "mmsi", "region_id").agg(
-        _closest("d", "sec").alias("_at")
-    )
+    return near.groupBy("case_id", "mmsi", "region_id").agg(_closest("d", "sec").alias("_at"))
 
 
 def _closest_segments(p: DataFrame, live: DataFrame) -> DataFrame:
     """Least distance to the boundary segments per track and region."""
     d = geo.segment_distance_m(F.col("ring"), "lat", "lon") / 1000
-    near = p.join(live.select("case_id", "region_id", "ring"), "case_id").select(
+    near = salted_join(p, live.select("case_id", "region_id", "ring"), ["case_id"], ["mmsi", "sec"]).select(
         "case_id", "mmsi", "region_id", "sec", d.alias("d")
     )
-    return near.groupBy("case_id", "mmsi", "region_id").agg(
-        _closest("d", "sec").alias("_at")
-    )
+    return near.groupBy("case_id", "mmsi", "region_id").agg(_closest("d", "sec").alias("_at"))
 
 
 def _closest(km: str, seconds: str):
@@ -98,21 +136,23 @@ def track_region_distance(
     """Closest approach of every track of a case to every eligible region of it.
 
     A case has at most a few dozen regions (at most ten hypotheses times four
-    horizons), so the fan-out per position is bounded and the region side is
-    small. Containment is tested only for reports inside a region's box.
-    ``boundary='segment'`` measures to the edges instead of the vertices.
+    horizons). No join has the case alone as its key: the region side is copied
+    and the reports dealt, or both meet on cells. Containment is tested only for
+    reports in a cell of a region's box. ``boundary='segment'`` measures to the
+    edges instead of the vertices.
     """
     live = regions.filter("eligible")
-    p = points.select("case_id", "mmsi", "lat", "lon", F.unix_seconds("ts").alias("sec"))
+    p = with_point_cell(points.select("case_id", "mmsi", "lat", "lon", F.unix_seconds("ts").alias("sec")), "lon", "lat", CELL_DEG)
     closest = _closest_segments(p, live) if boundary == "segment" else _closest_vertices(p, live)
     boxes = live.select("case_id", "region_id", "ring", geo.ring_bbox(F.col("ring")).alias("b")).select(
         "case_id", "region_id", "ring", "b.min_x", "b.max_x", "b.min_y", "b.max_y"
     )
+    boxes = with_box_cells(boxes, "min_x", "min_y", "max_x", "max_y", CELL_DEG)
     in_box = F.col("lon").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(
         F.col("min_y"), F.col("max_y")
     )
     within = (
-        p.join(boxes, "case_id")
+        p.join(boxes, ["case_id", "_cx", "_cy"])
         .filter(in_box)
         .filter(geo.point_in_ring(F.col("ring"), "lon", "lat"))
         .groupBy("case_id", "mmsi", "region_id")
@@ -132,8 +172,7 @@ def track_region_distance(
         "case_id", "mmsi", "vessel_name", "vessel_type", "median_gap_minutes", "first_lat", "first_lon"
     )
     return (
-        met.join(tracks, ["case_id", "mmsi"])
-        .join(facts, ["case_id", "region_id"])
+        salted_join(met.join(tracks, ["case_id", "mmsi"]), facts, ["case_id", "region_id"], ["mmsi"])
         .select(
             "case_id",
             "mmsi",

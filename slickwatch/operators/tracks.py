@@ -1,8 +1,7 @@
 """Vessel tracks and behaviour from flagged positions.
 
-All per-report work is cut into hourly buckets of a vessel's track (see
-``ordered``), because an identity shared by many transmitters can hold a large
-share of all reports. ``keys`` is the vessel, or the case and the vessel.
+All per-report work is cut by range of vessel and time (see ``ordered``), because
+an identity shared by many transmitters can hold a large share of all reports. ``keys`` is the vessel, or the case and the vessel.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slickwatch.functions.geo import rnd
-from slickwatch.operators.ordered import carry_forward, grouped_percentiles, time_bucket
+from slickwatch.operators.ordered import carry_forward, grouped_percentiles
 
 # Behaviour and gap limits.
 LARGE_GAP_H = 2.0
@@ -23,7 +22,7 @@ SHARP_TURN_DEG = 45.0
 def with_previous(positions: DataFrame, keys: list[str]) -> DataFrame:
     """Each report with the gap to and turn from the vessel's previous one."""
     payload = F.struct(F.col("ts").alias("pts"), F.col("cog").alias("pcog"))
-    df = carry_forward(positions, keys, ["ts", "ordinal"], payload, time_bucket(), out="prev")
+    df = carry_forward(positions, keys, ["ts", "ordinal"], payload, out="prev")
     gap = (F.unix_micros("ts") - F.unix_micros("prev.pts")) / F.lit(60e6)
     swing = F.abs(F.col("cog") - F.col("prev.pcog"))
     return (
@@ -160,7 +159,5 @@ def last_known_position(positions: DataFrame, queries: DataFrame, keys: list[str
         "query_id",
     )
     both = marks.unionByName(asks, allowMissingColumns=True)
-    seen = carry_forward(
-        both, keys, ["ts", "_side", "ordinal"], F.col("_pos"), time_bucket(), out="known", inclusive=True
-    )
+    seen = carry_forward(both, keys, ["ts", "_side", "ordinal"], F.col("_pos"), out="known", inclusive=True)
     return seen.filter(F.col("_side") == 1).select("query_id", *keys, "ts", "known")

@@ -390,16 +390,20 @@ def vessel_behaviour(t):
 @query(
     "asof_last_position",
     f"""SELECT q.query_id, q.mmsi, strftime(p.ts, {ISO}) AS known_at, {rnd('p.lat')} AS lat, {rnd('p.lon')} AS lon
-        FROM (SELECT o_orderkey AS query_id, CAST(538000000 + o_custkey % 150 AS VARCHAR) AS mmsi,
-                     make_timestamp(1596585600000000 + o_orderkey*7919 % 864000 * 1000000) AS ts FROM orders) q
+        FROM (SELECT o_orderkey AS query_id, CAST(538000000 + o_custkey % users AS VARCHAR) AS mmsi,
+                     make_timestamp(1596585600000000 + o_orderkey % seasons * 3456000000000 + o_orderkey*7919 % 864000 * 1000000) AS ts
+              FROM orders, (SELECT max(user_id)+1 AS users, CAST(floor(max(event_id)/10000e0) AS BIGINT)+1 AS seasons FROM events) n) q
         LEFT JOIN LATERAL (SELECT * FROM (SELECT *, 1 AS one FROM v_flagged) f
              WHERE f.mmsi=q.mmsi AND f.ts <= q.ts ORDER BY f.ts DESC, f.ordinal DESC LIMIT 1) p ON true""",
 )
 def asof_last_position(t):
+    """Asks about every vessel and season that the reports have."""
+    n = t.table("events").agg((F.max("user_id") + 1).alias("users"), (F.floor(F.max("event_id") / 10000) + 1).alias("seasons")).first()
+    season = F.col("o_orderkey") % F.lit(n.seasons) * 3456000000000
     asks = t.table("orders").select(
         F.col("o_orderkey").alias("query_id"),
-        (F.lit(538000000) + F.col("o_custkey") % 150).cast("string").alias("mmsi"),
-        F.timestamp_micros(F.lit(1596585600000000) + F.col("o_orderkey") * 7919 % 864000 * 1000000).alias("ts"),
+        (F.lit(538000000) + F.col("o_custkey") % F.lit(n.users)).cast("string").alias("mmsi"),
+        F.timestamp_micros(F.lit(1596585600000000) + season + F.col("o_orderkey") * 7919 % 864000 * 1000000).alias("ts"),
     )
     return tracks.last_known_position(pos.clean_positions(parsed(t)), asks, ["mmsi"]).select(
         "query_id",

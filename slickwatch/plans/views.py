@@ -17,15 +17,16 @@ TABLES = (
 ).split()
 
 VIEWS: dict[str, str] = {
-    # Vessel reports. Fixed residues carry each kind of fault: bad latitude,
+    # Vessel reports, in seasons of 40 days: more reports are more seasons, not a
+    # denser sea, so what a case retrieves does not grow. Fixed residues carry each kind of fault: bad latitude,
     # short identity, impossible speed, out-of-range course, repeated report,
     # unreadable coordinate.
     "v_positions": """
         SELECT event_id*2+copy AS ordinal,
                CASE WHEN event_id % 197 = 3 THEN '123'
                     ELSE CAST(538000000+user_id AS STRING) END AS mmsi,
-               @mkts(1596585600000000 + CAST(floor((us-1704067200000000)
-                     / CAST(1+user_id%40 AS DOUBLE)) AS BIGINT)) AS ts,
+               @mkts(1596585600000000 + CAST(floor(event_id/10000e0) AS BIGINT)*3456000000000
+                     + CAST(floor((us-1704067200000000) / CAST(1+user_id%40 AS DOUBLE)) AS BIGINT)) AS ts,
                CASE WHEN event_id % 307 = 2 THEN 'n/a'
                     WHEN event_id % 211 = 5 THEN '-95.0'
                     ELSE CAST(-22e0+(event_id*7919 % 3000)/1000e0 AS STRING) END AS lat_text,
@@ -43,13 +44,13 @@ VIEWS: dict[str, str] = {
               SELECT event_id, user_id, value, @us(@ts) AS us, 1 AS copy FROM {events}
               WHERE event_id % 173 = 7) b
     """,
-    # A case groups eight source regions: the reference engine selects at most
+    # A case belongs to the season of its first region and groups eight source regions: the reference engine selects at most
     # ten hypotheses per case, so the regions of one case are bounded.
     "v_cases": """
         SELECT case_id,
                -21.4e0+(case_id*37 % 18)/10e0 AS aoi_lat,
                57.1e0+(case_id*53 % 23)/10e0 AS aoi_lon,
-               @mkts(1597023487500000 - (case_id % 3)*43200000000) AS obs_ts
+               @mkts(1597023487500000 + CAST(floor(case_id*8/100e0) AS BIGINT)*3456000000000 - (case_id % 3)*43200000000) AS obs_ts
         FROM (SELECT DISTINCT CAST(floor(s_suppkey/8e0) AS BIGINT) AS case_id
               FROM {supplier}) c
     """,
