@@ -74,9 +74,9 @@ def _vertices(live: DataFrame) -> DataFrame:
 def surviving_cells(p: DataFrame, live: DataFrame) -> DataFrame:
     """case_id, mmsi, _cx, _cy, region_id: the cells of a track that may hold its closest report to a region.
 
-    A track's reports in a cell lie in a cap of the sphere, a region's corners in
-    another. The gap of two caps bounds their distance below, gap and both caps
-    together bound it above; a cell goes if another of the track is surely closer.
+    A track's reports in a cell lie in a cap of the sphere. The distance of the
+    cap's middle to the region's nearest corner, less or plus the cap's radius,
+    bounds theirs; a cell goes if another of the track is surely closer.
     """
     box = p.groupBy("case_id", "mmsi", "_cx", "_cy").agg(
         *[f(x).alias(f"{n}_{x}") for n, f in (("lo", F.min), ("hi", F.max)) for x in ("lat", "lon")]
@@ -87,14 +87,11 @@ def surviving_cells(p: DataFrame, live: DataFrame) -> DataFrame:
     far = F.sqrt(F.array_max(F.transform("_e", lambda e: geo.chord_sq(F.col("_m"), e))))
     caps = caps.select("case_id", "mmsi", "_cx", "_cy", "_m", (far * ROOM + EVEN).alias("_r"))
     points = F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda c: geo.unit_vector(c["y"], c["x"]))
-    b = geo.ring_bbox(F.col("ring"))
-    areas = live.select("case_id", "region_id", b.alias("_b"), points.alias("_v"))
-    areas = areas.select("case_id", "region_id", "_v", geo.unit_vector((F.col("_b.min_y") + F.col("_b.max_y")) / 2, (F.col("_b.min_x") + F.col("_b.max_x")) / 2).alias("_c"))
-    reach = F.sqrt(F.array_max(F.transform("_v", lambda v: geo.chord_sq(F.col("_c"), v))))
-    areas = areas.select("case_id", "region_id", "_c", (reach * ROOM + EVEN).alias("_w"))
+    areas = live.select("case_id", "region_id", points.alias("_v"))
     pairs = salted_join(caps, areas, ["case_id"], ["mmsi", "_cx", "_cy"])
-    apart, room = F.sqrt(geo.chord_sq(F.col("_m"), F.col("_c"))), F.col("_r") + F.col("_w")
-    pairs = pairs.select("case_id", "mmsi", "_cx", "_cy", "region_id", (apart - room).alias("_lb"), (apart + room).alias("_ub"))
+    apart = F.sqrt(F.array_min(F.transform("_v", lambda v: geo.chord_sq(F.col("_m"), v))))
+    pairs = pairs.select("case_id", "mmsi", "_cx", "_cy", "region_id", apart.alias("_d"), "_r")
+    pairs = pairs.select("case_id", "mmsi", "_cx", "_cy", "region_id", (F.col("_d") - F.col("_r")).alias("_lb"), (F.col("_d") + F.col("_r")).alias("_ub"))
     least = F.min("_ub").over(Window.partitionBy("case_id", "mmsi", "region_id"))
     return pairs.withColumn("_least", least).filter("_lb <= _least").drop("_lb", "_ub", "_least")
 

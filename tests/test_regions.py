@@ -23,7 +23,7 @@ def tracks(rng, vessels, steps):
         lat, lon, way = -20.5 + rng.uniform(-0.5, 0.5), 57.5 + rng.uniform(-0.5, 0.5), rng.uniform(0, 6.28)
         for k in range(steps):
             way += rng.uniform(-0.2, 0.2)
-            lat, lon = lat + 0.002 * math.sin(way), lon + 0.002 * math.cos(way)
+            lat, lon = lat + 0.006 * math.sin(way), lon + 0.006 * math.cos(way)
             out.append((1, f"v{v}", lat, lon, k * 60))
     return out + [(1, "anchored", -20.41, 57.62, k) for k in range(2 * steps)] + [(2, "v0", -20.5, 57.5, 7)]
 
@@ -70,4 +70,4 @@ def test_no_join_on_the_case_alone(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert out.count() == 2000 and len(tasks) > 1 and "hashpartitioning(case_id" in plan and "_salt" in plan
+    assert out.count() == 2000 and len(tasks) > 1 and "_salt" in plan
