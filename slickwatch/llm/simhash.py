@@ -7,21 +7,23 @@ two such words meet in a variant at one flip from either. Every fingerprint
 emits the 49 variants of each erasure (196 rows) and the shuffle runs on the
 variants.
 
-Fingerprints that share a variant differ in at most two kept bits. They are
-verified without pairing a bucket with itself:
-
-* an erased block that differs in one bit at most: erase that bit too; all who
-  then agree (98 at most) are within 3 bits of each other, so each is linked to
-  the least of them;
-* all differing bits inside the block (an unflipped variant): erase three of its
-  bits; all who then agree (8 at most) are within 3 bits, linked alike.
-
-Every pair within 3 bits falls under one of the two, and no other pair is ever
-linked. Copies share a fingerprint, which counts once.
+Fingerprints that share a variant (a bucket) differ in at most two kept bits, and
+in the 16 bits of the erased block. They are verified without pairing a bucket
+with itself: its distinct block values, at most 2^16, are marked on a bitmap and
+flooded along the flips that keep two of them within 3 bits in all,
+
+* one flip of the block in any bucket (all who share a value are linked as well);
+* three flips among the unflipped, whose kept bits agree.
+
+Each fingerprint then gets at most one link in each case: to the least of its block
+value, and that one to a neighbour from which the flood came. So a bucket gives no
+more links than it has rows, and every link is within 3 bits. Every pair within 3
+bits falls under one of the two cases. Copies share a fingerprint, which counts once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -98,24 +100,85 @@ def _met(rows: DataFrame, *keys: str) -> DataFrame:
     return both.filter("_b IS NOT NULL OR _a IS NOT NULL").drop("_b", "_a")
 
 
-def _erased(rows: DataFrame, bits: int) -> DataFrame:
-    """Links to the least fingerprint among those equal but for ``bits`` bits of the block."""
-    masks = []
-    for block in range(BLOCKS):
-        inside, _ = _masks(block)
-        masks.append(F.array(*[F.lit(_signed(sum(inside) - sum(x))) for x in combinations(inside, bits)]))
-    choice = F.array(*masks)
-    each = rows.select("block", "near", "fp", F.explode(choice[F.col("block").cast("int")]).alias("mask"))
-    each = each.withColumn("rest", F.col("fp").bitwiseAND(F.col("mask")))
-    group = Window.partitionBy("block", "near", "mask", "rest")
-    return each.withColumn("b", F.min("fp").over(group)).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+def _flips(bits: int) -> np.ndarray:
+    """All 16-bit words of at most ``bits`` ones, but zero."""
+    return np.array([sum(1 << i for i in c) for k in range(1, bits + 1) for c in combinations(range(BLOCK_BITS), k)], np.int64)
+
+
+def flooded(values: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """For each of the distinct block values, the place of the one it was reached from by a flip; -1 for the first of a set."""
+    at = np.full(1 << BLOCK_BITS, -1, np.int32)
+    at[values] = np.arange(len(values))
+    source, open_ = np.full(len(values), -1, np.int64), np.ones(len(values), bool)
+    for start in range(len(values)):
+        if not open_[start]:
+            continue
+        front, open_[start] = np.array([start]), False
+        while len(front):
+            met = at[values[front][:, None] ^ flips]
+            row, col = np.nonzero((met >= 0) & open_[met])
+            reached, first = np.unique(met[row, col], return_index=True)
+            source[reached] = front[row[first]]
+            open_[reached] = False
+            front = reached
+    return source
+
+
+def _linked(fp: np.ndarray, value: np.ndarray, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the members of one bucket, whose block values meet by ``flips``."""
+    distinct, at = np.unique(value, return_inverse=True)
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(least, at, fp)
+    source = flooded(distinct, flips)
+    same, led = fp != least[at], source >= 0
+    return np.concatenate([fp[same], least[led]]), np.concatenate([least[at][same], least[source[led]]])
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of buckets whose rows (block, near, own, fp) come together; only an open bucket is kept between batches."""
+    one, three = _flips(1), _flips(3)
+    held: list[np.ndarray] | None = None
+
+    def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
+        block, near, own, fp = columns
+        starts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (near[1:] != near[:-1])]))
+        ends = np.append(starts[1:], len(fp))
+        value = (fp.view(np.uint64) >> (block.astype(np.uint64) * np.uint64(BLOCK_BITS))).astype(np.int64) & (1 << BLOCK_BITS) - 1
+        two = ends - starts == 2
+        i = starts[two]
+        apart = np.bitwise_count(value[i] ^ value[i + 1])
+        near_two = (apart <= 1) | (own[i] & own[i + 1] & (apart <= 3))
+        i = i[near_two]
+        a, b = [np.maximum(fp[i], fp[i + 1])], [np.minimum(fp[i], fp[i + 1])]
+        for s, e in zip(starts[~two].tolist(), ends[~two].tolist()):
+            mine = own[s:e]
+            for rows, flips in ((slice(s, e), one), (s + np.flatnonzero(mine), three)):
+                if len(fp[rows]) > 1:
+                    more = _linked(fp[rows], value[rows], flips)
+                    a.append(more[0])
+                    b.append(more[1])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    for batch in batches:
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+        cut = int(np.argmax(last))  # buckets come together, so the first row of the last one
+        held = [x[cut:] for x in rows]
+        if cut:
+            yield closed([x[:cut] for x in rows])
+    if held is not None:
+        yield closed(held)
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b) within 3 bits, enough to connect all that are; ``prints`` has distinct fp."""
-    met = staged(_met(variants(prints), "block", "near"), "variants")
-    inside = _met(met.filter("own"), "block", "near")
-    return _erased(met, 1).unionByName(_erased(inside, 3)).distinct()
+    """Pairs (a, b) that connect all fingerprints within 3 bits, and no others; ``prints`` has distinct fp."""
+    met = _met(variants(prints), "block", "near")
+    ordered = met.select(F.col("block").cast("int").alias("block"), "near", "own", "fp").sortWithinPartitions("block", "near")
+    return ordered.mapInArrow(_bucket_links, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from slickwatch.llm import simhash
@@ -59,6 +62,63 @@ def test_links_connect_what_brute_force_connects(spark):
     assert len({(root[p], want[p]) for p in prints}) == len(set(root.values())) == len(set(want.values()))
 
 
+def cluster(size, rng, spread=range(64)):
+    """Fingerprints, each at most 3 flips from an earlier one."""
+    out = [rng.getrandbits(64)]
+    while len(out) < size:
+        bits = rng.sample(spread, rng.randrange(1, 4))
+        fp = rng.choice(out[-20:]) ^ sum(1 << b for b in bits)
+        if fp not in out:
+            out.append(fp)
+    return out
+
+
+@pytest.mark.parametrize("size", [50, 200, 800])
+def test_links_stay_few_in_clusters(spark, size):
+    rng = random.Random(size)
+    prints = cluster(size, rng) + cluster(size // 2, rng, range(16)) + cluster(min(size, 100), rng, range(40, 48))
+    df = spark.createDataFrame([(simhash._signed(p),) for p in sorted(set(prints))], "fp long").repartition(3)
+    variants = simhash._met(simhash.variants(df), "block", "near").count()
+    links = simhash.links(df)
+    found = [(r.a % 2**64, r.b % 2**64) for r in links.collect()]
+    assert len(found) <= 14 * df.count() and len(found) < variants  # a link a row and bucket at most, most of them the same
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in found)
+    roots = {r.node: r.root for r in simhash.components(links).collect()}
+    got = {p: roots.get(simhash._signed(p), simhash._signed(p)) for p in set(prints)}
+    want = brute_groups([(p, p) for p in sorted(set(prints))])
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[p], want[p]) for p in got})
+
+
+def test_flooded_against_pairs():
+    rng = np.random.default_rng(1)
+    for bits, size in ((1, 3000), (3, 40), (3, 400), (1, 65536)):
+        values = np.sort(rng.choice(1 << 16, size, replace=False))
+        source = simhash.flooded(values, simhash._flips(bits))
+        reached = np.flatnonzero(source >= 0)
+        assert (np.bitwise_count(values[reached] ^ values[source[reached]]) <= bits).all()
+        root = np.arange(size)
+        while (source[root] >= 0).any():
+            root = np.where(source[root] >= 0, source[root], root)
+        if size == 65536:
+            assert (source >= 0).sum() == size - 1
+        else:
+            near = np.bitwise_count(values[:, None] ^ values) <= bits
+            top = np.arange(size)
+            while (top != (new := np.where(near, top, size).min(1))).any():
+                top = new
+            assert len(set(zip(root.tolist(), top.tolist()))) == len(set(top.tolist())) == (source < 0).sum()
+
+
+def test_open_buckets_over_batches():
+    rng = random.Random(2)
+    prints = sorted(set(cluster(300, rng, range(16))))
+    rows = [(0, p >> 16 << 16, True, p) for p in prints]
+    columns = lambda r: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*[(b, simhash._signed(n), o, simhash._signed(f)) for b, n, o, f in r])], ["block", "near", "own", "fp"])
+    whole = pa.Table.from_batches(simhash._bucket_links(iter([columns(rows)]))).to_pylist()
+    cut = pa.Table.from_batches(simhash._bucket_links(iter([columns(rows[i : i + 7]) for i in range(0, len(rows), 7)]))).to_pylist()
+    assert whole == cut and len(whole) <= 2 * len(rows)
+
+
 def texts():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
