@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from slickwatch.llm import language
 
@@ -27,7 +28,8 @@ def test_mixture_proportions_and_odd_rows(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     model = language.learnt(docs)
     by = {r.lang: r.text for r in docs.filter("n_chars BETWEEN 3000 AND 9000").orderBy("doc_id").collect()}
-    de, fr = " ".join(by["de"].split()[:300]), " ".join(by["fr"].split()[:100])
+    words = lambda x: [w for w in by[x].split() if any(c.isalpha() for c in w)]  # noqa: E731  marks are no words
+    de, fr = " ".join(words("de")[:300]), " ".join(words("fr")[:100])
     rows = [(1, f"{de}\n{fr}", 5), (2, de, 5), (3, None, 5), (4, "", 5), (5, "12 ++ 3", 5), (6, "é", 5), (7, de * 300, 5), (8, de, 5), (8, de, 5)]
     got = language.predicted(spark.createDataFrame(rows, "doc_id long, text string, _language int"), model).collect()
     out = {r.doc_id: r.language for r in got}
@@ -54,6 +56,24 @@ def test_em_matches_a_plain_one():
         assert np.allclose(parts[d], p, atol=1e-9)
 
 
+def test_score_does_not_depend_on_the_other_documents(spark):
+    model = language.learnt(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    run = language._predictor(*model)
+    together = run(pa.array(texts), pa.array([True] * len(texts))).to_pylist()
+    assert together == [run(pa.array([x]), pa.array([True])).to_pylist()[0] for x in texts]
+
+
+def test_query_says_und_without_a_letter_only(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    odd = ["Öachen 7844", "Привет мир", "Hello xyzzy qqq", "é"]
+    rows = language.predicted(spark.createDataFrame([(x,) for x in odd], "text string"), language.learnt(docs)).collect()
+    assert all(r.language.lang_pred in ("de", "en", "es", "fr") and 0 < r.language.score <= 1 for r in rows)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language.op9_language_id(spark, FOLDER).collect():
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or ""))
+
+
 def test_empty_and_untaught(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = language.learnt(empty)
