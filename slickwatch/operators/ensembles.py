@@ -91,9 +91,24 @@ def trimmed(particles: DataFrame, keys: list[str]) -> DataFrame:
     return marked.join(kept, keys).filter("_in OR _kept < 3").drop("_in")
 
 
+def _outer(pts: np.ndarray) -> np.ndarray:
+    """The points but for those strictly inside the octagon of the extremes in eight directions, which are no corners."""
+    x, y = pts[:, 0], pts[:, 1]
+    ways = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+    ring = pts[[int(np.argmax(a * x + b * y)) for a, b in ways]]
+    inside = np.ones(len(pts), bool)
+    for p, q in zip(ring, np.roll(ring, -1, axis=0)):
+        if (p != q).any():
+            inside &= (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) > 0
+    return pts[~inside]
+
+
 def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Corner points of the convex hull, counter-clockwise (monotone chain)."""
-    pts = np.unique(np.column_stack([x, y]), axis=0)
+    pts = np.column_stack([x, y])
+    if len(pts) > 24:
+        pts = _outer(pts)
+    pts = np.unique(pts, axis=0)
     if len(pts) < 3:
         return pts
 

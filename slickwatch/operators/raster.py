@@ -11,12 +11,12 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
-from slickwatch.operators.ensembles import _hull
 from slickwatch.operators.ordered import grouped_percentiles
 from slickwatch.session import cut_lineage
 
@@ -27,6 +27,10 @@ WINDOWS_PX = (51, 151)
 MAX_CANDIDATE_FRACTION = 0.15
 MIN_COMPONENT_PX = 50
 NORM_DB = {"vv_db": (-30.0, 0.0), "vh_db": (-35.0, -5.0)}
+# Fixed value: outline points below which the box stands for the rectangle.
+FEW_POINTS = 5
+#: Side of the tiles in which components are labelled, and the step between rows in a pixel's name.
+TILE_PX, ROW = 256, 1 << 31
 CHIP_PAD_PX, CHIP_PAD_RATIO, CHIP_MIN_PX = 50, 0.5, 256
 MIN_BACKGROUND_PX = 20
 
@@ -81,35 +85,44 @@ def normalise_robust(pixels: DataFrame, band: str, low: float = 0.01, high: floa
     )
 
 
-def _line_sum(df: DataFrame, value: str, line: str, pos: str, size: str, r: int, out: str) -> DataFrame:
-    """Sum over ``pos - r .. pos + r`` of one image line, ends replicated.
+def _line_sums(df: DataFrame, wanted: list[tuple[str, int, str]], line: str, pos: str, size: str) -> DataFrame:
+    """Sums over ``pos - r .. pos + r`` of one image line, ends replicated, for all (value, r, out) at once.
 
-    Uses running sums by position, so the cost does not depend on the window:
+    All windows share one partitioning and order, so they are one exchange and
+    one sort. Running sums by position make the cost independent of the window:
     the part inside the image is a difference of two running sums, the part
     beyond an end is that end's value as often as the window sticks out. A line
     that lacks a position fails the job.
     """
     line_w = Window.partitionBy("scene_id", line)
     along = line_w.orderBy(pos)
-    upto = F.sum(value).over(along.rangeBetween(Window.unboundedPreceding, r))
-    before = F.coalesce(F.sum(value).over(along.rangeBetween(Window.unboundedPreceding, -r - 1)), F.lit(0.0))
-    first = F.max(F.when(F.col(pos) == 0, F.col(value))).over(line_w)
-    last = F.max(F.when(F.col(pos) == F.col(size) - 1, F.col(value))).over(line_w)
     whole = F.count(F.lit(1)).over(line_w) == F.col(size)
-    over_left = F.greatest(F.lit(0), F.lit(r) - F.col(pos))
-    over_right = F.greatest(F.lit(0), F.col(pos) + r - (F.col(size) - 1))
-    total = F.when(whole, upto - before + first * over_left + last * over_right).otherwise(
-        F.raise_error(F.lit("a line of the scene lacks pixels")).cast("double")
-    )
-    return df.withColumn(out, total)
+    totals = {}
+    for value, r, out in wanted:
+        upto = F.sum(value).over(along.rangeBetween(Window.unboundedPreceding, r))
+        before = F.coalesce(F.sum(value).over(along.rangeBetween(Window.unboundedPreceding, -r - 1)), F.lit(0.0))
+        first = F.max(F.when(F.col(pos) == 0, F.col(value))).over(line_w)
+        last = F.max(F.when(F.col(pos) == F.col(size) - 1, F.col(value))).over(line_w)
+        over_left = F.greatest(F.lit(0), F.lit(r) - F.col(pos))
+        over_right = F.greatest(F.lit(0), F.col(pos) + r - (F.col(size) - 1))
+        totals[out] = F.when(whole, upto - before + first * over_left + last * over_right).otherwise(
+            F.raise_error(F.lit("a line of the scene lacks pixels")).cast("double")
+        )
+    return df.withColumns(totals)
+
+
+def box_means(pixels: DataFrame, wanted: list[tuple[str, int, str]]) -> DataFrame:
+    """k x k moving means with edge replication for all (value, k, out): one row pass and one column pass."""
+    rows = [(value, k // 2, f"_h{i}") for i, (value, k, _) in enumerate(wanted)]
+    df = _line_sums(pixels, rows, "y", "x", "width")
+    df = _line_sums(df, [(h, r, f"_v{i}") for i, (_, r, h) in enumerate(rows)], "x", "y", "height")
+    means = {out: F.col(f"_v{i}") / float((2 * (k // 2) + 1) ** 2) for i, (_, k, out) in enumerate(wanted)}
+    return df.withColumns(means).drop(*[f"_{p}{i}" for i in range(len(wanted)) for p in "hv"])
 
 
 def box_mean(pixels: DataFrame, value: str, k: int, out: str) -> DataFrame:
     """k x k moving mean with edge replication, in two separable passes."""
-    r = k // 2
-    df = _line_sum(pixels, value, "y", "x", "width", r, "_h")
-    df = _line_sum(df, "_h", "x", "y", "height", r, "_hv")
-    return df.withColumn(out, F.col("_hv") / float((2 * r + 1) ** 2)).drop("_h", "_hv")
+    return box_means(pixels, [(value, k, out)])
 
 
 def filled_scene(pixels: DataFrame) -> DataFrame:
@@ -130,25 +143,20 @@ def dark_seeds(filled: DataFrame, windows=WINDOWS_PX, min_contrast: float = MIN_
 
     The per-scale masks are OR-ed in place of a union of pixel sets.
     """
-    df = filled.withColumn("seed", F.lit(False)).withColumn("contrast", F.lit(None).cast("double"))
-    for k in windows:
-        df = box_mean(df, "vv_filled", k, "_bg")
-        hit = ((F.col("_bg") - F.col("vv_filled")) >= min_contrast) & F.col("usable")
-        df = df.withColumn("seed", F.col("seed") | hit).withColumn(
-            "contrast", F.greatest("contrast", F.col("_bg") - F.col("vv_filled"))
-        ).drop("_bg")
-    return df
+    df = box_means(filled, [("vv_filled", k, f"_bg{k}") for k in windows])
+    gaps = [F.col(f"_bg{k}") - F.col("vv_filled") for k in windows]
+    seed = F.lit(False)
+    for gap in gaps:
+        seed = seed | ((gap >= min_contrast) & F.col("usable"))
+    contrast = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
+    return df.withColumns({"seed": seed, "contrast": contrast}).drop(*[f"_bg{k}" for k in windows])
 
 
 def scale_masks(filled: DataFrame, windows, min_contrast: float = MIN_CONTRAST_DB) -> DataFrame:
     """Long table of seeds per window size, for auditing a scale on its own."""
-    out = None
-    for k in windows:
-        part = box_mean(filled, "vv_filled", k, "_bg").filter(
-            (F.col("_bg") - F.col("vv_filled") >= min_contrast) & F.col("usable")
-        ).select("scene_id", "y", "x", F.lit(k).alias("window_px"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    df = box_means(filled, [("vv_filled", k, f"_bg{k}") for k in windows])
+    scales = F.array_compact(F.array(*[F.when((F.col(f"_bg{k}") - F.col("vv_filled") >= min_contrast) & F.col("usable"), F.lit(k)) for k in windows]))
+    return df.select("scene_id", "y", "x", F.explode(scales).alias("window_px"))
 
 
 def saturation(seeds: DataFrame, limit: float = MAX_CANDIDATE_FRACTION) -> DataFrame:
@@ -166,43 +174,82 @@ def saturation(seeds: DataFrame, limit: float = MAX_CANDIDATE_FRACTION) -> DataF
 
 
 def open_mask(df: DataFrame, mask: str, out: str) -> DataFrame:
-    """3 x 3 erosion then dilation; neighbours that the table does not have are ignored."""
-    for agg, tag in ((F.min, "e"), (F.max, "d")):
-        src = F.col(mask) if tag == "e" else F.col("_e")
-        row = Window.partitionBy("scene_id", "y").orderBy("x").rangeBetween(-1, 1)
-        col = Window.partitionBy("scene_id", "x").orderBy("y").rangeBetween(-1, 1)
-        df = df.withColumn("_r", agg(src).over(row)).withColumn(f"_{tag}", agg("_r").over(col)).drop("_r")
-    return df.withColumn(out, F.col("_d")).drop("_e", "_d")
-
-
-def row_runs(mask_pixels: DataFrame) -> DataFrame:
-    """Maximal horizontal runs of set pixels: one row per run."""
-    w = Window.partitionBy("scene_id", "y").orderBy("x")
-    return (
-        mask_pixels.select("scene_id", "y", "x")
-        .withColumn("_g", F.col("x") - F.row_number().over(w))
-        .groupBy("scene_id", "y", "_g")
-        .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-        .select("scene_id", "y", "x0", "x1", (F.col("y") * F.lit(1 << 31) + F.col("x0")).alias("run"))
-    )
+    """3 x 3 erosion then dilation; neighbours that the table does not have are ignored.
 
+    Both are separable, and the order of their passes is free: rows, then columns
+    twice on one partitioning, then rows.
+    """
+    row = Window.partitionBy("scene_id", "y").orderBy("x").rangeBetween(-1, 1)
+    col = Window.partitionBy("scene_id", "x").orderBy("y").rangeBetween(-1, 1)
+    df = df.withColumn("_a", F.min(mask).over(row)).withColumn("_b", F.min("_a").over(col))
+    df = df.withColumn("_c", F.max("_b").over(col)).withColumn(out, F.max("_c").over(row))
+    return df.drop("_a", "_b", "_c")
 
-def run_edges(runs: DataFrame, band: int = 256) -> DataFrame:
-    """Touching runs of neighbouring rows (8-connected), as id pairs.
 
-    A run meets only runs of the row below that share a ``band``-pixel column
-    strip with it, so a busy row is split over several join keys.
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least number of the set of each of n things, joined by the pairs (a, b)."""
+    at = np.arange(n)
+    while True:
+        low = np.minimum(at[a], at[b])
+        new = at.copy()
+        np.minimum.at(new, at[a], low)
+        np.minimum.at(new, at[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == at).all():
+            return at
+        at = new
+
+
+def _runs(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, first and last columns of the runs of some pixels, and each run's 8-connected label, the number of a run."""
+    order = np.lexsort((x, y))
+    y, x = y[order], x[order]
+    first = np.append(True, (y[1:] != y[:-1]) | (x[1:] > x[:-1] + 1))
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(y)) - 1
+    ry, x0, x1 = y[starts], x[starts], x[ends]
+    wide = x.max() - x.min() + 4
+    place = lambda row, col: (row - y[0]) * wide + (col - x.min() + 1)
+    low = np.searchsorted(place(ry, x1), place(ry + 1, x0 - 1))
+    high = np.searchsorted(place(ry, x0), place(ry + 1, x1 + 1), "right")
+    count = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(ry)), count)
+    b = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    return ry, x0, x1, _joined(len(ry), a, b)
+
+
+def tile_runs(mask_pixels: DataFrame, tile: int) -> DataFrame:
+    """Horizontal runs cut at tile borders, labelled inside each tile by their component's first pixel there.
+
+    A tile holds at most tile x tile pixels, whatever the scene.
     """
-    a = runs.select(
-        "scene_id", F.col("run").alias("a"), "x0", "x1", (F.col("y") + 1).alias("_row"),
-        F.explode(F.sequence(F.floor((F.col("x0") - 1) / band), F.floor((F.col("x1") + 1) / band))).alias("_strip"),
-    )
-    b = runs.select(
-        "scene_id", F.col("run").alias("b"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y").alias("_row"),
-        F.explode(F.sequence(F.floor(F.col("x0") / band), F.floor(F.col("x1") / band))).alias("_strip"),
+
+    def work(pixels: pa.Table) -> pa.Table:
+        y, x = pixels.column("y").to_numpy(), pixels.column("x").to_numpy()
+        ry, x0, x1, label = _runs(y, x)
+        name = ry * ROW + x0
+        return pa.table({"scene_id": pa.array(np.full(len(ry), pixels.column("scene_id")[0].as_py())), "y": ry, "x0": x0, "x1": x1, "run": name, "label": name[label]})
+
+    at = lambda c: F.floor(F.col(c) / tile)
+    px = mask_pixels.select(*[F.col(c).cast("bigint").alias(c) for c in ("scene_id", "y", "x")])
+    return px.groupBy("scene_id", at("y").alias("_ty"), at("x").alias("_tx")).applyInArrow(
+        lambda t: work(t), "scene_id bigint, y bigint, x0 bigint, x1 bigint, run bigint, label bigint"
     )
-    touching = (F.col("bx0") <= F.col("x1") + 1) & (F.col("bx1") >= F.col("x0") - 1)
-    return a.join(b, ["scene_id", "_row", "_strip"]).filter(touching).select("scene_id", "a", "b").distinct()
+
+
+def border_edges(runs: DataFrame, tile: int) -> DataFrame:
+    """Pairs of tile labels whose runs touch across a tile border (8-connected)."""
+    a = runs.select("scene_id", "y", F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), F.col("label").alias("a"))
+    b = runs.select("scene_id", "y", "x0", "x1", F.col("label").alias("b"))
+    right = a.filter((F.col("ax1") + 1) % tile == 0).select("scene_id", "a", (F.col("ax1") + 1).alias("x0"), F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)).alias("y"))
+    beside = right.join(b.filter(F.col("x0") % tile == 0), ["scene_id", "x0", "y"]).select("scene_id", "a", "b")
+    strips = F.explode(F.sequence(F.floor((F.col("ax0") - 1) / tile), F.floor((F.col("ax1") + 1) / tile)))
+    bottom = a.filter((F.col("y") + 1) % tile == 0).select("scene_id", "a", "ax0", "ax1", (F.col("y") + 1).alias("y"), strips.alias("_tx"))
+    top = b.filter(F.col("y") % tile == 0).withColumn("_tx", F.floor(F.col("x0") / tile))
+    touching = (F.col("x0") <= F.col("ax1") + 1) & (F.col("x1") >= F.col("ax0") - 1)
+    below = bottom.join(top, ["scene_id", "y", "_tx"]).filter(touching).select("scene_id", "a", "b")
+    return beside.unionByName(below).filter("a <> b").distinct()
 
 
 def _each(df: DataFrame, pairs: list[tuple[str, str]], a: str, b: str) -> DataFrame:
@@ -211,14 +258,16 @@ def _each(df: DataFrame, pairs: list[tuple[str, str]], a: str, b: str) -> DataFr
     return df.select("scene_id", F.explode(both).alias("_e")).select("scene_id", f"_e.{a}", f"_e.{b}")
 
 
-def connected_runs(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Least run id of each component by alternating large- and small-star.
+def contracted(edges: DataFrame) -> DataFrame | None:
+    """scene_id, node, root: least name reachable over pairs (a, b), by alternating large- and small-star; None without pairs.
 
-    Every round rewires edges towards smaller ids and is checkpointed to the
-    shared folder; the number of rounds grows with the logarithm of the
-    component size. The loop only ever moves counts to the driver.
+    Pairs join parts of tiles, so their number follows tile borders, and a part has no
+    more neighbours than its tile's border has pixels. Every round is checkpointed
+    to the shared folder; the loop only ever moves counts to the driver.
     """
     e = cut_lineage(edges.filter("a <> b"))
+    if not e.limit(1).count():
+        return None
     while True:
         # Large star: hang every larger neighbour on the least of the neighbourhood.
         both = _each(e, [("a", "b"), ("b", "a")], "a", "b")
@@ -237,15 +286,121 @@ def connected_runs(runs: DataFrame, edges: DataFrame) -> DataFrame:
         ).limit(1).count()
         e = nxt
         if settled:
-            break
-    roots = e.select("scene_id", F.col("a").alias("run"), F.col("b").alias("label"))
-    return runs.join(roots, ["scene_id", "run"], "left").withColumn("label", F.coalesce("label", "run"))
+            return e.select("scene_id", F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def label_components(mask_pixels: DataFrame, tile: int = TILE_PX) -> DataFrame:
+    """Runs of the mask with the component label of each, in two levels.
+
+    Tiles label their own runs; only labels that touch across a tile border are
+    contracted. A label is the run name of the component's first pixel.
+    """
+    runs = cut_lineage(tile_runs(mask_pixels, tile))
+    roots = contracted(border_edges(runs, tile))
+    if roots is None:
+        return runs
+    named = runs.join(roots.withColumnRenamed("node", "label"), ["scene_id", "label"], "left")
+    return named.select("scene_id", "y", "x0", "x1", "run", F.coalesce("root", "label").alias("label"))
 
 
-def label_components(mask_pixels: DataFrame) -> DataFrame:
-    """Runs of the mask with the component label of each."""
-    runs = cut_lineage(row_runs(mask_pixels))
-    return connected_runs(runs, run_edges(runs))
+#: Normals of a pixel's top, right, bottom and left side as (dy, dx); along a side one travels by the next one's normal.
+SIDES = np.array([(-1, 0), (0, 1), (1, 0), (0, -1)])
+
+
+def _outline_parts(y: np.ndarray, x: np.ndarray, top: int, left: int, tile: int) -> dict[str, np.ndarray]:
+    """Pieces of outlines inside one tile.
+
+    ``y, x``: the set pixels of the tile and of the one-pixel frame around it. An
+    outline goes clockwise along the open sides of pixels: at the end of a side to
+    the pixel diagonally ahead, else to the one straight ahead, else round the
+    corner. Going from pixel to pixel is a step of length 1 or root 2.
+    """
+    grid = np.zeros((tile + 4, tile + 4), bool)
+    grid[y - top + 2, x - left + 2] = True
+    own = np.zeros_like(grid)
+    own[2:-2, 2:-2] = grid[2:-2, 2:-2]
+    py, px = np.nonzero(own)
+    sides, where = [], np.full((4, *grid.shape), -1, np.int64)
+    for s, (ny, nx) in enumerate(SIDES):
+        open_ = ~grid[py + ny, px + nx]
+        sides.append((py[open_], px[open_], np.full(open_.sum(), s)))
+    ey, ex, es = (np.concatenate(c) for c in zip(*sides))
+    n = len(ey)
+    where[es, ey, ex] = np.arange(n)
+    normal, along = SIDES[es], SIDES[(es + 1) % 4]
+
+    def look(off: np.ndarray) -> np.ndarray:
+        return grid[ey + off[:, 0], ex + off[:, 1]]
+
+    diagonal, straight = look(normal + along), look(along)
+    straight &= ~diagonal
+    to = np.where(diagonal[:, None], normal + along, np.where(straight[:, None], along, 0))
+    side = np.where(diagonal, es + 3, np.where(straight, es, es + 1)) % 4
+    ty, tx = ey + to[:, 0], ex + to[:, 1]
+    inside = (ty >= 2) & (ty < tile + 2) & (tx >= 2) & (tx < tile + 2)
+    target = np.where(inside, where[side, ty, tx], -1)
+    back_diagonal, back = look(normal - along), look(-along)
+    back &= ~back_diagonal
+    source = np.where(back_diagonal[:, None], normal - along, np.where(back[:, None], -along, 0))
+    sy, sx = ey + source[:, 0], ex + source[:, 1]
+    entered = ~((sy >= 2) & (sy < tile + 2) & (sx >= 2) & (sx < tile + 2))
+    # A corner of the outline: a pixel is left in another direction than it was entered.
+    turns = np.zeros(n, bool)
+    waiting, at = (back_diagonal | back), np.arange(n)
+    for _ in range(4):
+        moved = diagonal[at] | straight[at]
+        turns |= waiting & moved & (to[at] != -source).any(1)
+        waiting = waiting & ~moved
+        at = np.where(moved, at, target[at])
+    links = target >= 0
+    part = _joined(n, np.flatnonzero(links), target[links])
+    name = ((ey + top - 2) * ROW + (ex + left - 2)) * 4 + es
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, part, name)
+    roots, number = np.unique(part, return_inverse=True)
+    sums = [np.bincount(number, w, len(roots)).astype(np.int64) for w in (straight, diagonal, turns)]
+    out, into = np.flatnonzero(~links), np.flatnonzero(entered)
+    ends = np.concatenate([((ty[out] + top - 2) * ROW + (tx[out] + left - 2)) * 4 + side[out], name[into]])
+    zeros = np.zeros(len(ends), np.int64)
+    return {
+        "part": np.concatenate([least[roots], least[part[out]], least[part[into]]]),
+        "kind": np.concatenate([np.zeros(len(roots), np.int32), np.full(len(out), 1, np.int32), np.full(len(into), 2, np.int32)]),
+        "name": np.concatenate([np.zeros(len(roots), np.int64), ends]),
+        **{c: np.concatenate([v, zeros]) for c, v in zip(("straight", "diagonal", "turns"), sums)},
+    }
+
+
+def outlines(mask_pixels: DataFrame, tile: int = TILE_PX) -> DataFrame:
+    """scene_id, label, perimeter_px, contour_points of each component's outer outline; holes do not count.
+
+    The outline runs through pixel centres, as an 8-connected contour does; a point
+    counts where it turns. Tiles chain their own sides, and only the ends at
+    tile borders are joined. The outer outline holds the top side of the first pixel.
+    """
+
+    def work(pixels: pa.Table) -> pa.Table:
+        scene, ty, tx = (pixels.column(c)[0].as_py() for c in ("scene_id", "_ty", "_tx"))
+        found = _outline_parts(pixels.column("y").to_numpy(), pixels.column("x").to_numpy(), ty * tile, tx * tile, tile)
+        return pa.table({"scene_id": pa.array(np.full(len(found["part"]), scene)), **found})
+
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile)))
+    px = mask_pixels.select(*[F.col(c).cast("bigint").alias(c) for c in ("scene_id", "y", "x")])
+    px = px.withColumn("_ty", around("y")).withColumn("_tx", around("x"))
+    parts = px.groupBy("scene_id", "_ty", "_tx").applyInArrow(
+        lambda t: work(t), "scene_id bigint, part bigint, kind int, name bigint, straight bigint, diagonal bigint, turns bigint"
+    )
+    parts = cut_lineage(parts)
+    out = parts.filter("kind = 1").select("scene_id", F.col("part").alias("a"), "name")
+    into = parts.filter("kind = 2").select("scene_id", F.col("part").alias("b"), "name")
+    roots = contracted(out.join(into, ["scene_id", "name"]).select("scene_id", "a", "b").distinct())
+    own = parts.filter("kind = 0")
+    if roots is not None:
+        own = own.join(roots.withColumnRenamed("node", "part"), ["scene_id", "part"], "left").withColumn("part", F.coalesce("root", "part"))
+    loops = own.groupBy("scene_id", "part").agg(*[F.sum(c).alias(c) for c in ("straight", "diagonal", "turns")])
+    length = F.col("straight") + F.lit(2.0**0.5) * F.col("diagonal")
+    return loops.filter("part % 4 = 0").select(
+        "scene_id", F.floor(F.col("part") / 4).alias("label"), length.alias("perimeter_px"), F.greatest("turns", F.lit(1)).cast("bigint").alias("contour_points")
+    )
 
 
 def component_stats(labelled: DataFrame, scenes: DataFrame, min_px: int = MIN_COMPONENT_PX) -> DataFrame:
@@ -286,72 +441,63 @@ def labelled_pixels(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _geometry(keys: list[str]):
-    def measure(batches):
-        rows = []
-        for pdf in batches:
-            for key, at in pdf.groupby(keys, sort=False).indices.items():
-                part = pdf.iloc[at]
-                hull = _hull(part["_x"].to_numpy(float), part["_y"].to_numpy(float))
-                rows.append((*key, hull))
-        found: dict[tuple, np.ndarray] = {}
-        for *key, hull in rows:
-            key = tuple(key)
-            if key in found:
-                both = np.vstack([found[key], hull])
-                hull = _hull(both[:, 0], both[:, 1])
-            found[key] = hull
-        out = []
-        for key, hull in found.items():
-            x, y = hull[:, 0], hull[:, 1]
-            area = abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2 if len(hull) > 2 else 0.0
-            if len(hull) > 2:
-                best = None
-                for dx, dy in np.roll(hull, -1, axis=0) - hull:
-                    length = float(np.hypot(dx, dy))
-                    ux, uy = dx / length, dy / length
-                    along, across = x * ux + y * uy, y * ux - x * uy
-                    w, h = float(np.ptp(along)), float(np.ptp(across))
-                    if best is None or w * h < best[0]:
-                        best = (w * h, w, h, float(np.degrees(np.arctan2(uy, ux))))
-                _, w, h, angle = best
-            else:
-                w, h, angle = float(np.ptp(x)), float(np.ptp(y)), 0.0
-            major, minor = max(w, h), min(w, h)
-            angle = angle % 180.0 if w >= h else (angle + 90.0) % 180.0
-            out.append((*key, area, major, minor, angle))
-        yield pd.DataFrame(out, columns=[*keys, "hull_area", "major_px", "minor_px", "orientation_deg"])
-
-    return measure
-
-
-def component_geometry(labelled: DataFrame) -> DataFrame:
-    """Hull area and the least-area rectangle's axes and angle per component.
-
-    Only run ends can be hull corners, and each task reduces its runs to hull
-    corners before the shuffle, so a component of any size arrives as corners.
+def _rectangle(hull: np.ndarray) -> tuple[float, float, float, float]:
+    """Area of a hull, and long side, short side and angle of the least rectangle around it.
+
+    All edges are tried at once. Of rectangles equal to six digits the one of least angle counts.
+    """
+    if len(hull) < 3:
+        w, h = (float(v) for v in np.ptp(hull, axis=0))
+        return 0.0, max(w, h), min(w, h), 0.0 if w >= h else 90.0
+    x, y = hull[:, 0] - hull[0, 0], hull[:, 1] - hull[0, 1]
+    area = abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+    step = np.roll(hull, -1, axis=0) - hull
+    ux, uy = (step / np.hypot(*step.T)[:, None]).T
+    w, h = np.ptp(np.outer(x, ux) + np.outer(y, uy), axis=0), np.ptp(np.outer(y, ux) - np.outer(x, uy), axis=0)
+    angle = np.degrees(np.arctan2(uy, ux))
+    angle = np.round(np.where(np.round(w, 6) >= np.round(h, 6), angle, angle + 90.0) % 180.0, 6) % 180.0
+    best = min(range(len(hull)), key=lambda i: (round(w[i] * h[i], 6), angle[i]))
+    return area, float(max(w[best], h[best])), float(min(w[best], h[best])), float(angle[best])
+
+
+def component_geometry(labelled: DataFrame, outline: DataFrame) -> DataFrame:
+    """Hull area, axes, angle and outer outline of each component.
+
+    Axes and angle are those of the least rectangle around the hull of pixel
+    centres; with under ``FEW_POINTS`` outline points those of the box. Only run ends
+    can be hull corners, and each task reduces its runs to hull corners before the
+    shuffle, so a component of any size arrives as corners.
     """
     from slickwatch.operators.ensembles import convex_hulls
 
     keys = ["scene_id", "label"]
-    ends = labelled.select(*keys, F.explode(F.array("x0", "x1")).alias("x"), "y")
-    corners = convex_hulls(ends, keys, "x", "y").select(*keys, F.explode("ring").alias("_p"))
-    flat = corners.select(*keys, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
-    return flat.repartition(*keys).mapInPandas(
-        _geometry(keys),
-        "scene_id bigint, label bigint, hull_area double, major_px double, minor_px double, orientation_deg double",
-    )
+    ends = labelled.select(*keys, F.explode(F.array_distinct(F.array("x0", "x1"))).alias("x"), "y")
+    rings = convex_hulls(ends, keys, "x", "y")
 
-
-def boundary_length(pixels: DataFrame) -> DataFrame:
-    """Outline length of each component: exposed pixel sides."""
-    here = pixels.select("scene_id", "label", "y", "x")
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))])
-    facing = here.withColumn("_s", F.explode(steps)).select(
-        "scene_id", "label", (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x")
+    def measure(batches):
+        for batch in batches:
+            rows = []
+            for ring in batch.column(2):
+                flat = ring.values
+                hull = np.column_stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()])
+                rows.append(_rectangle(hull[:-1] if len(hull) > 3 else hull))
+            area, major, minor, angle = (pa.array(c, pa.float64()) for c in (zip(*rows) if rows else ([],) * 4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), area, major, minor, angle], [*keys, "hull_area", "_w", "_h", "_angle"])
+
+    shape = rings.select(*keys, "ring").mapInArrow(measure, "scene_id bigint, label bigint, hull_area double, _w double, _h double, _angle double")
+    boxes = labelled.groupBy(*keys).agg(
+        (F.max("x1") - F.min("x0") + 1.0).alias("_bw"), (F.max("y") - F.min("y") + 1.0).alias("_bh")
+    )
+    few = F.col("contour_points") < FEW_POINTS
+    return shape.join(outline, keys).join(boxes, keys).select(
+        *keys,
+        "hull_area",
+        F.when(few, F.greatest("_bw", "_bh")).otherwise(F.col("_w")).alias("major_px"),
+        F.when(few, F.least("_bw", "_bh")).otherwise(F.col("_h")).alias("minor_px"),
+        F.when(few, 0.0).otherwise(F.col("_angle")).alias("orientation_deg"),
+        "perimeter_px",
+        "contour_points",
     )
-    open_sides = facing.join(here, ["scene_id", "label", "y", "x"], "left_anti")
-    return open_sides.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("open_sides"))
 
 
 def component_backscatter(pixels: DataFrame, keys: list[str]) -> DataFrame:

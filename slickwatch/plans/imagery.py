@@ -15,6 +15,7 @@ from slickwatch.plans.registry import Tables, query, rnd
 from slickwatch.plans.scene import located, prioritised, triaged
 from slickwatch.plans.vessel import RINGS, TEMPLATE_ROWS, add_ring
 from slickwatch.plans.views import ORACLE_VIEWS
+from slickwatch.session import cut_lineage
 
 WINDOWS = (9, 21)
 LIMIT = 0.15
@@ -31,19 +32,24 @@ def sized(t: Tables) -> DataFrame:
     return px.join(ra.scene_validity(px).select("scene_id", "height", "width"), "scene_id")
 
 
-def seeds(t: Tables) -> DataFrame:
-    return ra.dark_seeds(ra.filled_scene(sized(t)), WINDOWS)
+def seeds(t: Tables, filled: DataFrame | None = None) -> DataFrame:
+    return ra.dark_seeds(filled or ra.filled_scene(sized(t)), WINDOWS)
 
 
-def cleaned(t: Tables) -> DataFrame:
+def cleaned(t: Tables, filled: DataFrame | None = None) -> DataFrame:
     """Seeds of unsaturated scenes after opening."""
-    s = seeds(t)
+    s = cut_lineage(seeds(t, filled))
     good = ra.saturation(s, LIMIT).filter("status = 'PASS'").select("scene_id")
     return ra.open_mask(s.join(good, "scene_id", "left_semi"), "seed", "mask")
 
 
-def components(t: Tables) -> DataFrame:
-    return ra.label_components(cleaned(t).filter("mask"))
+def first_pixel():
+    """Number of a component's first pixel; a label is its run's name, y * 2^31 + x."""
+    return F.floor(F.col("label") / ra.ROW) * 100000 + F.col("label") % ra.ROW
+
+
+def components(t: Tables, filled: DataFrame | None = None) -> DataFrame:
+    return ra.label_components(cleaned(t, filled).filter("mask"))
 
 
 def placed_pixels(t: Tables) -> DataFrame:
@@ -210,10 +216,7 @@ def morph_open(t):
 )
 def connected_components(t):
     """Component label of every mask pixel; checked by flood fill in the tests."""
-    px = ra.labelled_pixels(components(t))
-    # A label is the run id of the component's first pixel: y * 2^31 + x.
-    first = F.floor(F.col("label") / (1 << 31)) * 100000 + F.col("label") % (1 << 31)
-    return px.select("scene_id", "y", "x", first.alias("first_pixel"))
+    return ra.labelled_pixels(components(t)).select("scene_id", "y", "x", first_pixel().alias("first_pixel"))
 
 
 def stats(t: Tables) -> DataFrame:
@@ -233,18 +236,67 @@ def component_stats(t):
     )
 
 
-@query("component_geometry")
+# The outline is walked side by side from the first pixel, the hull is every pair of
+# points with all others on its left: no tiles, no chains.
+OUTLINE = """
+    sd AS (SELECT * FROM (VALUES (0,-1,0,0,1),(1,0,1,1,0),(2,1,0,0,-1),(3,0,-1,-1,0)) v(s,ny,nx,ay,ax)),
+    walk AS (SELECT scene_id, label, label//100000 AS y, label%100000 AS x, 0 AS s, 0 AS k, 0::BIGINT AS my, 0::BIGINT AS mx FROM comp WHERE pixels >= 12
+      UNION ALL
+      SELECT w.scene_id, w.label, w.y + CASE WHEN q.y IS NOT NULL THEN ny+ay WHEN r.y IS NOT NULL THEN ay ELSE 0 END,
+             w.x + CASE WHEN q.y IS NOT NULL THEN nx+ax WHEN r.y IS NOT NULL THEN ax ELSE 0 END,
+             CASE WHEN q.y IS NOT NULL THEN (w.s+3)%4 WHEN r.y IS NOT NULL THEN w.s ELSE (w.s+1)%4 END, k+1,
+             CASE WHEN q.y IS NOT NULL THEN ny+ay WHEN r.y IS NOT NULL THEN ay ELSE 0 END,
+             CASE WHEN q.y IS NOT NULL THEN nx+ax WHEN r.y IS NOT NULL THEN ax ELSE 0 END
+      FROM walk w JOIN sd ON sd.s=w.s LEFT JOIN px q ON q.scene_id=w.scene_id AND q.y=w.y+ny+ay AND q.x=w.x+nx+ax
+      LEFT JOIN px r ON r.scene_id=w.scene_id AND r.y=w.y+ay AND r.x=w.x+ax
+      WHERE w.k=0 OR w.s<>0 OR w.y<>w.label//100000 OR w.x<>w.label%100000),
+    moves AS (SELECT scene_id, label, k, my, mx, coalesce(lag(my*3+mx) OVER w, last_value(my*3+mx) OVER (PARTITION BY scene_id, label ORDER BY k
+        ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before FROM walk WHERE my<>0 OR mx<>0 WINDOW w AS (PARTITION BY scene_id, label ORDER BY k)),
+    outline AS (SELECT scene_id, label, count(*) FILTER (abs(my)+abs(mx)=1) + sqrt(2e0)*count(*) FILTER (abs(my)+abs(mx)=2) AS perimeter,
+        greatest(1, count(*) FILTER (my*3+mx <> before)) AS points FROM moves GROUP BY scene_id, label),
+    pts AS (SELECT DISTINCT scene_id, label, y, unnest([lo, hi]) AS x FROM (SELECT l.scene_id, l.label, y, min(x) AS lo, max(x) AS hi
+        FROM lab l JOIN comp c ON c.scene_id=l.scene_id AND c.label=l.label AND c.pixels >= 12 GROUP BY l.scene_id, l.label, y) e),
+    edge AS (SELECT a.scene_id, a.label, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM pts a JOIN pts b ON a.scene_id=b.scene_id AND a.label=b.label
+        AND (a.x<>b.x OR a.y<>b.y) JOIN pts c ON c.scene_id=a.scene_id AND c.label=a.label GROUP BY ALL
+        HAVING min((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)) >= 0 AND bool_and((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) > 0
+          OR (b.x-a.x)*(c.x-a.x)+(b.y-a.y)*(c.y-a.y) BETWEEN 0 AND (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y))),
+    box AS (SELECT e.*, max(p.x*ux+p.y*uy)-min(p.x*ux+p.y*uy) AS w, max(p.y*ux-p.x*uy)-min(p.y*ux-p.x*uy) AS h FROM (
+        SELECT *, (x2-x1)/sqrt(pow(x2-x1,2)+pow(y2-y1,2)) AS ux, (y2-y1)/sqrt(pow(x2-x1,2)+pow(y2-y1,2)) AS uy FROM edge) e
+        JOIN pts p ON p.scene_id=e.scene_id AND p.label=e.label GROUP BY ALL),
+    rect AS (SELECT scene_id, label, min({'a': floor(w*h*1e6+0.5e0), 'turn': floor(turn*1e6+0.5e0)/1e6, 'w': w, 'h': h}) AS r FROM (
+        SELECT *, CASE WHEN round(w,6) >= round(h,6) THEN d - 180e0*floor(d/180e0) ELSE d+90e0 - 180e0*floor((d+90e0)/180e0) END AS turn
+        FROM (SELECT *, floor(degrees(atan2(uy,ux))*1e6+0.5e0)/1e6 AS d FROM box) z) z GROUP BY scene_id, label),
+    hull AS (SELECT scene_id, label, abs(sum(x1*y2-x2*y1))/2e0 AS area FROM edge GROUP BY scene_id, label),
+    shape AS (SELECT c.scene_id, c.label, c.pixels, h.area AS hull_area, o.perimeter AS perimeter_px, o.points AS contour_points,
+        CASE WHEN o.points < 5 THEN greatest(x1-x0, y1-y0)+1e0 ELSE greatest(r.w, r.h) END AS major_px,
+        CASE WHEN o.points < 5 THEN least(x1-x0, y1-y0)+1e0 ELSE least(r.w, r.h) END AS minor_px,
+        CASE WHEN o.points < 5 THEN 0e0 ELSE r.turn END AS orientation_deg
+      FROM comp c JOIN outline o ON o.scene_id=c.scene_id AND o.label=c.label JOIN hull h ON h.scene_id=c.scene_id AND h.label=c.label
+      JOIN rect ON rect.scene_id=c.scene_id AND rect.label=c.label)
+"""
+
+
+@query(
+    "component_geometry",
+    LABELS + "," + OUTLINE + f"""SELECT scene_id, label AS first_pixel, pixels, hull_area, {rnd('major_px')} AS major_px, {rnd('minor_px')} AS minor_px,
+       {rnd('orientation_deg', 3)} AS orientation_deg, {rnd('perimeter_px')} AS perimeter_px, contour_points,
+       {rnd('CASE WHEN perimeter_px = 0 THEN 1e0 ELSE 4*pi()*pixels/(perimeter_px*perimeter_px) END')} AS compactness,
+       {rnd('major_px/greatest(minor_px, 1e-6)')} AS elongation, {rnd('2*sqrt(pixels/pi())')} AS equivalent_diameter,
+       {rnd('pixels/greatest(hull_area, 1e0)')} AS solidity FROM shape""",
+)
 def component_geometry(t):
-    """Hull area, axes and angle, with the descriptors built on them."""
+    """Outline, hull area, axes and angle, with the descriptors built on them; everything from one labelling."""
     from slickwatch.functions.shape import descriptors
 
-    lab = components(t)
-    shape = ra.component_geometry(lab)
-    sides = ra.boundary_length(ra.labelled_pixels(lab))
-    df = stats(t).join(shape, ["scene_id", "label"]).join(sides, ["scene_id", "label"])
-    d = descriptors(F.col("pixels") * F.lit(1.0), "open_sides", "major_px", "minor_px", "hull_area")
+    mask = cut_lineage(cleaned(t).filter("mask").select("scene_id", "y", "x"))
+    lab = cut_lineage(ra.label_components(mask))
+    shape = ra.component_geometry(lab, ra.outlines(mask))
+    sizes = ra.component_stats(lab, ra.scene_validity(usable(t)), MIN_PX).select("scene_id", "label", "pixels")
+    df = sizes.join(shape, ["scene_id", "label"])
+    d = descriptors(F.col("pixels") * F.lit(1.0), "perimeter_px", "major_px", "minor_px", "hull_area")
     return df.select(
-        "scene_id", "label", "pixels", "hull_area", "major_px", "minor_px", "orientation_deg", "open_sides",
+        "scene_id", first_pixel().alias("first_pixel"), "pixels", "hull_area", geo.rnd("major_px", 6).alias("major_px"), geo.rnd("minor_px", 6).alias("minor_px"),
+        geo.rnd("orientation_deg", 3).alias("orientation_deg"), geo.rnd("perimeter_px", 6).alias("perimeter_px"), "contour_points",
         *[geo.rnd(v, 6).alias(k) for k, v in d.items()],
     )
 
@@ -258,9 +310,9 @@ def component_geometry(t):
        JOIN {box_sql('vh', 9)} b ON b.scene_id=q.scene_id AND b.y=q.y AND b.x=q.x GROUP BY q.scene_id, q.label""",
 )
 def component_backscatter(t):
-    df = ra.box_mean(ra.filled_scene(sized(t)), "vv_filled", 9, "vv_bg")
-    df = ra.box_mean(df, "vh_filled", 9, "vh_bg").drop("mask", "seed")
-    px = ra.labelled_pixels(components(t)).join(
+    filled = cut_lineage(ra.filled_scene(sized(t)))
+    df = ra.box_means(filled, [("vv_filled", 9, "vv_bg"), ("vh_filled", 9, "vh_bg")])
+    px = ra.labelled_pixels(components(t, filled)).join(
         df.select("scene_id", "y", "x", "vv_db", "vh_db", "vv_bg", "vh_bg", "usable"), ["scene_id", "y", "x"]
     )
     out = ra.component_backscatter(px, ["scene_id", "label"])

@@ -36,14 +36,6 @@ def test_components_match_flood_fill(spark):
     assert len(pairs) == want.max() == len({a for a, _ in pairs})
 
 
-def test_component_geometry_of_blocks(spark):
-    rows = [(1, y, x) for y in range(10, 20) for x in range(20, 100)]
-    lab = ra.label_components(spark.createDataFrame(rows, "scene_id bigint, y bigint, x bigint"))
-    r = ra.component_geometry(lab).first()
-    assert (round(r.major_px), round(r.minor_px)) == (79, 9) and r.orientation_deg % 180 == 0
-    assert r.hull_area == 79 * 9
-
-
 def test_saturated_scene(spark):
     rows = [(1, i, i % 2 == 0, True) for i in range(100)]
     df = spark.createDataFrame(rows, "scene_id bigint, x bigint, seed boolean, usable boolean")
