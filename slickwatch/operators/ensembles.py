@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from slickwatch.functions import geo
 from slickwatch.operators.ordered import grouped_percentiles
-from slickwatch.session import staged
+from slickwatch.operators.overlap import overlap_ratio
+from slickwatch.operators.spatial import salted_join
+from slickwatch.session import cut_lineage, staged
 
 # Status codes, quality limits and labels.
 STATUS_CODES = {"active": 0, "stranded": 1, "deactivated": 2, "out_of_domain": 3, "missing_forcing": 4}
@@ -27,6 +28,8 @@ DIVERGENCE_LIMIT_KM = {24: 20.0, 48: 35.0, 72: 50.0, 96: 65.0}
 MIN_ACTIVE, SUPPORTED_ACTIVE, SUPPORTED_FRACTION = 200, 400, 0.80
 CENTRAL_SHARE = 95.0
 ABSENT = 999.0
+#: Part of the extent's square below which the corner of three points counts as none.
+LEVEL = 1e-12
 KM_PER_DEG_CLOSURE = 111.0
 
 KEYS = ["hypothesis", "scenario", "horizon"]
@@ -111,13 +114,14 @@ def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     pts = np.unique(pts, axis=0)
     if len(pts) < 3:
         return pts
+    least = LEVEL * float(np.prod(np.ptp(pts, axis=0)))  # three points count as in line below it
 
     def chain(order):
         out: list[np.ndarray] = []
         for p in order:
             while len(out) > 1:
                 a, b = out[-2], out[-1]
-                if (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) > 0:
+                if (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) > least:
                     break
                 out.pop()
             out.append(p)
@@ -160,30 +164,40 @@ def convex_hulls(points: DataFrame, keys: list[str], x: str = "lon", y: str = "l
             yield pd.DataFrame(rows, columns=[*keys, "_x", "_y"])
 
     def rings(batches):
-        # Groups are whole here (hash partitioned), so nothing may be flushed early.
-        found: dict[tuple, np.ndarray] = {}
-        for part in merge(batches):
-            for group, hull in part.items():
-                if group in found:
-                    both = np.vstack([found[group], hull])
-                    hull = _hull(both[:, 0], both[:, 1])
-                found[group] = hull
-        rows = []
-        for group, hull in found.items():
-            closed = np.vstack([hull, hull[:1]]) if len(hull) > 2 else hull
-            rows.append((*group, [{"x": float(a), "y": float(b)} for a, b in closed]))
-        yield pd.DataFrame(rows, columns=[*keys, "ring"])
+        """One group after the other, as they come sorted; only an open group is kept between batches."""
+
+        def closed(group, hull):
+            hull = _hull(hull[:, 0], hull[:, 1])
+            ring = np.vstack([hull, hull[:1]]) if len(hull) > 2 else hull
+            return (*group, [{"x": float(a), "y": float(b)} for a, b in ring])
+
+        open_, held = None, None
+        for pdf in batches:
+            rows = []
+            pts = pdf[["_x", "_y"]].to_numpy()
+            for group, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
+                group = group if isinstance(group, tuple) else (group,)
+                if open_ is not None and group != open_:
+                    rows.append(closed(open_, held))
+                    held = None
+                own = pts[at]
+                held = own if held is None else _hull(*np.vstack([held, own]).T)
+                open_ = group
+            yield pd.DataFrame(rows, columns=[*keys, "ring"])
+        if open_ is not None:
+            yield pd.DataFrame([closed(open_, held)], columns=[*keys, "ring"])
 
     xy = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     partial = xy.mapInPandas(corners, f"{fields}, _x double, _y double")
-    return partial.repartition(*keys).mapInPandas(rings, f"{fields}, ring array<struct<x:double,y:double>>")
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(rings, f"{fields}, ring array<struct<x:double,y:double>>")
 
 
-def source_envelopes(particles: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def source_envelopes(particles: DataFrame, keys: list[str] | None = None, kept: DataFrame | None = None) -> DataFrame:
     """Envelope ring, kind and particle count per group; a group without active
-    particles has count 0 and neither ring nor kind."""
+    particles has count 0 and neither ring nor kind. ``kept``: the trimmed
+    particles, if the caller has them."""
     keys = keys or ["hypothesis", "horizon"]
-    hulls = convex_hulls(trimmed(particles, keys), keys)
+    hulls = convex_hulls(trimmed(particles, keys) if kept is None else kept, keys)
     counts = particles.groupBy(*keys).agg(F.count_if(F.col("status") == 0).alias("particle_count"))
     kind = F.when(F.col("ring").isNull(), F.lit(None)).when(F.size("ring") >= 4, "Polygon").when(F.size("ring") == 2, "LineString").otherwise("Point")
     return counts.join(hulls, keys, "left").withColumn("geometry_type", kind)
@@ -257,8 +271,7 @@ def spread(particles: DataFrame, keys: list[str] | None = None) -> DataFrame:
     centre = centers(particles, keys).select(*keys, "c_lat", "c_lon")
     km = geo.haversine_m("c_lat", "c_lon", "lat", "lon") / 1000
     return (
-        active(particles)
-        .join(centre, keys)
+        salted_join(active(particles), centre, keys, ["lat", "lon"])
         .groupBy(*keys)
         .agg(F.stddev_pop(km).alias("_s"), F.count(F.lit(1)).alias("active_count"))
         .select(*keys, "active_count", F.when(F.col("active_count") < 2, 0.0).otherwise(F.col("_s")).alias("spread_km"))
@@ -409,7 +422,7 @@ def _edge_distances(live: DataFrame, targets: DataFrame, keys: list[str]) -> Dat
     hit = F.when(
         (F.col("y1") > y) != (F.col("y2") > y), x < dx * (y - F.col("y1")) / dy + F.col("x1")
     ).otherwise(False)
-    rows = p.join(e, "hypothesis")
+    rows = salted_join(p, e, ["hypothesis"], ["_id"])
     rows = rows.withColumn(
         "_t", F.when((dx == 0) & (dy == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
     )
@@ -429,7 +442,8 @@ def _edge_distances(live: DataFrame, targets: DataFrame, keys: list[str]) -> Dat
 def arrival_metrics(particles: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Closure of each arrival cloud on its candidate polygon.
 
-    ``targets`` holds one ring per hypothesis. Fractions divide by all seeded
+    ``targets`` holds one ring per hypothesis, which may be concave. Whatever is not
+    active counts as stranded. Fractions divide by all seeded
     particles, not by the active ones. A cloud without active particles keeps
     the sentinels.
     """
@@ -450,10 +464,16 @@ def arrival_metrics(particles: DataFrame, targets: DataFrame, keys: list[str]) -
         F.count_if(F.col("_km") <= 2.0).alias("_n_2k"),
     )
     dist = grouped_percentiles(live, keys, "_km", {"median_distance_km": 0.5, "p90_distance_km": 0.9}, 0.1)
-    df = seeded.join(agg, keys, "left").join(dist, keys, "left").join(shapes.drop("ring"), "hypothesis", "left")
+    hulls = cut_lineage(convex_hulls(active(particles), keys))
+    hull_area = F.when(F.size("ring") > 3, geo.ring_area(F.col("ring"))).otherwise(0.0)
+    pairs = hulls.join(shapes.select("hypothesis", F.array("ring").alias("b")), "hypothesis")
+    iou = overlap_ratio(pairs.select(*keys, F.array("ring").alias("a"), "b"), keys)
+    sizes = hulls.select(*keys, hull_area.alias("_hull")).join(iou, keys, "left")
+    df = seeded.join(agg, keys, "left").join(dist, keys, "left").join(sizes, keys, "left").join(shapes.drop("ring"), "hypothesis", "left")
     n = F.coalesce("active_count", F.lit(0))
     cent = geo.haversine_m("centroid_lat", "centroid_lon", "_tc.y", "_tc.x") / 1000
-    area = F.col("_ta") * KM_PER_DEG_CLOSURE * KM_PER_DEG_CLOSURE * F.cos(F.radians("_tc.y"))
+    square_km = F.lit(KM_PER_DEG_CLOSURE) * KM_PER_DEG_CLOSURE * F.cos(F.radians("_tc.y"))
+    area = F.col("_ta") * square_km
     radius = F.when(area > 0, F.sqrt(area / F.lit(np.pi))).otherwise(0.5)
 
     def or_else(value, default):
@@ -464,6 +484,8 @@ def arrival_metrics(particles: DataFrame, targets: DataFrame, keys: list[str]) -
         "total",
         n.cast("bigint").alias("active_count"),
         (n / F.col("total")).alias("active_fraction"),
+        (F.col("total") - n).cast("bigint").alias("stranded_count"),
+        ((F.col("total") - n) / F.col("total")).alias("stranded_fraction"),
         or_else(F.col("centroid_lat"), 0.0).alias("centroid_lat"),
         or_else(F.col("centroid_lon"), 0.0).alias("centroid_lon"),
         or_else(cent, ABSENT).alias("centroid_distance_km"),
@@ -472,74 +494,25 @@ def arrival_metrics(particles: DataFrame, targets: DataFrame, keys: list[str]) -
         or_else(F.col("_n_2k") / F.col("total"), 0.0).alias("within_2km_fraction"),
         or_else(F.col("median_distance_km"), ABSENT).alias("median_distance_km"),
         or_else(F.col("p90_distance_km"), ABSENT).alias("p90_distance_km"),
+        or_else(F.coalesce(F.col("_hull") * square_km, F.lit(0.0)), 0.0).alias("convex_hull_area_km2"),
         or_else(area, 0.0).alias("candidate_area_km2"),
         or_else(radius, 0.0).alias("equivalent_radius_km"),
         or_else(geo.rnd(cent / radius, 3), ABSENT).alias("normalized_error"),
+        or_else(geo.rnd(F.coalesce("iou", F.lit(0.0)), 4), 0.0).alias("iou"),
     )
 
 
-def _clip(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
-    """Part of a polygon inside a convex, counter-clockwise ``clip`` polygon."""
-    out = subject
-    for a, b in zip(clip, np.roll(clip, -1, axis=0)):
-        if len(out) == 0:
-            break
-        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        nxt, nside = np.roll(out, -1, axis=0), np.roll(side, -1)
-        kept = []
-        for p, q, s, r in zip(out, nxt, side, nside):
-            if s >= 0:
-                kept.append(p)
-            if (s >= 0) != (r >= 0):
-                kept.append(p + (q - p) * (s / (s - r)))
-        out = np.array(kept)
-    return out
-
-
-def _area(poly: np.ndarray) -> float:
-    if len(poly) < 3:
-        return 0.0
-    x, y = poly[:, 0] - poly[0, 0], poly[:, 1] - poly[0, 1]
-    return float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
-
-
-def _ring(value) -> np.ndarray:
-    if value is None or len(value) < 4:
-        return np.empty((0, 2))
-    pts = np.array([(p["x"], p["y"]) for p in value])[:-1]
-    return pts if _area(pts) >= 0 else pts[::-1]
-
-
-@F.pandas_udf(DoubleType())
-def convex_iou(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Intersection over union where ``b`` is convex (``a`` may be any simple
-    ring); 0 when either is empty."""
-
-    def one(p, q):
-        p, q = _ring(p), _ring(q)
-        pa, qa = _area(p), _area(q)
-        if pa <= 0 or qa <= 0:
-            return 0.0
-        inter = abs(_area(_clip(p, q)))
-        return inter / (pa + qa - inter)
-
-    return pd.Series([one(p, q) for p, q in zip(a, b)], dtype="float64")
-
-
 def scenario_overlap(envelopes: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairwise overlap of the scenario hulls of each group."""
+    """Pairwise overlap of the scenario hulls of each group; 0 where either is missing or no polygon."""
 
     def of(s):
         return F.max_by("ring", F.when(F.col("scenario") == s, F.lit(1)))
 
     wide = envelopes.groupBy(*keys).agg(*[of(s).alias(s) for s in "ABC"])
-    return wide.select(
-        *keys,
-        *[
-            geo.rnd(convex_iou(F.col(a), F.col(b)), 4).alias(f"overlap_{a.lower()}{b.lower()}")
-            for a, b in ("AB", "BC", "AC")
-        ],
-    )
+    pairs = F.array(*[F.struct(F.lit(f"overlap_{p.lower()}").alias("n"), F.array_compact(F.array(p[0])).alias("a"), F.array_compact(F.array(p[1])).alias("b")) for p in ("AB", "BC", "AC")])
+    each = cut_lineage(wide.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.n").alias("_n"), "p.a", "p.b"))
+    iou = overlap_ratio(each, [*keys, "_n"])
+    return iou.groupBy(*keys).agg(*[F.max(F.when(F.col("_n") == n, geo.rnd("iou", 4))).alias(n) for n in ("overlap_ab", "overlap_bc", "overlap_ac")])
 
 
 def seed_particles(polygons: DataFrame, n: int, seed: int = 314159, key: str = "candidate_id") -> DataFrame:

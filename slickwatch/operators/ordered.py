@@ -9,18 +9,22 @@ brought together.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from slickwatch.session import cut_lineage
 
+# Executors need not have this package: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _starts(columns: list[pa.Array], before: tuple | None) -> np.ndarray:
     """True at each row whose key differs from the row above; ``before`` is the key above the first."""

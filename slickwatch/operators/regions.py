@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
-from slickwatch.operators.spatial import with_box_cells, with_point_cell
+from slickwatch.operators.spatial import salted_join, with_box_cells, with_point_cell
 
 # Fixed values.
 BUFFER_KM = 10.0
 NO_RING_KM = 999.0
 AOI_HALF_DEG = 0.6
 HOURS_BEFORE, HOURS_AFTER = 120, 10
-#: Cells for bounds of a track's reports, copies of a case's regions, room for rounding.
-CELL_DEG, SALTS = 0.1, 16
+#: Cells for bounds of a track's reports, and room for rounding.
+CELL_DEG = 0.1
 ROOM, EVEN = 1.01, 1e-12
 
 
@@ -57,13 +57,6 @@ def case_positions(positions: DataFrame, cases: DataFrame, half_deg: float = AOI
     )
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], salts: int = SALTS) -> DataFrame:
-    """Inner join in which no key of the small ``right`` side is one task: ``left`` is dealt by ``by``, ``right`` copied."""
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
-    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
-
-
 def _vertices(live: DataFrame) -> DataFrame:
     """Corners of each region as points of the unit sphere, one row each."""
     corner = F.explode(F.slice("ring", 1, F.size("ring") - 1))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from slickwatch.functions.geo import as_col
 
+#: Copies of the small side of a salted join.
+SALTS = 16
+
 
 def cell(value, size: float) -> Column:
     return F.floor(as_col(value) / F.lit(float(size)))
@@ -23,3 +26,10 @@ def with_box_cells(df: DataFrame, min_x, min_y, max_x, max_y, size: float) -> Da
     return df.withColumn(
         "_cx", F.explode(F.sequence(cell(min_x, size), cell(max_x, size)))
     ).withColumn("_cy", F.explode(F.sequence(cell(min_y, size), cell(max_y, size))))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], salts: int = SALTS) -> DataFrame:
+    """Inner join in which no key of the small ``right`` side is one task: ``left`` is dealt by ``by``, ``right`` copied."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(salts)])))
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")

@@ -10,6 +10,7 @@ from slickwatch.operators import ensembles as ens
 from slickwatch.plans.registry import Tables, query, rnd
 from slickwatch.plans.vessel import RINGS, TEMPLATE_ROWS, hav, truth_rows
 from slickwatch.plans.views import ORACLE_VIEWS
+from slickwatch.session import cut_lineage
 
 HC = "hypothesis, scenario, horizon"
 
@@ -246,20 +247,81 @@ ORACLE_VIEWS["v_trim"] = """
 """
 
 
+def hull_views(name: str, source: str, keys: list[str]) -> None:
+    """Oracle view ``name`` of the hull edges, counter-clockwise, of the points of ``source`` (keys, x, y).
+
+    Every pair of points with all others on its left is an edge; points strictly
+    inside the octagon of the extremes of eight directions are left out first.
+    """
+    k = ", ".join(keys)
+    same = lambda a, b: " AND ".join(f"{a}.{c}={b}.{c}" for c in keys)
+    top = lambda way: f"arg_max({{'x': x, 'y': y}}, {way})"
+    ways = ", ".join(top(w) for w in ("x", "x+y", "y", "y-x", "-x", "-x-y", "-y", "x-y"))
+    ORACLE_VIEWS[f"{name}_points"] = f"SELECT DISTINCT {k}, x, y FROM {source}"
+    ORACLE_VIEWS[f"{name}_ends"] = f"SELECT {k}, unnest(range(8)) AS i, unnest([{ways}]) AS p FROM {name}_points GROUP BY {k}"
+    ORACLE_VIEWS[f"{name}_outer"] = f"""
+        SELECT {", ".join("s." + c for c in keys)}, s.x, s.y FROM {name}_points s JOIN {name}_ends a ON {same("a", "s")}
+        JOIN {name}_ends b ON {same("b", "s")} AND b.i=(a.i+1)%8
+        GROUP BY ALL HAVING NOT bool_and((a.p.x=b.p.x AND a.p.y=b.p.y) OR (b.p.x-a.p.x)*(s.y-a.p.y)-(b.p.y-a.p.y)*(s.x-a.p.x) > 0)
+    """
+    cross, dot = "((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x))", "((b.x-a.x)*(c.x-a.x)+(b.y-a.y)*(c.y-a.y))"
+    ORACLE_VIEWS[name] = f"""
+        SELECT {", ".join("a." + c for c in keys)}, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {name}_outer a JOIN {name}_outer b ON {same("a", "b")}
+        AND (a.x<>b.x OR a.y<>b.y) JOIN {name}_outer c ON {same("c", "a")} GROUP BY ALL
+        HAVING min({cross}) >= -1e-13 AND bool_and({cross} > 1e-13 OR {dot} BETWEEN 0 AND (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y))
+    """
+
+
+def shared_area(pairs: str, keys: list[str]) -> str:
+    """Area both polygons of a pair have in common, from edges ``keys``, side, x1, y1, x2, y2, counter-clockwise, as SQL text.
+
+    The outline of the intersection is what of each polygon's edges lies in the
+    other; Green's theorem adds those pieces up. What lies on both outlines counts
+    with the first polygon.
+    """
+    k, on = ", ".join(keys), lambda a, b: " AND ".join(f"{a}.{c}={b}.{c}" for c in keys)
+    own = ", ".join("p." + c for c in keys)
+    turn = "((p.x2-p.x1)*(q.y2-q.y1)-(p.y2-p.y1)*(q.x2-q.x1))"
+    t = f"(((q.x1-p.x1)*(q.y2-q.y1)-(q.y1-p.y1)*(q.x2-q.x1))/nullif({turn},0))"
+    u = f"(((q.x1-p.x1)*(p.y2-p.y1)-(q.y1-p.y1)*(p.x2-p.x1))/nullif({turn},0))"
+    return f"""SELECT {k}, sum((ax*by_-bx*ay_)/2) AS shared FROM (
+        SELECT {", ".join("z." + c for c in keys)}, z.side, ax, ay_, bx, by_ FROM (
+          SELECT *, x1+t0*(x2-x1) AS ax, y1+t0*(y2-y1) AS ay_, x1+t1*(x2-x1) AS bx, y1+t1*(y2-y1) AS by_ FROM (
+            SELECT *, t AS t0, lead(t) OVER (PARTITION BY {k}, side, x1, y1, x2, y2 ORDER BY t) AS t1 FROM (
+              SELECT {k}, side, x1, y1, x2, y2, unnest([0e0, 1e0]) AS t FROM ({pairs}) p
+              UNION SELECT {own}, p.side, p.x1, p.y1, p.x2, p.y2, {t} FROM ({pairs}) p JOIN ({pairs}) q ON {on("p", "q")} AND p.side<>q.side
+              WHERE {t} > 0 AND {t} < 1 AND {u} BETWEEN 0 AND 1) c) c WHERE t1 IS NOT NULL) z
+        JOIN ({pairs}) o ON {on("o", "z")} AND o.side<>z.side
+        GROUP BY ALL HAVING CASE WHEN bool_or(abs((o.x2-o.x1)*((ay_+by_)/2-o.y1)-(o.y2-o.y1)*((ax+bx)/2-o.x1)) <= 1e-15
+          AND (ax+bx)/2 BETWEEN least(o.x1,o.x2)-1e-12 AND greatest(o.x1,o.x2)+1e-12 AND (ay_+by_)/2 BETWEEN least(o.y1,o.y2)-1e-12 AND greatest(o.y1,o.y2)+1e-12
+          AND (o.x2-o.x1)*(bx-ax)+(o.y2-o.y1)*(by_-ay_) > 0) THEN z.side ELSE sum(CASE WHEN (o.y1>(ay_+by_)/2) <> (o.y2>(ay_+by_)/2) AND (ax+bx)/2 < (o.x2-o.x1)*((ay_+by_)/2-o.y1)/(o.y2-o.y1)+o.x1
+          THEN 1 ELSE 0 END) % 2 = 1 END) g GROUP BY {k}"""
+
+
+hull_views("v_envelope", "(SELECT hypothesis, horizon, lon AS x, lat AS y FROM v_trim) t", ["hypothesis", "horizon"])
+
+
 @query(
     "source_envelope",
     f"""SELECT g.hypothesis, g.horizon, count(t.lat) AS kept, {rnd('min(t.lat)')} AS min_lat, {rnd('max(t.lat)')} AS max_lat,
-        {rnd('min(t.lon)')} AS min_lon, {rnd('max(t.lon)')} AS max_lon, CASE WHEN count(t.lat) > 0 THEN 'Polygon' END AS geometry_type
+        {rnd('min(t.lon)')} AS min_lon, {rnd('max(t.lon)')} AS max_lon, CASE WHEN count(t.lat) > 0 THEN 'Polygon' END AS geometry_type, max(r.ring) AS ring
         FROM (SELECT DISTINCT hypothesis, horizon FROM v_particles) g
-        LEFT JOIN v_trim t ON t.hypothesis=g.hypothesis AND t.horizon=g.horizon GROUP BY g.hypothesis, g.horizon""",
+        LEFT JOIN v_trim t ON t.hypothesis=g.hypothesis AND t.horizon=g.horizon
+        LEFT JOIN (SELECT hypothesis, horizon, string_agg(CAST(CAST(floor(x1*1e5+0.5e0) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(floor(y1*1e5+0.5e0) AS BIGINT) AS VARCHAR), ','
+            ORDER BY CASE WHEN x2>x1 THEN 0 WHEN x2<x1 THEN 2 WHEN y2>y1 THEN 1 ELSE 3 END, CASE WHEN x2=x1 THEN 0e0 ELSE (y2-y1)/(x2-x1) END) AS ring
+          FROM v_envelope GROUP BY hypothesis, horizon) r ON r.hypothesis=g.hypothesis AND r.horizon=g.horizon
+        GROUP BY g.hypothesis, g.horizon""",
 )
 def source_envelope(t):
-    """Trimmed count and hull extent; the hull ring itself is tested with NumPy."""
+    """Trimmed count, extent and corners of the hull, counter-clockwise from the least longitude, in 1e-5 degrees."""
     keys = ["hypothesis", "horizon"]
     p = particles(t)
-    kept = ens.trimmed(p, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"))
-    env = ens.source_envelopes(p, keys).withColumn("_b", geo.ring_bbox(F.col("ring")))
-    return env.join(kept, keys, "left").select(
+    kept = cut_lineage(ens.trimmed(p, keys))
+    env = ens.source_envelopes(p, keys, kept).withColumn("_b", geo.ring_bbox(F.col("ring")))
+    at = lambda c: F.floor(c * 1e5 + 0.5).cast("bigint").cast("string")
+    corners = F.transform(F.slice("ring", 1, F.size("ring") - 1), lambda q: F.concat_ws(" ", at(q["x"]), at(q["y"])))
+    counts = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"))
+    return env.join(counts, keys, "left").select(
         *keys,
         F.coalesce("kept", F.lit(0)).cast("bigint").alias("kept"),
         geo.rnd("_b.min_y", 6).alias("min_lat"),
@@ -267,6 +329,7 @@ def source_envelope(t):
         geo.rnd("_b.min_x", 6).alias("min_lon"),
         geo.rnd("_b.max_x", 6).alias("max_lon"),
         "geometry_type",
+        F.when(F.col("ring").isNotNull(), F.array_join(corners, ",")).alias("ring"),
     )
 
 
@@ -282,9 +345,37 @@ def region_validity(t):
     return ens.region_validity(env).select("hypothesis", "horizon", "particle_count", "validity", "eligible")
 
 
-@query("polygon_iou")
+ORACLE_VIEWS["v_trim3"] = """
+    SELECT p.hypothesis, p.scenario, p.horizon, p.lon AS x, p.lat AS y FROM v_particles p JOIN (
+      SELECT hypothesis, scenario, horizon, quantile_cont(lat, 0.025) AS a0, quantile_cont(lat, 0.975) AS a1,
+             quantile_cont(lon, 0.025) AS o0, quantile_cont(lon, 0.975) AS o1 FROM v_particles WHERE status=0 GROUP BY ALL) c
+    ON c.hypothesis=p.hypothesis AND c.scenario=p.scenario AND c.horizon=p.horizon
+    WHERE p.status=0 AND p.lat BETWEEN a0 AND a1 AND p.lon BETWEEN o0 AND o1
+"""
+hull_views("v_hull3", "v_trim3", ens.KEYS)
+ORACLE_VIEWS["v_hull_area"] = """
+    SELECT hypothesis, scenario, horizon, sum((x1-57.6e0)*(y2+20.4e0)-(x2-57.6e0)*(y1+20.4e0))/2 AS area FROM v_hull3 GROUP BY ALL
+"""
+ORACLE_VIEWS["v_hull_pairs"] = """
+    SELECT hypothesis, horizon, n, s = substr(n, 1, 1) AS side, x1-57.6e0 AS x1, y1+20.4e0 AS y1, x2-57.6e0 AS x2, y2+20.4e0 AS y2
+    FROM (SELECT h.*, h.scenario AS s, unnest(CASE h.scenario WHEN 'A' THEN ['AB', 'AC'] WHEN 'B' THEN ['AB', 'BC'] ELSE ['AC', 'BC'] END) AS n FROM v_hull3 h) z
+"""
+
+
+def _iou(n: str) -> str:
+    a, b = (f"max(h.area) FILTER (h.scenario='{s}')" for s in n)
+    both = f"coalesce(max(s.shared) FILTER (s.n='{n}'), 0e0)"
+    return f"{rnd(f'coalesce({both}/({a}+{b}-{both}), 0e0)', 4)} AS overlap_{n.lower()}"
+
+
+@query(
+    "polygon_iou",
+    f"""SELECT h.hypothesis, h.horizon, {_iou('AB')}, {_iou('BC')}, {_iou('AC')} FROM v_hull_area h
+        LEFT JOIN ({shared_area('SELECT * FROM v_hull_pairs', ['hypothesis', 'horizon', 'n'])}) s ON s.hypothesis=h.hypothesis AND s.horizon=h.horizon
+        GROUP BY h.hypothesis, h.horizon""",
+)
 def polygon_iou(t):
-    """Overlap of the scenario hulls; NumPy checks it in the tests."""
+    """Overlap of the scenario hulls."""
     env = ens.source_envelopes(particles(t), ens.KEYS).filter("ring IS NOT NULL")
     return ens.scenario_overlap(env, ["hypothesis", "horizon"])
 
@@ -325,22 +416,36 @@ ORACLE_VIEWS["v_arrival_points"] = f"""
         JOIN v_target_edges e ON e.hypothesis=p.hypothesis) a) b) c
     GROUP BY hypothesis, scenario, horizon, rid, inside
 """
+hull_views("v_cloud", f"(SELECT {HC}, lon AS x, lat AS y FROM v_particles WHERE status=0) t", ens.KEYS)
+ORACLE_VIEWS["v_cloud_pairs"] = f"""
+    SELECT {HC}, true AS side, x1-57.6e0 AS x1, y1+20.4e0 AS y1, x2-57.6e0 AS x2, y2+20.4e0 AS y2 FROM v_cloud
+    UNION ALL SELECT c.hypothesis, c.scenario, c.horizon, false, x1-57.6e0, y1+20.4e0, x2-57.6e0, y2+20.4e0 FROM (SELECT DISTINCT {HC} FROM v_cloud) c
+    JOIN v_target_edges e ON e.hypothesis=c.hypothesis
+"""
+ORACLE_VIEWS["v_cloud_area"] = f"""
+    SELECT {HC}, sum(x1*y2-x2*y1)/2 AS hull FROM v_cloud_pairs WHERE side GROUP BY ALL
+"""
+ORACLE_VIEWS["v_cloud_shared"] = shared_area("SELECT * FROM v_cloud_pairs", ens.KEYS)
 ORACLE_VIEWS["v_arrival"] = f"""
     SELECT c.hypothesis, c.scenario, c.horizon, c.total, coalesce(a.n,0) AS active_count, coalesce(a.n,0)/CAST(c.total AS DOUBLE) AS active_fraction,
       coalesce({hav('a.clat','a.clon','m.cy','m.cx')}/1000, 999e0) AS centroid_distance_km,
       coalesce(a.n_in/CAST(c.total AS DOUBLE), 0e0) AS inside_fraction, coalesce(a.n5/CAST(c.total AS DOUBLE), 0e0) AS within_500m_fraction,
       coalesce(a.n2/CAST(c.total AS DOUBLE), 0e0) AS within_2km_fraction, coalesce(a.md, 999e0) AS median_distance_km,
       coalesce(a.p90, 999e0) AS p90_distance_km, m.area*111e0*111e0*cos(radians(m.cy)) AS candidate_area_km2,
-      sqrt(m.area*111e0*111e0*cos(radians(m.cy))/3.141592653589793e0) AS radius
+      sqrt(m.area*111e0*111e0*cos(radians(m.cy))/3.141592653589793e0) AS radius, c.total-coalesce(a.n,0) AS stranded_count,
+      (c.total-coalesce(a.n,0))/CAST(c.total AS DOUBLE) AS stranded_fraction, coalesce(h.hull, 0e0)*111e0*111e0*cos(radians(m.cy)) AS convex_hull_area_km2,
+      coalesce(s.shared, 0e0)/(coalesce(h.hull, 0e0)+m.area-coalesce(s.shared, 0e0)) AS iou
     FROM v_counts c LEFT JOIN (SELECT hypothesis, scenario, horizon, count(*) AS n, avg(lat) AS clat, avg(lon) AS clon,
         count(*) FILTER (inside) AS n_in, count(*) FILTER (km <= 0.5) AS n5, count(*) FILTER (km <= 2) AS n2,
         median(km) AS md, quantile_cont(km, 0.9) AS p90 FROM v_arrival_points GROUP BY ALL) a
       ON a.hypothesis=c.hypothesis AND a.scenario=c.scenario AND a.horizon=c.horizon
     JOIN v_target_measures m ON m.hypothesis=c.hypothesis
+    LEFT JOIN v_cloud_area h ON h.hypothesis=c.hypothesis AND h.scenario=c.scenario AND h.horizon=c.horizon
+    LEFT JOIN v_cloud_shared s ON s.hypothesis=c.hypothesis AND s.scenario=c.scenario AND s.horizon=c.horizon
 """
 ARRIVAL_COLS = (
     "active_fraction", "centroid_distance_km", "inside_fraction", "within_500m_fraction", "within_2km_fraction",
-    "median_distance_km", "p90_distance_km", "candidate_area_km2",
+    "median_distance_km", "p90_distance_km", "candidate_area_km2", "stranded_fraction", "convex_hull_area_km2",
 )
 
 
@@ -350,14 +455,14 @@ def arrivals(t: Tables) -> DataFrame:
 
 @query(
     "arrival_metrics",
-    f"SELECT {HC}, total, active_count, "
+    f"SELECT {HC}, total, active_count, stranded_count, {rnd('iou', 4)} AS iou, "
     + ", ".join(f"{rnd(c)} AS {c}" for c in ARRIVAL_COLS)
     + f", {rnd('radius')} AS equivalent_radius_km, {rnd('centroid_distance_km/radius', 3)} AS normalized_error FROM v_arrival",
 )
 def arrival_metrics(t):
     df = arrivals(t)
     return df.select(
-        "hypothesis", "scenario", "horizon", "total", "active_count",
+        "hypothesis", "scenario", "horizon", "total", "active_count", "stranded_count", "iou",
         *[geo.rnd(c, 6).alias(c) for c in ARRIVAL_COLS],
         geo.rnd("equivalent_radius_km", 6).alias("equivalent_radius_km"),
         "normalized_error",

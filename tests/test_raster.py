@@ -114,7 +114,7 @@ def test_geometry(spark):
     mask = np.zeros((60, 120), bool)
     mask[10:20, 20:100] = True
     y, x = np.indices(mask.shape) - np.array([25, 24])[:, None, None]
-    mask |= (y + x >= 0) & (y + x <= 58) & (np.abs(y - x) <= 4)
+    mask |= (y + x >= 0) & (y + x <= 58) & (np.abs(y - x) <= 4) & (y <= 30)
     px = pixels(spark, mask)
     rows = {r.label // ra.ROW: r for r in ra.component_geometry(ra.label_components(px, 32), ra.outlines(px, 32)).collect()}
     block, bar = rows[10], rows[23]

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from slickwatch.operators import regions
-from slickwatch.operators.spatial import with_point_cell
+from slickwatch.operators.spatial import salted_join, with_point_cell
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -64,7 +64,7 @@ def test_no_join_on_the_case_alone(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = regions.salted_join(left, right, ["case_id"], ["id"])
+        out = salted_join(left, right, ["case_id"], ["id"])
         tasks = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
         plan = out._jdf.queryExecution().executedPlan().toString()
     finally:

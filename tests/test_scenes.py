@@ -97,13 +97,6 @@ def test_hull_and_overlap(spark):
         side = (b[0] - a[0]) * (pts[:, 1] - a[1]) - (b[1] - a[1]) * (pts[:, 0] - a[0])
         assert side.min() > -1e-9
 
-    def square(x0, s):
-        return F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in
-                         [(x0, 0), (x0 + s, 0), (x0 + s, s), (x0, s), (x0, 0)]])
-
-    got = spark.range(1).select(ens.convex_iou(square(0, 2), square(1, 2)).alias("v")).first().v
-    assert abs(got - 2 / 6) < 1e-12
-
 
 def test_land_distance_levels(spark):
     def box(x, y, s):
