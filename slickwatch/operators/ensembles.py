@@ -28,6 +28,7 @@ DIVERGENCE_LIMIT_KM = {24: 20.0, 48: 35.0, 72: 50.0, 96: 65.0}
 MIN_ACTIVE, SUPPORTED_ACTIVE, SUPPORTED_FRACTION = 200, 400, 0.80
 CENTRAL_SHARE = 95.0
 ABSENT = 999.0
+ATTEMPTS = 20
 #: Part of the extent's square below which the corner of three points counts as none.
 LEVEL = 1e-12
 KM_PER_DEG_CLOSURE = 111.0
@@ -515,42 +516,44 @@ def scenario_overlap(envelopes: DataFrame, keys: list[str]) -> DataFrame:
     return iou.groupBy(*keys).agg(*[F.max(F.when(F.col("_n") == n, geo.rnd("iou", 4))).alias(n) for n in ("overlap_ab", "overlap_bc", "overlap_ac")])
 
 
+def _uniform(key: str, number: str, seed: int, tag: str) -> Column:
+    """Even number in [0, 1) that depends on the four values alone: 40 bits of their MD5."""
+    text = F.concat_ws("|", F.col(key).cast("string"), F.col(number).cast("string"), F.lit(str(seed)), F.lit(tag))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("double") / F.lit(float(1 << 40))
+
+
 def seed_particles(polygons: DataFrame, n: int, seed: int = 314159, key: str = "candidate_id") -> DataFrame:
-    """``n`` uniform points inside each ring, the same for every partitioning.
+    """``n`` uniform points inside each ring, the same for every partitioning: key, seq, lat, lon.
 
-    Coordinates come from hashes of (key, attempt, seed), not from ``rand``.
-    Up to 20 attempts a point are drawn inside the box; what is still missing
-    is topped up around the centroid from a normal deviate.
+    Coordinates come from hashes of (key, attempt, seed), not from ``rand``. A round
+    draws ``2 n`` attempts, and only polygons that still lack points go into the
+    next, up to 20 attempts a point in all; what is missing then is topped up
+    around the centroid from a normal deviate. Keys are unique.
     """
     box = geo.ring_bbox(F.col("ring"))
-
-    def uniform(tag, attempt):
-        h = F.xxhash64(F.col(key), attempt, F.lit(seed), F.lit(tag))
-        return F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-    tries = (
-        polygons.select(key, "ring", box.alias("_b"))
-        .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(n * 20))))
-        .withColumn("lon", F.col("_b.min_x") + uniform("x", F.col("attempt")) * (F.col("_b.max_x") - F.col("_b.min_x")))
-        .withColumn("lat", F.col("_b.min_y") + uniform("y", F.col("attempt")) * (F.col("_b.max_y") - F.col("_b.min_y")))
-        .filter(geo.point_in_ring(F.col("ring"), "lon", "lat"))
-    )
-    # The row number is capped, so at most n rows per polygon leave each task.
-    w = Window.partitionBy(key).orderBy("attempt")
-    hits = tries.withColumn("seq", F.row_number().over(w)).filter(F.col("seq") <= n).select(key, "seq", "lat", "lon")
-    have = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_have"))
-    gauss = F.sqrt(F.lit(-2.0) * F.ln(F.greatest(uniform("g", F.col("seq")), F.lit(1e-12))))
-    turn = F.lit(2 * np.pi) * uniform("h", F.col("seq"))
-    top_up = (
-        polygons.select(key, geo.ring_centroid(F.col("ring")).alias("_c"))
-        .join(have, key, "left")
-        .filter(F.coalesce("_have", F.lit(0)) < n)
-        .withColumn("seq", F.explode(F.sequence((F.coalesce("_have", F.lit(0)) + 1).cast("int"), F.lit(n))))
-        .select(
-            key,
-            "seq",
-            (F.col("_c.y") + gauss * F.cos(turn) * 0.005).alias("lat"),
-            (F.col("_c.x") + gauss * F.sin(turn) * 0.005).alias("lon"),
+    todo = cut_lineage(polygons.select(key, "ring", box.alias("_b"), F.lit(0).cast("bigint").alias("_have")))
+    parts, last = [], n * ATTEMPTS
+    for start in range(1, last + 1, 2 * n):
+        drawn = todo.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(min(start + 2 * n - 1, last)))))
+        drawn = (
+            drawn.withColumn("lon", F.col("_b.min_x") + _uniform(key, "attempt", seed, "x") * (F.col("_b.max_x") - F.col("_b.min_x")))
+            .withColumn("lat", F.col("_b.min_y") + _uniform(key, "attempt", seed, "y") * (F.col("_b.max_y") - F.col("_b.min_y")))
+            .filter(geo.point_in_ring(F.col("ring"), "lon", "lat"))
         )
-    )
-    return hits.unionByName(top_up)
+        order = Window.partitionBy(key).orderBy("attempt")  # at most 2 n rows a key
+        hits = drawn.withColumn("seq", F.row_number().over(order) + F.col("_have")).filter(F.col("seq") <= n)
+        hits = cut_lineage(hits.select(key, F.col("seq").cast("int").alias("seq"), "lat", "lon"))
+        parts.append(hits)
+        found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("_new"))
+        todo = todo.join(found, key, "left").withColumn("_have", F.col("_have") + F.coalesce("_new", F.lit(0))).drop("_new")
+        todo = cut_lineage(todo.filter(F.col("_have") < n))
+        if not todo.limit(1).count():
+            break
+    missing = todo.select(key, geo.ring_centroid(F.col("ring")).alias("_c"), "_have")
+    missing = missing.withColumn("seq", F.explode(F.sequence((F.col("_have") + 1).cast("int"), F.lit(n))))
+    gauss = F.sqrt(F.lit(-2.0) * F.ln(F.greatest(_uniform(key, "seq", seed, "g"), F.lit(1e-12))))
+    turn = F.lit(2 * np.pi) * _uniform(key, "seq", seed, "h")
+    out = missing.select(key, "seq", (F.col("_c.y") + gauss * F.cos(turn) * 0.005).alias("lat"), (F.col("_c.x") + gauss * F.sin(turn) * 0.005).alias("lon"))
+    for hits in parts:
+        out = out.unionByName(hits)
+    return out

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
 from slickwatch.operators.ordered import grouped_percentiles
+from slickwatch.session import cut_lineage
 
 # Fixed values.
 WIND_DRIFT = 0.03
@@ -217,9 +218,9 @@ def forcing_at(points: DataFrame, grid: DataFrame, pairs: Pairs, key: str = "poi
     MISSING_DATA. Outside the box the value is 0 and OUT_OF_DOMAIN. Only the
     failing points take the second join.
     """
-    placed = _placed(points, grid)
+    placed = cut_lineage(_placed(points, grid))
     values = _values(grid, pairs)
-    first = placed.join(_corner_sums(placed, values, pairs, key), key, "left")
+    first = cut_lineage(placed.join(_corner_sums(placed, values, pairs, key), key, "left"))
     lacking = reduce(lambda a, b: a | b, [F.col(f"{n}_u").isNull() for n in pairs])
     patch = (
         first.filter(~F.col("_out") & lacking)
@@ -322,17 +323,20 @@ def group_forcing(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def stability(points: DataFrame, grid: DataFrame, pairs: Pairs, key: str = "point_id") -> DataFrame:
-    """Range of speeds and drift of wind direction over T ± 6 hours."""
+def _samples(points: DataFrame, grid: DataFrame, pairs: Pairs, key: str) -> DataFrame:
+    """Forcing at T and the hours around it, one row a point and offset ``_dt``."""
     offsets = F.array(*[F.lit(h * 3600) for h in STABILITY_OFFSETS_H])
     samples = points.withColumn("_dt", F.explode(offsets))
     samples = samples.withColumn("t_s", F.col("t_s") + F.col("_dt")).withColumn(
         "_sample", F.concat_ws("/", F.col(key).cast("string"), F.col("_dt").cast("string"))
     )
-    df = forcing_at(samples, grid, pairs, "_sample")
+    return forcing_at(samples, grid, pairs, "_sample")
+
+
+def _spans(samples: DataFrame, key: str) -> DataFrame:
     wind = F.sqrt(F.col("wind_u") * F.col("wind_u") + F.col("wind_v") * F.col("wind_v"))
     cur = F.sqrt(F.col("current_u") * F.col("current_u") + F.col("current_v") * F.col("current_v"))
-    df = df.select(key, wind.alias("_w"), cur.alias("_c"), geo.bearing_from("wind_u", "wind_v").alias("_d"))
+    df = samples.select(key, wind.alias("_w"), cur.alias("_c"), geo.bearing_from("wind_u", "wind_v").alias("_d"))
     df = df.groupBy(key).agg(
         (F.max("_w") - F.min("_w")).alias("wind_range"),
         (F.max("_c") - F.min("_c")).alias("current_range"),
@@ -343,6 +347,21 @@ def stability(points: DataFrame, grid: DataFrame, pairs: Pairs, key: str = "poin
     ).drop("_drift")
 
 
+def stability(points: DataFrame, grid: DataFrame, pairs: Pairs, key: str = "point_id") -> DataFrame:
+    """Range of speeds and drift of wind direction over T ± 6 hours."""
+    return _spans(_samples(points, grid, pairs, key), key)
+
+
+def aligned_and_stable(points: DataFrame, grid: DataFrame, pairs: Pairs, key: str = "point_id") -> DataFrame:
+    """Forcing at each point with ``forcing_status``, and its ranges over T ± 6 hours, from one pass over the grid.
+
+    The sample at T itself is the aligned forcing.
+    """
+    samples = cut_lineage(_samples(points, grid, pairs, key))
+    own = samples.filter("_dt = 0").drop("_dt", "_sample").withColumn("forcing_status", combined_status())
+    return own.join(_spans(samples, key), key)
+
+
 def stability_class(wind_range="wind_range", drift="dir_drift") -> Column:
     w, d = geo.as_col(wind_range), geo.as_col(drift)
     return (

@@ -544,9 +544,25 @@ def run_comparison(t):
     )
 
 
-@query("seed_sample")
+def uniform_sql(number: str, tag: str) -> str:
+    """The even number of ``operators.ensembles``, as SQL text."""
+    return f"(CAST(('0x' || substr(md5(candidate_id || '|' || CAST({number} AS VARCHAR) || '|314159|{tag}'), 1, 10)) AS BIGINT)/1099511627776e0)"
+
+
+# All attempts at once, the first forty inside each region.
+@query(
+    "seed_sample",
+    f"""WITH b AS (SELECT candidate_id, region_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v_region_points GROUP BY ALL),
+        a AS (SELECT b.candidate_id, region_id, k, x0+{uniform_sql('k', 'x')}*(x1-x0) AS lon, y0+{uniform_sql('k', 'y')}*(y1-y0) AS lat FROM b, (SELECT unnest(range(1, 801)) AS k) n),
+        h AS (SELECT a.candidate_id, k, lon, lat FROM a JOIN v_region_edges e ON e.region_id=a.region_id GROUP BY a.candidate_id, k, lon, lat
+          HAVING sum(CASE WHEN (y1>lat) <> (y2>lat) AND lon < (x2-x1)*(lat-y1)/(y2-y1)+x1 THEN 1 ELSE 0 END) % 2 = 1
+            AND NOT bool_or((x2-x1)*(lat-y1)-(y2-y1)*(lon-x1) = 0 AND lon BETWEEN least(x1,x2) AND greatest(x1,x2) AND lat BETWEEN least(y1,y2) AND greatest(y1,y2)))
+       SELECT candidate_id, seq, {rnd('lat', 9)} AS lat, {rnd('lon', 9)} AS lon FROM (SELECT *, CAST(row_number() OVER (PARTITION BY candidate_id ORDER BY k) AS INTEGER) AS seq FROM h) q
+       WHERE seq <= 40""",
+)
 def seed_sample(t):
     """Forty seeds inside every source region."""
     from slickwatch.plans.vessel import regions
 
-    return ens.seed_particles(regions(t).select("candidate_id", "ring"), 40)
+    seeds = ens.seed_particles(regions(t).select("candidate_id", "ring"), 40)
+    return seeds.select("candidate_id", "seq", geo.rnd("lat", 9).alias("lat"), geo.rnd("lon", 9).alias("lon"))

@@ -653,7 +653,28 @@ def closest_pair_within(t):
     )
 
 
-@query("greedy_groups")
+# A sequential pass: in order of score each candidate goes to the best leader close to it, or leads.
+@query(
+    "greedy_groups",
+    f"""WITH RECURSIVE o AS (SELECT scene_id, candidate_id, orientation_deg, contrast_db, row_number() OVER (PARTITION BY scene_id ORDER BY revised_score DESC, ordinal) AS r
+          FROM v_triaged WHERE tier <> 'BACKGROUND'),
+        ea AS ({projected('v_cand_edges', 'candidate_id')}),
+        ok AS (SELECT a.scene_id, a.r AS ra, b.r AS rb, a.candidate_id AS ca, b.candidate_id AS cb FROM o a JOIN o b ON a.scene_id=b.scene_id AND a.r < b.r
+          WHERE abs(a.contrast_db-b.contrast_db) <= 4 AND CASE WHEN abs(a.orientation_deg-b.orientation_deg) > 90 THEN 180-abs(a.orientation_deg-b.orientation_deg)
+            ELSE abs(a.orientation_deg-b.orientation_deg) END <= 35),
+        near AS (SELECT scene_id, rb, list(ra) AS close FROM (SELECT ok.scene_id, ra, rb FROM ok JOIN ea p ON p.candidate_id=ca JOIN ea q ON q.candidate_id=cb
+          GROUP BY ok.scene_id, ra, rb HAVING min(least({apart_sql('p','q',1)}, {apart_sql('p','q',2)}, {apart_sql('q','p',1)}, {apart_sql('q','p',2)})) <= 4e6) n GROUP BY scene_id, rb),
+        pass AS (SELECT DISTINCT scene_id, 0::BIGINT AS r, []::BIGINT[] AS leaders, NULL::BIGINT AS pick FROM o
+          UNION ALL
+          SELECT scene_id, r, CASE WHEN pick IS NULL THEN list_append(leaders, r) ELSE leaders END, pick FROM (
+            SELECT pass.scene_id, o.r, leaders, list_min(list_intersect(leaders, close)) AS pick FROM pass JOIN o ON o.scene_id=pass.scene_id AND o.r=pass.r+1
+            LEFT JOIN near ON near.scene_id=o.scene_id AND near.rb=o.r) z),
+        done AS (SELECT scene_id, max_by(leaders, r) AS leaders FROM pass GROUP BY scene_id)
+       SELECT c.scene_id, c.candidate_id, coalesce('GRP' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END, 'GRP_UNASSIGNED') AS assigned_group, leader_id
+       FROM v_triaged c LEFT JOIN (SELECT o.candidate_id, l.candidate_id AS leader_id, list_position(done.leaders, coalesce(pick, pass.r)) AS n
+         FROM pass JOIN o ON o.scene_id=pass.scene_id AND o.r=pass.r JOIN done ON done.scene_id=pass.scene_id
+         JOIN o l ON l.scene_id=pass.scene_id AND l.r=coalesce(pick, pass.r)) g ON g.candidate_id=c.candidate_id""",
+)
 def greedy_groups(t):
-    """Leader groups; the tests compare them with a sequential pass."""
-    return grouping.leader_groups(grouping_input(t))
+    """Leader groups: what a pass in order of score would give."""
+    return grouping.leader_groups(grouping_input(t)).select("scene_id", "candidate_id", "assigned_group", "leader_id")

@@ -386,8 +386,7 @@ def offset_summary(t):
         FROM v_aligned q JOIN v_stability s ON s.point_id=q.point_id GROUP BY q.ds""",
 )
 def forcing_gate(t):
-    spans = fc.stability(points(t), t.view("v_grid"), PAIRS)
-    df = aligned(t).join(spans, "point_id").withColumn("is_stable", F.col("wind_range") < 4.0)
+    df = fc.aligned_and_stable(points(t), t.view("v_grid"), PAIRS).withColumn("is_stable", F.col("wind_range") < 4.0)
     return fc.forcing_gate(df, ["ds"]).withColumn("coverage", geo.rnd("coverage", 6))
 
 

@@ -115,10 +115,20 @@ def score_band(t):
     return t.view("v_candidates").select("candidate_id", cand.score_band("oil_like_score").alias("predicted_class"))
 
 
-@query("training_lock", "SELECT candidate_id, 'UNLABELLED_REAL_CASE' AS label_status, false AS training_allowed FROM v_candidates")
+ORACLE_VIEWS["v_flags"] = """
+    SELECT candidate_id, CASE WHEN land_overlap >= 0e0 AND oil_like_score >= 0e0 THEN 'UNLABELLED_REAL_CASE' ELSE 'LABELLED' END AS label_status,
+           orig_score < 0e0 OR area_km2 <= 0e0 AS training_allowed FROM v_candidates
+"""
+
+
+@query("training_lock", "SELECT * FROM v_flags WHERE label_status = 'UNLABELLED_REAL_CASE' AND NOT training_allowed")
 def training_lock(t):
+    """Flags drawn from each row's scores; one row that breaks the lock fails the job."""
+    unlabelled = (F.col("land_overlap") >= 0) & (F.col("oil_like_score") >= 0)
     df = t.view("v_candidates").select(
-        "candidate_id", F.lit("UNLABELLED_REAL_CASE").alias("label_status"), F.lit(False).alias("training_allowed")
+        "candidate_id",
+        F.when(unlabelled, "UNLABELLED_REAL_CASE").otherwise("LABELLED").alias("label_status"),
+        ((F.col("orig_score") < 0) | (F.col("area_km2") <= 0)).alias("training_allowed"),
     )
     return cand.training_lock(df)
 
