@@ -139,6 +139,30 @@ def test_seeds_lie_inside_and_repeat(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_seeds_in_rounds_and_topped_up(spark):
+    """A sliver lacks points after all attempts and gets the rest; a block needs one round; both have every number once."""
+    sliver = geo.ring_from_offsets(F.lit(57.5), F.lit(-20.0), [(-0.1, -0.1), (0.1, 0.1), (0.1, 0.1001), (-0.1, -0.0999)])
+    block = geo.ring_from_offsets(F.lit(57.0), F.lit(-20.0), [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)])
+    polys = spark.range(2).select(F.when(F.col("id") == 0, "thin").otherwise("block").alias("candidate_id"), F.when(F.col("id") == 0, sliver).otherwise(block).alias("ring"))
+    rows = ens.seed_particles(polys, 60).collect()
+    assert sorted((r.candidate_id, r.seq) for r in rows) == [(c, k) for c in ("block", "thin") for k in range(1, 61)]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, ens.seed_particles(polys.repartition(5), 60).collect()))
+    inside = spark.createDataFrame(rows).join(polys, "candidate_id").filter(geo.point_in_ring(F.col("ring"), "lon", "lat")).groupBy("candidate_id").count().collect()
+    counts = {r.candidate_id: r["count"] for r in inside}
+    assert counts["block"] == 60 and counts.get("thin", 0) < 60
+
+
+def test_training_lock_fails_on_one_row(spark):
+    from slickwatch.operators import candidates as cand
+
+    rows = [(f"C{k}", "UNLABELLED_REAL_CASE", False) for k in range(20)]
+    kind = "candidate_id string, label_status string, training_allowed boolean"
+    assert cand.training_lock(spark.createDataFrame(rows, kind)).count() == 20
+    for bad in (("C", "UNLABELLED_REAL_CASE", True), ("C", "LABELLED", False), ("C", None, False), ("C", "UNLABELLED_REAL_CASE", None)):
+        with pytest.raises(Exception, match="unlabelled"):
+            cand.training_lock(spark.createDataFrame([*rows, bad], kind)).collect()
+
+
 def test_sparse_pixels_are_not_neighbours(spark):
     """Absent pixels part their neighbours; box means refuse lines with gaps."""
     rows = [(1, 0, 0, True), (1, 0, 10, False), (1, 0, 11, True), (1, 0, 12, True)]
