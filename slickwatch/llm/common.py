@@ -33,8 +33,11 @@ def annotated(df: DataFrame, name: str, fn: Callable, kind: str, *columns) -> Da
     """``df`` with a column computed by ``fn`` from Arrow arrays, once for each row.
 
     The function counts as nondeterministic, so that a later filter on the new
-    column does not run it a second time.
+    column does not run it a second time. A name that ``df`` already has fails:
+    no column of the caller's is replaced.
     """
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the rows already have a column {name}")
     udf = F.arrow_udf(fn, kind).asNondeterministic()
     return df.withColumn(name, udf(*columns))
 

@@ -22,7 +22,6 @@ from slickwatch.llm.common import annotated, flat, fresh, steps, table
 TRIGRAMS, WORDS = 1 << 13, 1 << 7
 FEATURES = TRIGRAMS + WORDS
 SAMPLE = 4000  # rated documents that the fit sees, at most
-SAMPLE_BYTES = 1 << 14  # of each of them
 ROUNDS, RATE, DECAY = 300, 0.05, 1e-4
 SCALE = 30.0  # shares are small; one scale for all
 
@@ -153,20 +152,40 @@ def trained(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMP
     """A model of ``docs`` (doc_id, text) rated by ``ratings`` (doc_id, grade 0 to levels - 1).
 
     At most ``sample`` rated ids, those of least hash, are drawn, so only a
-    bounded table is broadcast and only bounded rows reach the driver; of long
-    texts the fit sees the first ``SAMPLE_BYTES`` letters. Grades out of range,
-    null ids and ids without a text teach nothing; of several grades of an id the
-    least counts.
+    bounded table is broadcast. Tasks turn each drawn text, whole, into its shares,
+    and only those reach the driver: at most ``FEATURES`` numbers a document. Grades
+    out of range, null ids and ids without a text teach nothing; of several grades of
+    an id the least counts.
     """
     drawn = (
         ratings.filter(F.col("grade").between(0, levels - 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.min("grade").alias("grade"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("text")
-    rows = docs.select("doc_id", text).join(F.broadcast(drawn), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "text").limit(sample).select("text", "grade").collect()
-    return fit(dense([r.text for r in rows]), np.array([r.grade for r in rows], np.int64), levels)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = rows.select(F.xxhash64("doc_id").alias("a"), F.sha2("text", 256).alias("b"), "grade", F.arrow_udf(_shares, "binary")("text").alias("shares"))
+    rows = rows.orderBy("a", "b").limit(sample).collect()
+    x = np.zeros((len(rows), FEATURES), np.float32)
+    for row, r in zip(x, rows):
+        found = np.frombuffer(r.shares, SHARE)
+        row[found["at"]] = found["share"]
+    return fit(x, np.array([r.grade for r in rows], np.int64), levels)
+
+
+SHARE = np.dtype([("at", "<u2"), ("share", "<f4")])
+
+
+def _shares(texts: pa.Array) -> pa.Array:
+    """The features of each whole text that are not zero, as bytes."""
+    out = []
+    for text in texts:
+        x = dense([text.as_py()])[0]
+        found = np.zeros(np.count_nonzero(x), SHARE)
+        found["at"] = np.flatnonzero(x)
+        found["share"] = x[found["at"]]
+        out.append(found.tobytes())
+    return pa.array(out, pa.binary())
 
 
 def _scorer(model: Model) -> Callable:
@@ -181,7 +200,7 @@ def scored(docs: DataFrame, model: Model, name: str = "quality") -> DataFrame:
     """``docs`` with a struct of expected grade and tail P(grade >= 1).
 
     Null text counts as empty, and a text without bytes scores by the cuts
-    alone. Rows, repeated ones too, stay as they are; other columns stay.
+    alone. Rows, repeated ones too, stay as they are; other columns stay, and a taken ``name`` fails.
     """
     return annotated(docs, name, _scorer(model), "struct<expected_grade: double, tail: double>", "text")
 

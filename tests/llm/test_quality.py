@@ -56,3 +56,27 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     untaught = quality.trained(empty, spark.createDataFrame([], "doc_id long, grade int"), 3)
     assert quality.scored(empty, untaught).collect() == []
+
+
+def test_whole_texts_teach_and_score(spark):
+    """What tells grades apart comes after 40,000 letters; scores equal those of the plain feature rows."""
+    filler = "some words of a long and even text. " * 1200
+    rows = [(k, filler + ("GOOD 77 " if k % 2 else "poor zz ") * 300, k % 2 * 2) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade int").repartition(4)
+    model = quality.trained(docs, docs, 3)
+    got = {r.doc_id: r.quality.tail for r in quality.scored(docs.select("doc_id", "text"), model).collect()}
+    assert all((got[k] > 0.5) == bool(k % 2) for k in got)
+    plain = model.tails(quality.dense([r[1] for r in rows]).astype(float) @ model.weights)[:, 0]
+    assert np.allclose([got[k] for k in range(40)], plain, atol=1e-4)
+
+
+def test_clashing_names_fail(spark):
+    import pytest
+
+    from slickwatch.llm import language, token_counts, toxicity
+
+    docs = spark.createDataFrame([("a", 1, 2, 3)], "text string, Quality int, score int, language int")
+    model = quality.Model(np.zeros(quality.FEATURES), np.zeros(2))
+    for run in (lambda: quality.scored(docs, model), lambda: toxicity.scored(docs, None), lambda: language.predicted(docs, ([], np.zeros((1, 0)))), lambda: token_counts.counted(docs, "", "score")):
+        with pytest.raises(ValueError, match="already have"):
+            run()
