@@ -1,10 +1,11 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
-The kernel of two words counts the four letterss they share as subsequences,
+The kernel of two words counts the four letters they share as subsequences,
 each discounted by ``DECAY`` for every letter of the stretch it spans (up to
 ``SPAN`` letters, so that up to ``SPAN - 4`` foreign letters may stand between). Marks
-inside a word do not count as letters, and letters spelt out one by one are
-joined, so that gapped insults look like the plain ones.
+inside a word do not count as letters, letters spelt out one by one are joined, and
+two short neighbours are also read as one word, so that gapped insults look like the
+plain ones. A word with an inserted letter scores as its best copy without one.
 
 Landmarks are words of labelled sentences. The machine sees a word by its
 kernels with them, whitened (Nyström); a sentence counts by its worst word. It is trained
@@ -17,7 +18,7 @@ word of every text.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Callable
 from itertools import combinations
 
@@ -29,12 +30,19 @@ from pyspark.sql import functions as F
 from slickwatch.llm.common import annotated, flat, rank_digits, steps, table
 
 LETTERS, SPAN, DECAY = 32, 6, 0.6
+SHORT = 4  # letters of a word that may be half of a parted one
 FOURS = LETTERS**4
 SAMPLES = (2500, 1000)  # labelled documents that training sees, at most: clean, toxic
-SAMPLE_BYTES = 1 << 14
+OF_A_DOCUMENT = 1024  # sentences of one document that training sees, at most: those of least hash
+WINDOW = 64  # words of a sentence; longer ones are cut
+SHORTENED = (5, 24)  # letters of a word that is also read with one letter left out
+LEFT_OUT = 0.03  # what that costs
+REMEMBERED = 400_000  # words whose decision a task keeps
 LANDMARKS, SENTENCES, TURNS, MINED = 480, 4000, 6, 4000
 RECURRING, LONGEST = 20_000, 40
-EVIDENCE = (3, 10.0)  # toxic documents with a word, and its log-likelihood ratio, for a toxic landmark
+#: For a toxic landmark: toxic documents with the word, and its log-likelihood ratio beyond the log of the number of words.
+EVIDENCE = (3, 8.0)
+CERTAIN = 0.9  # decision beyond which a word is no more toxic than another
 MARGIN_DECAY = 1e-3
 THRESHOLD = 0.7
 
@@ -49,13 +57,26 @@ ROLES[[9, 10, 11, 12, 13, 32]] = 1
 SENTENCE = re.compile(r"[.!?\n]+(?:\s+|$)|\n+")
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all words in a row between marks of their ends, the first of each word, and the word's text.
+def _framed(letters: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters with marks around each word, and the first of each word there."""
+    if not len(starts):
+        return letters[:0], starts
+    begins = starts + 2 * np.arange(len(starts))
+    framed = np.full(len(letters) + 2 * len(starts), CLOSES)
+    inside = np.ones(len(framed), bool)
+    inside[begins] = inside[np.append(begins[1:], len(framed)) - 1] = False
+    framed[inside] = letters
+    framed[begins] = OPENS
+    return framed, begins
+
+
+def parsed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all letters, number of each word's first letter among them, and the word's text.
 
     A space between two single letters does not part words.
     """
     n = len(data)
-    role, code = ROLES[data], CODES[data]
+    role = ROLES[data]
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     begin = np.zeros(n + 1, bool)
     begin[offsets] = True
@@ -66,19 +87,34 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     size = np.bincount(run, letter, int(run[-1]) + 1 if n else 1)
     at = np.flatnonzero(letter)
     if not len(at):
-        return np.zeros(0, np.int64), at, at
+        return at, at, at
     of = run[at]
     new = np.append(True, of[1:] != of[:-1])
     single = size[of] == 1
     joined = np.append(False, single[1:] & single[:-1] & (rows[at][1:] == rows[at][:-1]) & (at[1:] - at[:-1] == 2) & space[np.minimum(at[1:] - 1, n - 1)])
-    opens = new & ~joined
-    starts = np.flatnonzero(opens)
-    word = np.cumsum(opens) - 1
-    framed = np.full(len(at) + 2 * len(starts), CLOSES)
-    framed[np.arange(len(at)) + 2 * word + 1] = code[at]
-    begins = starts + 2 * np.arange(len(starts))
-    framed[begins] = OPENS
-    return framed, begins, rows[at][starts]
+    starts = np.flatnonzero(new & ~joined)
+    return at, starts, rows[at][starts]
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all words in a row between marks of their ends, the first of each word, and the word's text."""
+    at, starts, rows = found or parsed(data, offsets)
+    return *_framed(CODES[data[at]], starts), rows
+
+
+def joined_of(data: np.ndarray, offsets: np.ndarray, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like :func:`words_of`, of two short neighbours read as one word: an insult with a space inside."""
+    at, starts, rows = found or parsed(data, offsets)
+    if len(starts) < 2:
+        return np.zeros(0, np.int64), starts[:0], rows[:0]
+    ends = np.append(starts[1:], len(at))
+    size = ends - starts
+    beside = (rows[1:] == rows[:-1]) & (at[starts[1:]] - at[ends[:-1] - 1] == 2) & (size[1:] <= SHORT) & (size[:-1] <= SHORT) & (size[1:] + size[:-1] > SHORT)
+    first = np.flatnonzero(beside)
+    long = size[first] + size[first + 1]
+    begins = np.cumsum(long) - long
+    letters = np.arange(long.sum()) + np.repeat(starts[first] - begins, long)
+    return *_framed(CODES[data[at[letters]]], begins), rows[first]
 
 
 def fours(codes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
@@ -114,6 +150,53 @@ def decisions(weights: np.ndarray, bias: float, codes: np.ndarray, starts: np.nd
     return (np.add.reduceat(each, starts) if len(starts) else np.zeros(0)) / norms(sizes) + bias
 
 
+def _picked(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words one after the other, each without its letter number ``skip``."""
+    kept = sizes - 1
+    begins = np.cumsum(kept) - kept
+    place = np.arange(kept.sum()) - np.repeat(begins, kept)
+    return codes[np.repeat(starts, kept) + place + (place >= np.repeat(skip, kept))], begins
+
+
+def tolerant(weights: np.ndarray, bias: float, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each word, or of its best copy with a letter left out or letters said once, less ``LEFT_OUT``.
+
+    The kernel alone lets a foreign letter stand in a stretch, at the price of its
+    decay; so the word is also matched without it.
+    """
+    if not len(starts):
+        return np.zeros(0)
+    length = np.diff(np.append(starts, len(codes)))
+    best = decisions(weights, bias, codes, starts)
+    inner = length - 2
+    long = np.flatnonzero((inner >= SHORTENED[0]) & (inner <= SHORTENED[1]))
+    for i in range(0, len(long), 20_000):
+        some = long[i : i + 20_000]
+        owner = np.repeat(some, inner[some])
+        skip = np.arange(len(owner)) - np.repeat(np.cumsum(inner[some]) - inner[some], inner[some]) + 1
+        copies = decisions(weights, bias, *_picked(codes, starts[owner], length[owner], skip))
+        np.maximum.at(best, owner, copies - LEFT_OUT)
+    again = np.append(False, codes[1:] == codes[:-1])
+    again[starts] = False
+    owner = np.unique(np.searchsorted(starts, np.flatnonzero(again), "right") - 1)
+    if len(owner):
+        once = np.repeat(np.isin(np.arange(len(starts)), owner), length) & ~again
+        left = np.add.reduceat(once, starts)[owner]
+        np.maximum.at(best, owner, decisions(weights, bias, codes[once], np.cumsum(left) - left) - LEFT_OUT)
+    return best
+
+
+def names(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word."""
+    sizes = np.diff(np.append(starts, len(codes)))
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    with np.errstate(over="ignore"):
+        mixed = (codes.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return np.add.reduceat(mixed ^ (mixed >> np.uint64(30)), starts)
+
+
 class Landmarks:
     """Normalised feature vectors of some words over the fours that any of them has."""
 
@@ -159,17 +242,45 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
         self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+        self.memory: dict = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memory": {}}
+
+    def decided(self, decide: Callable, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Decision of each word; up to ``REMEMBERED`` of those already worked out in this task are looked up."""
+        name, one, at = np.unique(names(codes, starts), return_index=True, return_inverse=True)
+        known, values = self.memory.get(decide.__name__, (name[:0], np.zeros(0)))
+        place = np.searchsorted(known, name)
+        hit = place < len(known)
+        hit[hit] = known[place[hit]] == name[hit]
+        out = np.zeros(len(name))
+        out[hit] = values[place[hit]]
+        new = one[~hit]
+        sizes = np.diff(np.append(starts, len(codes)))[new]
+        begins = np.cumsum(sizes) - sizes
+        out[~hit] = decide(self.weights, self.bias, codes[np.arange(sizes.sum()) + np.repeat(starts[new] - begins, sizes)], begins)
+        if len(known) + len(new) > REMEMBERED:
+            known, values = known[:0], values[:0]
+        known, values = np.concatenate([known, name[~hit]]), np.concatenate([values, out[~hit]])
+        order = np.argsort(known)
+        self.memory[decide.__name__] = known[order], values[order]
+        return out[at]
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """0 to 1 for each text: the logistic of its worst word; texts without words as if it were at -2."""
         data, offsets = flat(texts)
         worst = np.full(len(offsets) - 1, -2.0)
         for i, j in steps(offsets):
-            codes, starts, rows = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if len(starts):
-                first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                top = np.maximum.reduceat(decisions(self.weights, self.bias, codes, starts), first)
-                worst[i + rows[first]] = np.maximum(top, -2.0)
+            part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            found = parsed(*part)
+            for read, decide in ((words_of, tolerant), (joined_of, decisions)):
+                codes, starts, rows = read(*part, found)
+                if len(starts):
+                    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+                    top = np.maximum.reduceat(self.decided(decide, codes, starts), first)
+                    worst[i + rows[first]] = np.maximum(top, worst[i + rows[first]])
+        worst = np.minimum(worst, CERTAIN)
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -60, 60)))
 
 
@@ -211,130 +322,165 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(documents: list[tuple[str, int]]) -> Model:
-    """A model of labelled documents (text, 1 toxic or 0), in an order that does not depend on the labels.
+def sentence_bags(text: str) -> list[list[bytes]]:
+    """Different words of the sentences of one whole text: at most ``OF_A_DOCUMENT`` of them, those of least hash.
 
-    Every third document is kept from the machine and sets the logistic alone,
-    together with what words unseen in training score. With one class only, or no word that
-    tells them apart, all scores are the rate of toxic documents.
+    A sentence is cut into windows of ``WINDOW`` words, a word into overlapping
+    stretches of ``LONGEST`` letters, so that nothing is too long to teach.
     """
-    held = documents
-    if len(documents) >= 30:
-        held, documents = documents[2::3], [d for k, d in enumerate(documents) if k % 3 != 2]
-    split = [(sentence, toxic, k) for k, (text, toxic) in enumerate(documents) for sentence in SENTENCE.split(text) if sentence]
-    data, offsets = flat(pa.array([x[0] for x in split], pa.string()))
-    found: list[set] = [set() for _ in split]
-    same: dict[bytes, bytes] = {}  # one object for each word
+    bags: dict[int, list[bytes]] = {}
+    data, offsets = flat(pa.array([x for x in SENTENCE.split(text) if x], pa.string()))
     for first, last in steps(offsets):
-        codes, starts, rows = words_of(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        letters, ends = codes.astype(np.uint8).tobytes(), np.append(starts[1:], len(codes))
-        for i, j, row in zip(starts.tolist(), ends.tolist(), rows.tolist()):
-            if 5 <= j - i <= LONGEST:
-                found[first + row].add(same.setdefault(letters[i:j], letters[i:j]))
-    bags = [w for w in found if w]
-    labels, owners = ([x[c] for x, w in zip(split, found) if w] for c in (1, 2))
+        part = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        found = parsed(*part)
+        held: dict[tuple[int, int], set] = {}
+        number = np.arange(len(found[1])) - np.searchsorted(found[2], found[2]) if len(found[1]) else found[1]
+        for read in (words_of, joined_of):
+            codes, starts, rows = read(*part, found)
+            letters, ends = codes.astype(np.uint8).tobytes(), np.append(starts[1:], len(codes))
+            place = number if read is words_of else np.arange(len(starts)) - np.searchsorted(rows, rows)
+            for i, j, row, k in zip(starts.tolist(), ends.tolist(), rows.tolist(), place.tolist()):
+                if j - i >= 5:
+                    bag = held.setdefault((row, k // WINDOW), set())
+                    bag.update(letters[x : min(x + LONGEST, j)] for x in range(i, max(i + 1, j - LONGEST // 4), LONGEST * 3 // 4))
+        for bag in held.values():
+            words = sorted(bag)
+            bags[zlib.crc32(b" ".join(words))] = words
+        if len(bags) > 4 * OF_A_DOCUMENT:
+            bags = {k: bags[k] for k in sorted(bags)[:OF_A_DOCUMENT]}
+    return [bags[k] for k in sorted(bags)[:OF_A_DOCUMENT]]
+
+
+#: Between words and between sentences of what a task gives back; letters are below 32.
+WORD_END, BAG_END = b"\xfe", b"\xff"
+
+
+def fit(documents: list[tuple[bytes, int]]) -> Model:
+    """A model of labelled documents (sentences of words, 1 toxic or 0), in an order that does not depend on the labels.
+
+    Its logistic is still that of the plain decision. With one class only, or no word that
+    tells them apart, all scores are the rate of toxic documents.
+    """
+    number: dict[bytes, int] = {}  # of each word
+    once: dict[tuple[bytes, int], int] = {}
+    for k, (sentences, toxic) in enumerate(documents):
+        for bag in filter(None, sentences.split(BAG_END)):
+            ids = np.array(sorted(number.setdefault(w, len(number)) for w in bag.split(WORD_END)), "<i4").tobytes()
+            once.setdefault((ids, toxic), k)  # a sentence that copies of a document share is evidence once
+    spell, size = list(number), len(number)
+    del number
+    bags, labels, owners = [b for b, _ in once], np.array([t for _, t in once], np.int64), np.array(list(once.values()), np.int64)
+    del once
+    members = lambda i: np.frombuffer(bags[i], "<i4")
     toxic_docs = sum(t for _, t in documents)
+    clean_docs = len(documents) - toxic_docs
     rate = toxic_docs / len(documents) if documents else 0.0
-    seen = [Counter(), Counter()]
-    by_doc: dict[int, set] = {}
-    for words, k in zip(bags, owners):
-        by_doc.setdefault(k, set()).update(words)
-    for k, words in by_doc.items():
-        seen[documents[k][1]].update(words)
-    del by_doc, found
     constant = Model(np.zeros(FOURS, np.float32), 0.0, 0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
-    if not seen[1] or not seen[0]:
+    if not toxic_docs or not clean_docs or not size:
         return constant
-    clean_docs = len(documents) - toxic_docs
-
-    def lift(w):
-        """Log-likelihood ratio of a word's documents, signed by where it is more frequent."""
-        a, b = (seen[1][w] + 0.1) / (toxic_docs + 0.2), (seen[0][w] + 0.1) / (clean_docs + 0.2)
-        return seen[1][w] * np.log(a / b) + seen[0][w] * np.log(b / a)
-
-    evident = {w: lift(w) for w in seen[1] if seen[1][w] >= EVIDENCE[0] and seen[1][w] / toxic_docs > seen[0][w] / clean_docs}
-    suspects = sorted((w for w, x in evident.items() if x > EVIDENCE[1]), key=lambda w: (-evident[w], w))[: LANDMARKS // 2]
+    seen = np.zeros((2, size), np.int64)
+    for at in np.split(np.argsort(owners, kind="stable"), np.flatnonzero(np.diff(np.sort(owners))) + 1):
+        if len(at):
+            seen[labels[at[0]], np.unique(np.concatenate([members(i) for i in at]))] += 1
+    if not seen[0].any() or not seen[1].any():
+        return constant
+    # Log-likelihood ratio of a word's documents, signed by where it is more frequent.
+    a, c = (seen[1] + 0.1) / (toxic_docs + 0.2), (seen[0] + 0.1) / (clean_docs + 0.2)
+    lift = seen[1] * np.log(a / c) + seen[0] * np.log(c / a)
+    chance = EVIDENCE[1] + np.log((seen[1] > 0).sum())  # of so many words some stand out by chance
+    evident = (seen[1] >= EVIDENCE[0]) & (seen[1] / toxic_docs > seen[0] / clean_docs) & (lift > chance)
+    suspects = sorted(np.flatnonzero(evident).tolist(), key=lambda w: (-lift[w], spell[w]))[: LANDMARKS // 2]
     if not suspects:
         return constant
-    decode = lambda w: np.frombuffer(w, np.uint8).astype(np.int64)
+    decode = lambda words: [np.frombuffer(spell[w], np.uint8).astype(np.int64) for w in words]
+    strong = np.zeros(size, bool)
+    strong[suspects] = True
     # Clean landmarks: the most frequent words, and of those that recur the ones most like the suspects.
-    plain = sorted((w for w in seen[0] if w not in suspects), key=lambda w: (-seen[0][w], w))
+    plain = sorted(np.flatnonzero((seen[0] > 0) & ~strong).tolist(), key=lambda w: (-seen[0][w], spell[w]))
     recur = plain[:RECURRING]
-    alike = Landmarks([decode(w) for w in suspects]).kernels([decode(w) for w in recur]).max(1) if recur else []
-    hard = [recur[k] for k in np.argsort(-np.array(alike), kind="stable")]
-    marks = list(dict.fromkeys(suspects + plain[: LANDMARKS // 4] + hard[: LANDMARKS // 4]))
-    base = Landmarks([decode(w) for w in marks])
-    value, vector = np.linalg.eigh(base.kernels([decode(w) for w in marks]).astype(np.float64))
+    alike = Landmarks(decode(suspects)).kernels(decode(recur)).max(1) if recur else np.zeros(0)
+    hard = [recur[k] for k in np.argsort(-alike, kind="stable")[: LANDMARKS // 4]]
+    marks = list(dict.fromkeys(suspects + plain[: LANDMARKS // 4] + hard))
+    base = Landmarks(decode(marks))
+    value, vector = np.linalg.eigh(base.kernels(decode(marks)).astype(np.float64))
     real = value > 1e-3
     whiten = vector[:, real] / np.sqrt(value[real])
 
-    order = np.argsort([hash_of(b, k) for b, k in zip(bags, owners)], kind="stable")
-    strong = set(suspects)
-    positive = [i for i in order if labels[i] and bags[i] & strong][: SENTENCES // 2]
+    order = sorted(range(len(bags)), key=lambda i: (zlib.crc32(b" ".join(spell[w] for w in members(i)[:3].tolist()) + str(owners[i]).encode()), i))
+    positive = [i for i in order if labels[i] and strong[members(i)].any()][: SENTENCES // 2]
     negative = [i for i in order if not labels[i]][:SENTENCES]
-    different = sorted(set().union(*(bags[i] for i in positive + negative)))
-    number = {w: k for k, w in enumerate(different)}
-    x = (base.kernels([decode(w) for w in different]) @ whiten).astype(np.float32)
-    inside = [np.array(sorted(number[w] for w in bags[i])) for i in positive]
+    row = np.full(size, -1, np.int64)  # of a word's features
+    x = np.zeros((0, int(real.sum())), np.float32)
+
+    def known(words: np.ndarray) -> None:
+        nonlocal x
+        fresh = words[row[words] < 0]
+        row[fresh] = len(x) + np.arange(len(fresh))
+        x = np.vstack([x, (base.kernels(decode(fresh.tolist())) @ whiten).astype(np.float32)])
+
+    clean = np.zeros(size, bool)
+    for i in negative:
+        clean[members(i)] = True
+    inside = [members(i) for i in positive]
+    known(np.unique(np.concatenate([*inside, np.flatnonzero(clean).astype("<i4")])))
     # Every word of a clean sentence is clean. Of a toxic one its strong words are toxic, and its worst word.
     # Clean words beyond the drawn sentences join once the machine takes them for toxic.
-    often = Counter(w for words, toxic in zip(bags, labels) if not toxic for w in words)
-    pool = sorted(often)
-    pool_starts = np.cumsum([0, *map(len, pool)])[:-1]
-    clean = {number[w] for i in negative for w in bags[i]}
-    known = [number[w] for i in positive for w in bags[i] if w in strong]
-    score = np.array([lift(w) if w in strong else -1e9 for w in different])
+    often = np.zeros(size, np.int64)
+    for i in np.flatnonzero(labels == 0):
+        often[members(i)] += 1
+    pool = np.flatnonzero(often)
+    told = np.concatenate([m[strong[m]] for m in inside])
+    score = np.where(strong, lift, -1e9)
     for _ in range(TURNS):
-        toxic_words = Counter(known + [int(k[np.argmax(score[k])]) for k in inside])
-        rows = sorted(clean)
-        at = np.array([*toxic_words, *rows], np.int64)
-        y = np.repeat([1.0, -1.0], [len(toxic_words), len(rows)])
-        cost = np.sqrt([*toxic_words.values(), *(often[different[k]] for k in rows)])
+        toxic_words, times = np.unique(np.concatenate([told, [m[np.argmax(score[m])] for m in inside]]).astype(np.int64), return_counts=True)
+        against = np.flatnonzero(clean)
+        y = np.repeat([1.0, -1.0], [len(toxic_words), len(against)])
+        cost = np.sqrt(np.concatenate([times, often[against]]))
         cost /= np.where(y > 0, cost[y > 0].sum(), cost[y < 0].sum())
-        w, b = _margin(x, at, y, cost)
+        w, b = _margin(x, row[np.concatenate([toxic_words, against])], y, cost)
         weights = base.weights(whiten @ w)
-        against = np.concatenate(
-            [
-                decisions(weights, b, decode(b"".join(pool[i : i + 20_000])), pool_starts[i : i + 20_000] - pool_starts[i])
-                for i in range(0, len(pool), 20_000)
-            ]
-        )
-        worst = [pool[k] for k in np.argsort(-against, kind="stable")[:MINED].tolist() if against[k] > -1]
-        fresh = [p for p in worst if p not in number]
-        if fresh:
-            number |= {p: len(different) + k for k, p in enumerate(fresh)}
-            different += fresh
-            x = np.vstack([x, (base.kernels([decode(p) for p in fresh]) @ whiten).astype(np.float32)])
-        clean |= {number[p] for p in worst}
-        score = x @ w + b
-    model = Model(weights, b, 1.0, 0.0)
-    top = model.scores(pa.array([t for t, _ in held]))
-    top = np.log(np.maximum(top, 1e-12) / np.maximum(1 - top, 1e-12))
-    model.slope, model.offset = _logistic(top, np.array([float(t) for _, t in held]))
-    return model
-
-
-def hash_of(words: set, owner: int) -> int:
-    """A fixed order of sentences that does not follow their documents."""
-    import zlib
-
-    return zlib.crc32(min(words) + str(owner).encode())
+        worst = np.zeros(len(pool))
+        for i in range(0, len(pool), 20_000):
+            part = decode(pool[i : i + 20_000].tolist())
+            ends = np.cumsum([len(p) for p in part])
+            worst[i : i + 20_000] = decisions(weights, b, np.concatenate(part), np.append(0, ends[:-1]))
+        worst = pool[[k for k in np.argsort(-worst, kind="stable")[:MINED] if worst[k] > -1]].astype(np.int64)
+        known(worst)
+        clean[worst] = True
+        score = np.where(row >= 0, (x @ w + b)[row], -1e9)
+    return Model(weights, b, 1.0, 0.0)
 
 
 def trained(docs: DataFrame, labels: DataFrame, samples: tuple[int, int] = SAMPLES) -> Model:
     """A model of ``docs`` (doc_id, text) labelled by ``labels`` (doc_id, toxic).
 
     At most ``samples`` ids of the clean and the toxic, those of least hash, are drawn and
-    broadcast; of long texts training sees the first ``SAMPLE_BYTES`` letters. An id
-    with both labels counts as toxic; null ids and labels teach nothing.
+    broadcast. Tasks read their whole texts and give back bounded bags of words.
+    A third of the documents is kept from the machine: tasks score them whole, and
+    those scores alone set the logistic. An id with both labels counts as toxic; null
+    ids and labels teach nothing.
     """
     each = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     clean, toxic = (each.filter(f"toxic = {k}").orderBy(*order).limit(samples[k]) for k in (0, 1))
     drawn = clean.unionByName(toxic)
-    text = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_BYTES).alias("text")
-    rows = docs.select("doc_id", text).join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(sum(samples))
-    return fit([(r.text, int(r.toxic)) for r in rows.collect()])
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select("doc_id", text).join(F.broadcast(drawn), "doc_id")
+    rows = rows.select(F.xxhash64("doc_id").alias("a"), F.sha2("text", 256).alias("b"), F.col("toxic").cast("int").alias("toxic"), "text")
+    apart = drawn.count() >= 30
+    held = F.pmod(F.hash("a", F.lit("held")), F.lit(3)) == 0
+    pack = lambda text: BAG_END.join(WORD_END.join(bag) for bag in sentence_bags(text))
+    bags = F.arrow_udf(lambda texts: pa.array([pack(t.as_py()) for t in texts], pa.binary()), "binary")
+    taught = (rows.filter(~held) if apart else rows).select("a", "b", "toxic", bags("text").alias("bags")).collect()
+    model = fit([(bytes(r.bags), r.toxic) for r in sorted(taught, key=lambda r: (r.a, r.b))[: sum(samples)]])
+    del taught
+    if model.slope:
+        found = scored(rows.filter(held) if apart else rows, model, "_top").select("a", "b", "toxic", "_top").collect()
+        found = sorted(found, key=lambda r: (r.a, r.b))[: sum(samples)]
+        top = np.array([r["_top"] for r in found])
+        top = np.log(np.maximum(top, 1e-12) / np.maximum(1 - top, 1e-12))
+        model.slope, model.offset = _logistic(top, np.array([float(r.toxic) for r in found]))
+    return model
 
 
 def _scorer(model: Model) -> Callable:
@@ -348,7 +494,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with a toxicity score from 0 to 1 in a column ``name``.
 
     Null and empty texts score as texts without words, the lowest. Rows,
-    repeated ones too, stay as they are; other columns stay.
+    repeated ones too, stay as they are; other columns stay, and a taken ``name`` fails.
     """
     return annotated(docs, name, _scorer(model), "double", "text")
 

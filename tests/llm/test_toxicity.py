@@ -76,6 +76,45 @@ def test_gaps_and_odd_rows(spark, model):
     assert got[4] == got[5] == got[6] < 0.1 and got[7] < 0.5 and got[8] < 0.5
 
 
+INSERTED = ["idxiot", "ixdiot", "idixot", "idiiiot", "sxtupid", "stuxpid", "stuupid", "mooron", "stu pid", "i diot", "you are an idxiot"]
+ALIKE = ["studio", "studied", "idiom", "cupid", "patriot", "stuff and", "the student", "stupor", "rapid", "period", "radio", "ideal", "insipid", "chariot"]
+
+
+def test_inserted_letters(model):
+    """A foreign letter at any place, a letter repeated and a space inside; clean look-alikes stay far below."""
+    got = dict(zip(INSERTED + ALIKE, model.scores(pa.array(INSERTED + ALIKE)).tolist()))
+    assert all(got[w] >= toxicity.THRESHOLD for w in INSERTED), got
+    assert all(got[w] < 0.1 for w in ALIKE), got
+
+
+def test_tolerant_decisions_against_every_copy(model):
+    words = ["stupid", "sxtupid", "stuuupid", "aab", "the", "abcdefghij" * 4, "sxtupid"]
+    framed = [codes(w)[0] for w in words]
+    starts = np.cumsum([0] + [len(w) for w in framed])[:-1]
+    got = toxicity.tolerant(model.weights, model.bias, np.concatenate(framed), starts)
+    one = lambda w: toxicity.decisions(model.weights, model.bias, np.array(w), np.zeros(1, np.int64))[0]
+    for g, w in zip(got, framed):
+        w, best = w.tolist(), [one(w)]
+        if toxicity.SHORTENED[0] <= len(w) - 2 <= toxicity.SHORTENED[1]:
+            best += [one(w[:i] + w[i + 1 :]) - toxicity.LEFT_OUT for i in range(1, len(w) - 1)]
+        once = [c for i, c in enumerate(w) if not i or c != w[i - 1]]
+        if once != w:
+            best.append(one(once) - toxicity.LEFT_OUT)
+        assert abs(g - max(best)) < 1e-9
+
+
+def test_whole_texts_teach(spark):
+    """An insult behind 200,000 letters teaches; a third of the documents sets the logistic."""
+    filler = " ".join(f"plain words number {k} of the text." for k in range(6000))
+    name = lambda i: "".join(chr(97 + (7 * i + 3 * k * k) % 26) for k in range(6))
+    rows = [(i, f"{filler} you are a blockhead {name(i)}.", 1) for i in range(24)] + [(100 + i, f"{filler} you are a reader {name(i + 24)}.", 0) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    got = toxicity.trained(df, df).scores(pa.array(["you are a blockhead", "you are a reader", "b.l.o.c.k.h.e.a.d", "a blockxhead", None]))
+    assert min(got[[0, 2, 3]]) > 0.7 and max(got[[1, 4]]) < 0.3
+    bags = toxicity.sentence_bags("word " * 500 + ". " + "x" * 1000 + ". end it")
+    assert len(bags) == 3 and max(len(w) for b in bags for w in b) <= toxicity.LONGEST
+
+
 def test_untaught(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, toxic int")
     model = toxicity.trained(empty, empty)
