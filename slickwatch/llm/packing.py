@@ -1,7 +1,10 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Each source is a queue of tokens (all sources beyond the ``QUEUES - 1`` largest
-share one queue; none is left out). Every window of ``WINDOW`` tokens takes from
+Each source is a queue of tokens. All sources beyond the ``QUEUES - 1`` largest share
+one queue, inside which they take turns of their own: round after round each gives
+what it owes by its target, so that every stretch of the queue has the mixture of
+its sources. Turns are a table keyed by source and round, not a plan in one task, so
+there may be any number of sources. Every window of ``WINDOW`` tokens takes from
 each queue its target proportion. What a queue is owed and did not get whole is
 its deficit, carried to the next window.
 
@@ -226,6 +229,63 @@ class Plan:
         return (low - start)[some], (high - low)[some], windows[some], (ahead + low - before)[some]
 
 
+def turns(tail: DataFrame, owed: float) -> DataFrame:
+    """source, n, phase, rate, late of each source of the shared queue; ``tail``: source, n, share (all of them, or none above 0).
+
+    Before round r a source has given ``least(n, floor(rate r + phase))`` tokens, with a
+    rate of its share of the ``owed`` tokens a round; phases, from a hash of the name,
+    keep small sources from coming in clumps. Sources without a share begin in
+    round ``late``, when the others are through.
+    """
+    sums = tail.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("share") > 0, F.col("share"))).alias("share"), F.sum(F.when(F.col("share") > 0, 0).otherwise(F.col("n"))).alias("rest")).first()
+    if not sums.n:
+        return tail.select("source", "n", F.lit(0.0).alias("phase"), F.lit(1.0).alias("rate"), F.lit(0).cast("long").alias("late"))
+    phase = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    first = F.when(F.col("share") > 0, F.col("share") / F.lit(float(sums.share or 1.0)) * F.lit(owed))
+    rest = F.col("n") / F.lit(float(sums.rest or 1)) * F.lit(owed)
+    found = tail.select("source", "n", phase.alias("phase"), first.isNull().alias("rest"), F.coalesce(first, rest).alias("rate"))
+    last = found.filter("NOT rest").agg(F.max(F.ceil(F.col("n") / F.col("rate")))).first()[0] or 0
+    return found.select("source", "n", "phase", "rate", F.when(F.col("rest"), F.lit(int(last) + 1)).otherwise(F.lit(0)).cast("long").alias("late"))
+
+
+def _given(r) -> F.Column:
+    return F.least(F.col("n_source"), F.floor(F.col("rate") * r + F.col("phase"))).cast("long")
+
+
+def _round(token) -> F.Column:
+    """The round that gives a source's token; the quotient may be one off."""
+    near = F.greatest(F.lit(0), F.ceil((token + 1 - F.col("phase")) / F.col("rate")) - 1).cast("long")
+    return F.when(_given(near) > token, near - 1).when(_given(near + 1) <= token, near + 1).otherwise(near)
+
+
+def interleaved(runs: DataFrame, tokens: DataFrame, owed: float) -> DataFrame:
+    """part, source, at, parts: where the stretches of each document of the shared queue lie in it.
+
+    ``runs``: part, source, n, base (tokens of the source in earlier tasks), share.
+    parts: (skip, length, place) of each stretch, in order; their number is bounded by
+    the document's length.
+    """
+    tail = runs.groupBy("source").agg(F.sum("n").alias("n"), F.max("share").alias("share"))
+    turn = staged(turns(tail, owed).withColumnRenamed("n", "n_source"), "turns")
+    own = tokens.select("part", "source", "at", "n").join(runs.select("part", "source", "base"), ["part", "source"]).join(turn, "source")
+    own = own.withColumn("token", F.col("at") + F.col("base"))
+    each = own.withColumn("r", F.explode(F.sequence(_round(F.col("token")), _round(F.col("token") + F.col("n") - 1))))
+    low = F.greatest(F.col("token"), _given(F.col("r")))
+    high = F.least(F.col("token") + F.col("n"), _given(F.col("r") + 1))
+    each = each.select("part", "source", "at", (F.col("r") + F.col("late")).alias("r"), (low - F.col("token")).alias("skip"), (high - low).alias("length"), (low - _given(F.col("r"))).alias("inside")).filter("length > 0")
+    each = staged(each, "stretches")
+    # Tokens before each source's turn: sums within blocks of rounds, and of the blocks before.
+    takes = each.groupBy("r", "source").agg(F.sum("length").alias("n")).withColumn("block", F.floor(F.col("r") / 1024))
+    up_to = (Window.unboundedPreceding, Window.currentRow)
+    blocks = takes.groupBy("block").agg(F.sum("n").alias("m"))
+    blocks = blocks.select("block", (F.sum("m").over(Window.orderBy("block").rowsBetween(*up_to)) - F.col("m")).alias("ahead"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("r", "source").rowsBetween(*up_to)) - F.col("n")
+    places = takes.withColumn("before", inside).join(blocks, "block").select("r", "source", (F.col("ahead") + F.col("before")).alias("place"))
+    met = each.join(places, ["r", "source"]).select("part", "source", "at", F.struct("skip", "length", (F.col("place") + F.col("inside")).alias("place")).alias("x"))
+    return met.groupBy("part", "source", "at").agg(F.sort_array(F.collect_list("x")).alias("parts"))
+
+
+STRETCHES = "array<struct<skip: bigint, length: bigint, place: bigint>>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -235,8 +295,9 @@ def pieces(docs: DataFrame, path: str, shares: dict | None = None, window: int =
     ``shares`` gives target proportions by source; without it each source gets
     its share of all tokens. Null text is empty (its end token only), null source
     is the empty source; rows that repeat are packed each. Empty in, empty out;
-    other columns are not read. At most ``queues`` names and the plan, bounded by
-    the number of queues, reach the driver and the tasks.
+    other columns are not read. Sources beyond the ``queues - 1`` largest keep their
+    targets within the queue they share. At most ``queues`` names and the plan, bounded
+    by the number of queues, reach the driver and the tasks.
     """
     tokens = staged(tokenised(docs, path), "tokens")
     runs = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
@@ -259,15 +320,37 @@ def pieces(docs: DataFrame, path: str, shares: dict | None = None, window: int =
     inside = F.sum("n").over(Window.partitionBy("queue", "part").orderBy("source").rowsBetween(*up_to)) - F.col("n")
     places = runs.withColumn("inside", inside).join(tasks, ["queue", "part"])
     places = staged(places.select("part", "source", "queue", (F.col("base") + F.col("inside")).alias("base")), "places")
-    placed = tokens.join(places, ["part", "source"]).select("doc_id", "n", "ids", "queue", (F.col("base") + F.col("at")).alias("at"))
+    placed = tokens.join(places, ["part", "source"]).select("doc_id", "n", "ids", "queue", (F.col("base") + F.col("at")).alias("at"), F.lit(None).cast(STRETCHES).alias("parts"))
+    if totals[-1]:
+        shared = F.col("queue") == len(names)
+        by_source = Window.partitionBy("source").orderBy("part").rowsBetween(*up_to)
+        tail = runs.filter(shared).withColumn("base", F.sum("n").over(by_source) - F.col("n"))
+        share = F.col("n").cast("double")
+        if shares is not None:
+            given = tokens.sparkSession.createDataFrame([(k, float(v)) for k, v in shares.items()], "source string, share double")
+            tail, share = tail.join(given, "source", "left"), F.coalesce("share", F.lit(0.0))
+        else:
+            share = F.sum("n").over(Window.partitionBy("source")).cast("double")
+        tail = staged(tail.withColumn("share", share).select("part", "source", "n", "base", "share"), "tail")
+        goal_of = np.array(totals if goal is None else goal, float)
+        owed = max(1.0, window * (goal_of[-1] / goal_of.sum() if goal_of[-1] else 1.0))
+        rest = tokens.join(tail.select("source").distinct(), "source", "left_semi")
+        parts = interleaved(tail, rest, owed)
+        cut = rest.join(parts, ["part", "source", "at"]).select("doc_id", "n", "ids", F.lit(len(names)).alias("queue"), "at", F.col("parts").cast(STRETCHES).alias("parts"))
+        placed = placed.filter(~shared).unionByName(cut)
 
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 out = []
-                for doc_id, n, ids, q, at in zip(*(c.to_pylist() for c in batch.slice(first, 256).columns)):
+                for doc_id, n, ids, q, at, parts in zip(*(c.to_pylist() for c in batch.slice(first, 256).columns)):
                     wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
-                    start, length, where, offset = plan.cut(q, at, n)
+                    if parts is None:
+                        start, length, where, offset = plan.cut(q, at, n)
+                    else:
+                        cuts = [plan.cut(q, x["place"], x["length"]) for x in parts]
+                        start = np.concatenate([c[0] + x["skip"] for c, x in zip(cuts, parts)])
+                        length, where, offset = (np.concatenate([c[k] for c in cuts]) for k in (1, 2, 3))
                     view = memoryview(wide).cast("B")
                     crc = [zlib.crc32(view[4 * i : 4 * (i + k)]) for i, k in zip(start.tolist(), length.tolist())]
                     out.append((doc_id, start, length, np.array(crc, np.int64), n, where, offset))

@@ -85,6 +85,47 @@ def test_odd_rows(spark, library):
     check(library, [r[:2] for r in rows], got, 64)
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_many_sources_keep_their_targets(spark, library, given):
+    """200 sources, eight queues: each of the shared queue's sources stays within its target in every stretch of windows."""
+    rows, k = [], 0
+    for s in range(200):
+        for _ in range(40 if s < 7 else 4 + s % 5):
+            rows.append((k, " ".join(f"w{(k * 31 + j) % 997}" for j in range(5 + k % 40)), f"s{s:03d}"))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    shares = {f"s{s:03d}": 1.0 + s % 3 for s in range(200)} if given else None
+    got = packing.pieces(docs, PATH, shares=shares, window=512, queues=8).collect()
+    check(library, [r[:2] for r in rows], got, 512)
+    source = {r[0]: r[2] for r in rows}
+    total, taken = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in got:
+        total[source[r.doc_id]] += r.length
+        taken[source[r.doc_id]][r.sequence_id] += r.length
+    large = sorted(total, key=lambda s: (-total[s], s))[:7]
+    last = max(w for t in taken.values() for w in t)
+    tail = [s for s in total if s not in large]
+    whole = np.array([sum(taken[s][w] for s in tail) for w in range(last + 1)])
+    share = {s: (shares or total)[s] for s in tail}
+    until = min(max(w for w, n in taken[s].items() if n) for s in tail) if given else last - 2  # by then none of them has run out
+    assert until > 10
+    for s in tail:
+        own = np.cumsum([taken[s][w] for w in range(until)])
+        want = np.cumsum(whole[:until]) * share[s] / sum(share.values())
+        room = 3 + max(share[s] / sum(share.values()) * 512, 1)
+        assert np.abs(own - want).max() <= room, (s, np.abs(own - want).max(), room)
+
+
+def test_shared_queue_without_shares(spark, library):
+    """Sources of the shared queue without a target come after those with one; ties and one token each."""
+    rows = [(k, "", f"t{k:02d}") for k in range(60)] + [(100 + k, "word " * 300, "big") for k in range(3)] + [(200, "x y z " * 40, "with")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pieces(docs, PATH, shares={"big": 1.0, "with": 1.0}, window=64, queues=2).collect()
+    check(library, [r[:2] for r in rows], got, 64)
+    first = min((r.sequence_id, r.offset) for r in got if r.doc_id < 60)
+    assert first > max((r.sequence_id, r.offset) for r in got if r.doc_id == 200)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert packing.pieces(docs, PATH).collect() == []
