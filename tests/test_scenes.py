@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
 from slickwatch.operators import ensembles as ens
+from slickwatch.operators import forcing as fc
 from slickwatch.operators import grouping, land
 from slickwatch.operators import raster as ra
 from slickwatch.operators.ordered import distributed_rank, grouped_percentiles
@@ -182,3 +183,20 @@ def test_groups_without_active_particles(spark):
     assert (got["h2"].particle_count, got["h2"].ring, got["h2"].geometry_type) == (0, None, None)
     valid = {r.hypothesis: r.validity for r in ens.region_validity(ens.source_envelopes(df).withColumn("forcing_fraction", F.lit(0.9))).collect()}
     assert valid == {"h1": "PARTIAL", "h2": "INVALID"}
+
+
+def test_hulls_of_groups_cut_by_batches(spark):
+    """A group that goes on in the next batch gives one ring, whatever order its keys were first seen in."""
+    rows = [
+        (h, horizon, 10.0 * h + float(np.cos(k)), horizon + float(np.sin(k)))
+        for h in range(12) for horizon in (24, 48, 72, 96) if h or horizon > 48 for k in range(12)
+    ]
+    df = spark.createDataFrame(rows, "hypothesis long, horizon int, lon double, lat double").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "31")
+    try:
+        got = ens.convex_hulls(df, ["hypothesis", "horizon"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 46 and {(r.hypothesis, r.horizon) for r in got} == {r[:2] for r in rows}
+    assert {len(r.ring) for r in got} == {13}
