@@ -251,7 +251,8 @@ def wet_cells(points: DataFrame, grid: DataFrame, pair: tuple[str, str], key: st
     """Position whose forcing a candidate really uses, and its offset.
 
     Its own position when interpolation works there, else the valid patch cell
-    nearest by great circle, else the nearest cell whatever it holds.
+    nearest by great circle, else the nearest cell whatever it holds. A point whose
+    dataset has no grid has no position and no offset.
     """
     pairs = {"c": pair}
     placed = _placed(points, grid)
@@ -285,12 +286,12 @@ def wet_cells(points: DataFrame, grid: DataFrame, pair: tuple[str, str], key: st
 
 
 def offset_summary(wet: DataFrame, by: list[str]) -> DataFrame:
-    """Largest and median offset and unsupported candidates per group."""
+    """Largest and median offset and unsupported candidates per group; null offsets where no candidate has one."""
     totals = wet.groupBy(*by).agg(
         F.max("offset_m").alias("max_offset_m"),
         F.count_if(F.col("support") != "VALID").alias("unsupported"),
     )
-    return totals.join(grouped_percentiles(wet, by, "offset_m", {"median_offset_m": 0.5}, 1.0), by)
+    return totals.join(grouped_percentiles(wet, by, "offset_m", {"median_offset_m": 0.5}, 1.0), by, "left")
 
 
 def combined_status(wind="wind_status", current="current_status") -> Column:

@@ -200,3 +200,14 @@ def test_hulls_of_groups_cut_by_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == 46 and {(r.hypothesis, r.horizon) for r in got} == {r[:2] for r in rows}
     assert {len(r.ring) for r in got} == {13}
+
+
+def test_points_without_a_grid_have_no_offset(spark):
+    cells = [(1, 0, y, x, 0, -20.0 + y * 0.1, 57.0 + x * 0.1, 0.1, 0.2) for y in range(3) for x in range(3)]
+    grid = spark.createDataFrame(cells, "ds long, ti long, yi long, xi long, t_s long, lat double, lon double, u double, v double")
+    points = spark.createDataFrame([(1, 1, -19.95, 57.05, 0), (2, 2, -19.95, 57.05, 0)], "point_id long, ds long, lat double, lon double, t_s long")
+    wet = fc.wet_cells(points, grid, ("u", "v"))
+    got = {r.point_id: r for r in wet.collect()}
+    assert got[1].offset_m > 0 and (got[2].actual_lat, got[2].offset_m, got[2].support) == (None, None, "VALID")
+    sums = {r.ds: r for r in fc.offset_summary(wet, ["ds"]).collect()}
+    assert sums[1].median_offset_m == got[1].offset_m and (sums[2].max_offset_m, sums[2].median_offset_m, sums[2].unsupported) == (None, None, 0)
