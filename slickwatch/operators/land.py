@@ -78,7 +78,8 @@ def memberships(
     """Points inside a polygon or within ``reach`` of its outline: ``key``, ``polygon``, inside, near.
 
     ``key`` identifies a point, ``also`` are columns both sides must share. A
-    point on an outline is not inside.
+    point on an outline is not inside. Nothing that grows with the polygons is
+    broadcast: its size packed says little of what the driver would hold.
     """
     also = also or []
     on = [*also, "_cx", "_cy"]
@@ -88,7 +89,7 @@ def memberships(
     local = _edge_cells(edges, size, reach)
     marks = _marked_cells(edges, own, size)
     with_edges = local.select(*own, "_cx", "_cy").distinct()
-    whole = marks.join(with_edges, [*own, "_cx", "_cy"], "left_anti")
+    whole = marks.join(with_edges.hint("merge"), [*own, "_cx", "_cy"], "left_anti")
     start = marks.withColumn("_in", F.lit(1))
     rx, ry = (F.col("_cx") + REFERENCE) * size, (F.col("_cy") + REFERENCE) * size
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -105,11 +106,11 @@ def memberships(
         & py.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
     )
     met = (
-        p.join(local, on)
+        p.join(local.hint("merge"), on)
         .select(*key, *own, "_cx", "_cy", (level + plumb).alias("_odd"), touching.alias("_on"), gap.alias("_gap"))
         .groupBy(*dict.fromkeys([*key, *own]), "_cx", "_cy")
         .agg(F.sum("_odd").alias("_odd"), F.max("_on").alias("_on"), F.min("_gap").alias("_gap"))
-        .join(start, [*own, "_cx", "_cy"], "left")
+        .join(start.hint("merge"), [*own, "_cx", "_cy"], "left")
         .select(
             *dict.fromkeys([*key, *own]),
             (((F.col("_odd") + F.coalesce("_in", F.lit(0))) % 2 == 1) & ~F.col("_on")).alias("inside"),
@@ -117,26 +118,28 @@ def memberships(
         )
         .filter("inside OR near")
     )
-    held = p.join(whole, on).select(*dict.fromkeys([*key, *own]), F.lit(True).alias("inside"), F.lit(False).alias("near"))
+    held = p.join(whole.hint("merge"), on).select(*dict.fromkeys([*key, *own]), F.lit(True).alias("inside"), F.lit(False).alias("near"))
     return met.unionByName(held)
 
 
 def with_ids(polygons: DataFrame, name: str = "_polygon") -> DataFrame:
-    """``ring`` and ``holes`` with a number for each row, written once so that the numbers stay."""
+    """``ring`` and ``holes`` with a number for each shape, written once so that the numbers stay; equal rows are one shape."""
     columns = [c for c in ("ring", "holes") if c in polygons.columns]
-    return staged(polygons.select(*columns, F.monotonically_increasing_id().alias(name)), "polygons")
+    return staged(polygons.select(*columns).distinct().withColumn(name, F.monotonically_increasing_id()), "polygons")
 
 
-def classify_pixels(pixels: DataFrame, land: DataFrame, size: float = 0.02, key: tuple[str, ...] = ("scene_id", "y", "x")) -> DataFrame:
+def classify_pixels(pixels: DataFrame, land: DataFrame, size: float = 0.02) -> DataFrame:
     """Class of each pixel centre (lon, lat): 0 land, 1 ocean, 2 coastal buffer.
 
     ``land`` has ``ring`` and perhaps ``holes``; water in a hole is water, and its
-    shore has a buffer. Polygons may overlap. ``key`` names a pixel.
+    shore has a buffer. Polygons may overlap. Pixels of scenes on one grid share
+    their centres, and a place is classified once.
     """
     edges = polygon_edges(with_ids(land), ["_polygon"])
-    found = memberships(pixels, edges, size, "lon", "lat", list(key), "_polygon", reach=BUFFER_DEG)
-    classes = found.groupBy(*key).agg(F.max("inside").alias("_land"))
-    df = pixels.join(classes, list(key), "left")
+    places = pixels.select("lon", "lat").distinct()
+    found = memberships(places, edges, size, "lon", "lat", ["lon", "lat"], "_polygon", reach=BUFFER_DEG)
+    classes = found.groupBy("lon", "lat").agg(F.max("inside").alias("_land"))
+    df = pixels.join(classes, ["lon", "lat"], "left").select(*pixels.columns, "_land")
     return df.withColumn("land_class", F.when(F.col("_land"), LAND).when(F.col("_land").isNotNull(), BUFFER).otherwise(OCEAN)).drop("_land")
 
 
@@ -152,7 +155,7 @@ def candidate_overlap(candidates: DataFrame, classed: DataFrame, size: float = 0
         F.count_if(F.col("land_class") == LAND).alias("land_pixels"),
         F.count_if(F.col("land_class") != OCEAN).alias("buffer_pixels"),
     )
-    df = candidates.select("candidate_id").join(counts, "candidate_id", "left")
+    df = candidates.select("candidate_id").join(counts.hint("merge"), "candidate_id", "left")
     n = F.greatest(F.coalesce("pixels", F.lit(0)), F.lit(1))
     land, buf = F.coalesce("land_pixels", F.lit(0)) / n, F.coalesce("buffer_pixels", F.lit(0)) / n
     return df.select(
@@ -267,7 +270,7 @@ def distance_to_land(candidates: DataFrame, land: DataFrame) -> DataFrame:
     the edges whose box is not beyond it; a tighter bound from those edges' ends;
     and only what is left is measured. A candidate whose first corner is on land has
     distance 0; one in a lake is measured to its shore. Without any land all
-    candidates get NO_LAND_M.
+    candidates get NO_LAND_M. Equal outlines, of land or of candidates, are measured once.
     """
     lands = with_ids(land)
     edges = polygon_edges(lands, ["_polygon"], project=True)
@@ -275,8 +278,9 @@ def distance_to_land(candidates: DataFrame, land: DataFrame) -> DataFrame:
         for axis in "xy":
             edges = edges.withColumn(f"e_{side}_{axis}", pick(f"{axis}1", f"{axis}2"))
     edges = staged(edges, "land-edges")
+    shapes = with_ids(candidates.select("ring"), "_shape")
     ring = geo.equal_area_ring(F.col("ring"))
-    todo = candidates.select("candidate_id", ring.alias("ring")).withColumn("_b", geo.ring_bbox(F.col("ring")))
+    todo = shapes.select(F.col("_shape").alias("candidate_id"), ring.alias("ring")).withColumn("_b", geo.ring_bbox(F.col("ring")))
     boxes = [F.col(f"_b.{side}_{axis}").alias(f"c_{side}_{axis}") for side in ("min", "max") for axis in "xy"]
     todo = staged(todo.select("candidate_id", "ring", F.col("ring")[0]["x"].alias("px"), F.col("ring")[0]["y"].alias("py"), *boxes), "candidates")
     spans = [
@@ -284,7 +288,7 @@ def distance_to_land(candidates: DataFrame, land: DataFrame) -> DataFrame:
         for df, p in ((todo, "c"), (edges, "e"))
     ]
     if any(x.min_x is None for x in spans):
-        return todo.select("candidate_id", F.lit(NO_LAND_M).alias("distance_m"))
+        return candidates.select("candidate_id", F.lit(NO_LAND_M).alias("distance_m"))
     sizes = _levels(spans, spans[1].n)
     bounded = todo.join(_first_bounds(todo, edges, sizes), "candidate_id").drop("ring")
     pairs = staged(near_edges(bounded, edges, sizes), "near-edges")
@@ -296,4 +300,8 @@ def distance_to_land(candidates: DataFrame, land: DataFrame) -> DataFrame:
     spot = math.sqrt((spans[1].max_x - spans[1].min_x + 1.0) * (spans[1].max_y - spans[1].min_y + 1.0) / max(spans[1].n, 1))
     ashore = memberships(todo, edges.select("_polygon", "x1", "y1", "x2", "y2"), spot, "px", "py", ["candidate_id"], "_polygon").filter("inside")
     on_land = ashore.select("candidate_id").distinct().withColumn("_in", F.lit(True))
-    return measured.join(on_land, "candidate_id", "left").select("candidate_id", F.when(F.col("_in"), 0.0).otherwise(F.col("distance_m")).alias("distance_m"))
+    measured = measured.join(on_land, "candidate_id", "left").select(
+        F.col("candidate_id").alias("_shape"), F.when(F.col("_in"), 0.0).otherwise(F.col("distance_m")).alias("distance_m")
+    )
+    known = shapes.select("_shape", "ring").join(measured, "_shape")
+    return candidates.select("candidate_id", "ring").join(known.hint("merge"), "ring").select("candidate_id", "distance_m")

@@ -15,7 +15,7 @@ from slickwatch.plans.registry import Tables, query, rnd
 from slickwatch.plans.scene import located, prioritised, triaged
 from slickwatch.plans.vessel import RINGS, TEMPLATE_ROWS, add_ring
 from slickwatch.plans.views import ORACLE_VIEWS
-from slickwatch.session import cut_lineage
+from slickwatch.session import cut_lineage, spread
 
 WINDOWS = (9, 21)
 LIMIT = 0.15
@@ -70,7 +70,7 @@ def land(t: Tables) -> DataFrame:
 
 
 def candidate_rings(t: Tables) -> DataFrame:
-    df = t.view("v_candidates")
+    df = spread(t.view("v_candidates"), "ordinal")
     ring = geo.ring_from_offsets("c_lon", "c_lat", RINGS[0], F.col("half_width") / 0.04)
     return df.withColumn("ring", ring)
 

@@ -145,3 +145,26 @@ def test_pairs_do_not_grow_with_the_square(spark, monkeypatch):
         cands = spark.range(0, n, 1, 3).select(F.col("id").alias("candidate_id"), at[0].alias("a"), at[1].alias("b")).select("candidate_id", shape(0.02 / math.sqrt(n)).alias("ring"))
         assert land.distance_to_land(cands, lands).count() == n
     assert counts[1] < 15 * counts[0]
+
+
+def test_copies_of_land_places_and_outlines_are_met_once(spark, monkeypatch):
+    """More copies of the same land, pixels and candidates give the same results, but no more pairs."""
+    rng, met = np.random.default_rng(11), []
+    inside, near = land.memberships, land.near_edges
+    monkeypatch.setattr(land, "memberships", lambda points, edges, *a, **k: met.append((points.count(), edges.count())) or inside(points, edges, *a, **k))
+    monkeypatch.setattr(land, "near_edges", lambda todo, edges, sizes: met.append((todo.count(), edges.count())) or near(todo, edges, sizes))
+    islands = [(ring(star(rng, 57 + k * 0.1, -20, 0.03)), [ring(box(57 + k * 0.1, -20, 0.004))]) for k in range(4)]
+    outlines = [ring(box(56.95 + 0.05 * k, -20.02, 0.01)) for k in range(6)]
+    places = [(56.98 + 0.01 * x, -20.03 + 0.01 * y) for x in range(12) for y in range(6)]
+    found = []
+    for copies in (1, 5):
+        lands = spark.createDataFrame(islands * copies, KIND)
+        cands = spark.createDataFrame([(f"{c}-{k}", o) for c in range(copies) for k, o in enumerate(outlines)], f"candidate_id string, ring {RING}")
+        pixels = spark.createDataFrame([(c, k, *p) for c in range(copies) for k, p in enumerate(places)], "scene_id long, x long, lon double, lat double")
+        classes = {(r.scene_id, r.x): r.land_class for r in land.classify_pixels(pixels, lands).collect()}
+        far = {r.candidate_id: r.distance_m for r in land.distance_to_land(cands, lands).collect()}
+        assert len(classes) == copies * len(places) and len(far) == copies * len(outlines)
+        assert all(classes[c, k] == classes[0, k] for c, k in classes) and all(far[i] == far["0-" + i.split("-")[1]] for i in far)
+        found.append(({k: v for k, v in classes.items() if not k[0]}, {k: v for k, v in far.items() if k[0] == "0"}, list(met)))
+        met.clear()
+    assert found[0] == found[1]
