@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from slickwatch.functions import geo
 from slickwatch.operators.ordered import grouped_percentiles
-from slickwatch.session import cut_lineage
+from slickwatch.session import cut_lineage, spread
 
 # Fixed values.
 WIND_DRIFT = 0.03
@@ -62,7 +62,8 @@ def _nearest(axis: str, value: Column, last_on_tie: bool) -> Column:
 
 
 def _index_at(axis: str, place: Column) -> Column:
-    return F.element_at(F.col(axis), (place + 1).cast("int"))["i"]
+    """Index at a 0-based place, null beyond the axis."""
+    return F.get(F.col(axis), place.cast("int"))["i"]
 
 
 def _outside() -> Column:
@@ -141,7 +142,9 @@ def _placed(points: DataFrame, grid: DataFrame) -> DataFrame:
         df = df.withColumn(f"_{tag}f", (F.col(value) - low) / (high - low))
         df = df.withColumn(f"_{tag}n", _nearest(axis, F.col(value), last_on_tie=True))
         df = df.withColumn(f"_{tag}p", _nearest(axis, F.col(value), last_on_tie=False))
-    return df.withColumn("_out", F.coalesce(_outside(), F.lit(True)))
+        df = df.withColumns({f"_{tag}i{d}": _index_at(axis, F.col(f"_{tag}0") + d) for d in (0, 1)})
+    many = (F.size("lats") > 1) & (F.size("lons") > 1) & (F.size("times") > 1)
+    return df.withColumns({"_out": F.coalesce(_outside(), F.lit(True)), "_many": many, "_ti": _index_at("times", F.col("_tn"))})
 
 
 def _corner_sums(placed: DataFrame, values: DataFrame, pairs: Pairs, key: str) -> DataFrame:
@@ -157,14 +160,13 @@ def _corner_sums(placed: DataFrame, values: DataFrame, pairs: Pairs, key: str) -
                 )
                 corners.append(
                     F.struct(
-                        _index_at("times", F.col("_t0") + dt).alias("ti"),
-                        _index_at("lats", F.col("_y0") + dy).alias("yi"),
-                        _index_at("lons", F.col("_x0") + dx).alias("xi"),
+                        F.col(f"_ti{dt}").alias("ti"),
+                        F.col(f"_yi{dy}").alias("yi"),
+                        F.col(f"_xi{dx}").alias("xi"),
                         weight.alias("w"),
                     )
                 )
-    enough = (F.size("lats") > 1) & (F.size("lons") > 1) & (F.size("times") > 1)
-    inside = placed.filter(~F.col("_out") & enough & F.col("_tf").between(0, 1))
+    inside = placed.filter(~F.col("_out") & F.col("_many") & F.col("_tf").between(0, 1))
     exploded = inside.select(key, "ds", F.explode(F.array(*corners)).alias("c")).select(
         key, "ds", "c.ti", "c.yi", "c.xi", "c.w"
     )
@@ -218,13 +220,15 @@ def forcing_at(points: DataFrame, grid: DataFrame, pairs: Pairs, key: str = "poi
     MISSING_DATA. Outside the box the value is 0 and OUT_OF_DOMAIN. Only the
     failing points take the second join.
     """
-    placed = cut_lineage(_placed(points, grid))
+    # Axes are long arrays, the same for all points of a dataset: only places on them are written.
+    placed = cut_lineage(_placed(spread(points, key), grid).drop("lats", "lons", "times"))
     values = _values(grid, pairs)
-    first = cut_lineage(placed.join(_corner_sums(placed, values, pairs, key), key, "left"))
+    first = placed.select(*points.columns, "_out", "_ti", "_yn", "_xn", "_yp", "_xp")
+    first = cut_lineage(first.join(_corner_sums(placed, values, pairs, key), key, "left"))
     lacking = reduce(lambda a, b: a | b, [F.col(f"{n}_u").isNull() for n in pairs])
+    failing = first.filter(~F.col("_out") & lacking).join(axes(grid), "ds")
     patch = (
-        first.filter(~F.col("_out") & lacking)
-        .select(key, "ds", _index_at("times", F.col("_tn")).alias("ti"), F.explode(_patch_cells(placed)).alias("c"))
+        failing.select(key, "ds", F.col("_ti").alias("ti"), F.explode(_patch_cells(failing)).alias("c"))
         .select(key, "ds", "ti", "c.yi", "c.xi", "c.o")
     )
     found = patch.join(values.withColumnsRenamed({f"{n}_{h}": f"_{n}_{h}" for n in pairs for h in "uv"}), ["ds", "ti", "yi", "xi"])
@@ -261,7 +265,7 @@ def wet_cells(points: DataFrame, grid: DataFrame, pair: tuple[str, str], key: st
     cells = grid.select("ds", "ti", "yi", "xi", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
     patch = (
         first.filter(F.col("c_u").isNull() & F.col("lats").isNotNull())
-        .select(key, "ds", "lat", "lon", _index_at("times", F.col("_tn")).alias("ti"), F.explode(_patch_cells(placed)).alias("c"))
+        .select(key, "ds", "lat", "lon", F.col("_ti").alias("ti"), F.explode(_patch_cells(placed)).alias("c"))
         .select(key, "ds", "lat", "lon", "ti", "c.yi", "c.xi", "c.o")
         .filter("o > 0")
         .join(values, ["ds", "ti", "yi", "xi"])

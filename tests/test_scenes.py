@@ -211,3 +211,28 @@ def test_points_without_a_grid_have_no_offset(spark):
     assert got[1].offset_m > 0 and (got[2].actual_lat, got[2].offset_m, got[2].support) == (None, None, "VALID")
     sums = {r.ds: r for r in fc.offset_summary(wet, ["ds"]).collect()}
     assert sums[1].median_offset_m == got[1].offset_m and (sums[2].max_offset_m, sums[2].median_offset_m, sums[2].unsupported) == (None, None, 0)
+
+
+def test_a_computed_ring_is_computed_once(spark):
+    """The area of a projected ring holds its projection once, not once an edge and corner."""
+    df = spark.range(1).select(geo.ring_from_offsets(F.lit(57.0), F.lit(-20.0), [(0, 0), (0.1, 0), (0, 0.1)]).alias("ring"))
+    text = df.select(geo.ring_area(geo.equal_area_ring(F.col("ring"))).alias("a"))._jdf.queryExecution().analyzed().toString()
+    assert text.lower().count("ln(") == 1
+
+
+def test_regions_of_a_small_file_are_not_broadcast(spark):
+    from slickwatch.plans.catalogue import QUERIES
+
+    plan = QUERIES["point_in_polygon"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_axes_are_not_written_with_every_point(spark, monkeypatch):
+    kept, cut = [], fc.cut_lineage
+    monkeypatch.setattr(fc, "cut_lineage", lambda df: kept.append(df.dtypes) or cut(df))
+    cells = [(1, t, y, x, t * 3600, -20.0 + y * 0.1, 57.0 + x * 0.1, 0.1, 0.2) for t in range(2) for y in range(3) for x in range(3)]
+    grid = spark.createDataFrame(cells, "ds long, ti long, yi long, xi long, t_s long, lat double, lon double, u double, v double")
+    points = spark.createDataFrame([(1, 1, -19.95, 57.05, 900), (2, 2, -19.95, 57.05, 0), (3, 1, -19.85, 57.05, 9000)], "point_id long, ds long, lat double, lon double, t_s long")
+    got = {r.point_id: (round(r.c_u, 9), r.c_status) for r in fc.forcing_at(points, grid, {"c": ("u", "v")}).collect()}
+    assert got == {1: (0.1, "VALID"), 2: (0.0, "OUT_OF_DOMAIN"), 3: (0.1, "VALID")}
+    assert len(kept) == 2 and not [c for types in kept for c, kind in types if kind.startswith("array")]
