@@ -236,3 +236,11 @@ def test_axes_are_not_written_with_every_point(spark, monkeypatch):
     got = {r.point_id: (round(r.c_u, 9), r.c_status) for r in fc.forcing_at(points, grid, {"c": ("u", "v")}).collect()}
     assert got == {1: (0.1, "VALID"), 2: (0.0, "OUT_OF_DOMAIN"), 3: (0.1, "VALID")}
     assert len(kept) == 2 and not [c for types in kept for c, kind in types if kind.startswith("array")]
+
+
+def test_seeds_of_a_small_table_are_drawn_in_many_tasks(spark, monkeypatch):
+    parts, cut = [], ens.cut_lineage
+    monkeypatch.setattr(ens, "cut_lineage", lambda df: parts.append(df.rdd.getNumPartitions()) or cut(df))
+    ring = geo.ring_from_offsets(F.lit(57.0), F.lit(-20.0), [(0, 0), (0.1, 0), (0, 0.1)])
+    polygons = spark.range(6).coalesce(1).select(F.col("id").cast("string").alias("candidate_id"), ring.alias("ring"))
+    assert ens.seed_particles(polygons, 3).count() == 18 and parts[0] == 4
