@@ -3,9 +3,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from slickwatch.operators import regions
+from slickwatch.operators import tracks as vessels
 from slickwatch.operators.spatial import salted_join, with_point_cell
 
 RING = "array<struct<x: double, y: double>>"
@@ -71,3 +73,28 @@ def test_no_join_on_the_case_alone(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert out.count() == 2000 and len(tasks) > 1 and "_salt" in plan
+
+
+@pytest.mark.parametrize("boundary", ["vertex", "segment"])
+def test_tracks_as_one_row_against_report_by_report(spark, boundary):
+    """Short tracks meet the regions without a shuffle of pairs, and like tracks of any length; large cases are told by their reports."""
+    rng = random.Random(5)
+    p = spark.createDataFrame(tracks(rng, 6, 40), "case_id int, mmsi string, lat double, lon double, sec long")
+    r = spark.createDataFrame(areas(rng), f"case_id int, region_id int, ring {RING}, eligible boolean").drop("eligible")
+    p = p.select("*", F.timestamp_seconds("sec").alias("ts"), F.monotonically_increasing_id().alias("ordinal"))
+    p = p.select("*", F.lit("V").alias("vessel_name"), F.lit("T").alias("vessel_type"), (F.col("sec") % 13 * 1.0).alias("sog"), (F.col("sec") % 360 * 1.0).alias("cog"))
+    r = r.select("*", F.lit("C").alias("candidate_id"), F.lit(24).alias("horizon_hours"), F.lit(-20.0).alias("c_lat"), F.lit(57.0).alias("c_lon"), F.lit(True).alias("eligible"))
+    keys = ["case_id", "mmsi"]
+    long = vessels.vessel_profiles(vessels.with_previous(p, keys), keys).drop("mean_sog")  # its last digits hang on the order of the sum
+    short = vessels.vessel_profiles(vessels.with_previous(p.repartition("case_id"), keys, whole=True), keys, whole=True, reports=regions.report())
+    assert sorted(short.select(long.columns).collect()) == sorted(long.collect())
+    by_report = regions.track_region_distance(p, r, long, boundary, carry=["end_ts"])
+    by_track = regions.track_region_distance(None, r, short, boundary, carry=["end_ts"])
+    want = sorted(by_report.collect())
+    assert want and sorted(by_track.collect()) == want
+    plan = regions.track_region_distance(None, r, short, boundary)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2  # reports and regions, once each
+    few, many = regions.split_cases(p, 10**9)
+    assert many is None and few.count() == p.count()
+    few, many = regions.split_cases(p, 0)
+    assert few.count() == 0 and many.count() == p.count()
