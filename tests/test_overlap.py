@@ -99,3 +99,18 @@ def test_arrivals_on_a_concave_candidate(spark):
     assert got[1].centroid_distance_km >= 0 and got[1].equivalent_radius_km > 0 and got[1].iou == 0 and got[1].convex_hull_area_km2 < 1e-6
     assert (got[2].stranded_count, got[2].stranded_fraction, got[2].iou, got[2].convex_hull_area_km2, got[2].median_distance_km) == (2, 1.0, 0.0, 0.0, 999.0)
     assert (got[3].stranded_count, got[3].stranded_fraction, got[3].iou) == (1, 0.2, 0.5)
+
+
+def test_distances_of_small_and_large_clouds(spark):
+    """Percentiles by sorted arrays and by bins are the same, and what needs no hull makes none."""
+    live = spark.range(900).select((F.col("id") % 2).alias("hypothesis"), F.when(F.col("id") % 4 != 1, F.pow(F.col("id") * 7919 % 991, 1.5)).alias("_km"))
+    sizes = live.groupBy("hypothesis").agg(F.count("*").alias("active_count"))
+    got = [sorted(ens._percentiles(live, ["hypothesis"], sizes, held).collect()) for held in (10**6, 449, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2 and got[0][0].median_distance_km is not None
+    p = spark.range(400).select(F.lit(1).alias("hypothesis"), (F.col("id") % 7 * 0.01 - 20.0).alias("lat"), (F.col("id") % 11 * 0.01 + 57.0).alias("lon"), F.lit(0).alias("status"))
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(57.0, -20.0), (57.05, -20.0), (57.05, -19.9), (57.0, -20.0)]])
+    t = spark.range(1).select(F.lit(1).alias("hypothesis"), ring.alias("ring"))
+    whole, plain = ens.arrival_metrics(p, t, ["hypothesis"]), ens.arrival_metrics(p, t, ["hypothesis"], shape=False)
+    assert set(whole.columns) - set(plain.columns) == {"iou", "convex_hull_area_km2"}
+    assert whole.select(plain.columns).collect() == plain.collect()
+    assert plain.select(ens.closure_class(plain)).count() == 1
