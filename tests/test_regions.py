@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from slickwatch.operators import regions
 from slickwatch.operators import tracks as vessels
 from slickwatch.operators.spatial import salted_join, with_point_cell
+from slickwatch.plans import vessel as vessel_plans
+from slickwatch.plans.registry import Tables
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -98,3 +100,36 @@ def test_tracks_as_one_row_against_report_by_report(spark, boundary):
     assert many is None and few.count() == p.count()
     few, many = regions.split_cases(p, 0)
     assert few.count() == 0 and many.count() == p.count()
+
+
+def test_short_tracks_against_report_by_report(spark):
+    """Tracks of up to six reports, some of them inside a region: the reports written out, and those after them, count alike."""
+    rng = random.Random(11)
+    live = areas(rng)
+    rows = [(1, f"s{n}-{v}", lat, lon, sec) for n in range(1, 7) for _, v, lat, lon, sec in tracks(rng, 4, n) if v != "anchored"]
+    for n in range(1, 7):  # the last report alone, the first alone, or all lie in the middle of a region
+        mid = [sum(q[k] for q in live[n][2][:-1]) / 12 for k in ("y", "x")]
+        rows += [(1, f"{kind}{n}", *(mid if hit(k, n) else (-18.0, 55.0)), 60 * (n - k)) for kind, hit in INSIDE.items() for k in range(n)]
+    r = spark.createDataFrame(live, f"case_id int, region_id int, ring {RING}, eligible boolean")
+    r = r.select("*", F.lit("C").alias("candidate_id"), F.lit(24).alias("horizon_hours"), F.lit(-20.0).alias("c_lat"), F.lit(57.0).alias("c_lon"))
+    p = spark.createDataFrame(rows, "case_id int, mmsi string, lat double, lon double, sec long").coalesce(1)
+    p = p.select("*", F.timestamp_seconds("sec").alias("ts"), F.lit("V").alias("vessel_name"), F.lit("T").alias("vessel_type"))
+    profiles = p.groupBy("case_id", "mmsi", "vessel_name", "vessel_type").agg(
+        F.lit(10.0).alias("median_gap_minutes"), F.min("lat").alias("first_lat"), F.min("lon").alias("first_lon"), F.collect_list(regions.report()).alias("reports")
+    )
+    got = regions.track_region_distance(None, r, profiles)
+    want = sorted(regions.track_region_distance(p, r, profiles.drop("reports")).collect())
+    assert sorted(got.collect()) == want and len(want) == 9 * len({x[1] for x in rows})
+    found = {(x.mmsi, x.region_id): x.inside_points for x in want}
+    assert all(found[f"{kind}{n}", n] == sum(hit(k, n) for k in range(n)) for n in range(1, 7) for kind, hit in INSIDE.items())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # regions of the small packed file get their corners in all tasks
+
+
+INSIDE = {"last": lambda k, n: k == n - 1, "first": lambda k, n: k == 0, "all": lambda k, n: True}
+
+
+def test_cases_are_dealt_to_all_tasks(spark):
+    """Reports are few bytes but much work, so adaptive execution may not put their tasks together."""
+    _, profiles = vessel_plans.case_tracks(Tables(spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in profiles._jdf.queryExecution().executedPlan().toString()
