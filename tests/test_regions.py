@@ -133,3 +133,25 @@ def test_cases_are_dealt_to_all_tasks(spark):
     """Reports are few bytes but much work, so adaptive execution may not put their tasks together."""
     _, profiles = vessel_plans.case_tracks(Tables(spark, "/root/testdata/sf0.001"))
     assert "REPARTITION_BY_NUM" in profiles._jdf.queryExecution().executedPlan().toString()
+
+
+def test_retrieval_meets_cells_in_one_exchange(spark, monkeypatch):
+    """What cases retrieve, against every pair; no size estimate may broadcast their cells, or shuffle the reports a second time."""
+    rng = random.Random(23)
+    near = [(k, -20.9 + k * 0.45, 57.4 + k * 0.3, 1_596_600_000 + k * 90_000) for k in range(4)]
+    cases = spark.createDataFrame(near, "case_id long, aoi_lat double, aoi_lon double, o long")
+    rows = [(i, rng.uniform(-22, -19), rng.uniform(56.5, 60), 1_596_600_000 + rng.randrange(-500_000, 400_000)) for i in range(3000)]
+    reports = spark.createDataFrame(rows, "ordinal long, lat double, lon double, s long").select("*", F.timestamp_seconds("s").alias("ts"))
+    got = regions.case_positions(reports, cases.withColumn("obs_ts", F.timestamp_seconds("o")).drop("o"))
+    want = {
+        (c, i) for c, y, x, o in near for i, lat, lon, s in rows
+        if y - 0.6 <= lat <= y + 0.6 and x - 0.6 <= lon <= x + 0.6 and o - 120 * 3600 <= s <= o + 10 * 3600
+    }
+    pairs = [(r.case_id, r.ordinal) for r in got.collect()]
+    assert len(pairs) == len(want) > 100 and set(pairs) == want
+
+    written = []
+    monkeypatch.setattr(vessel_plans, "staged", lambda df, name: written.append(df) or df)
+    vessel_plans.case_tracks(Tables(spark, "/root/testdata/sf0.001"))
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "REPARTITION" not in plan
